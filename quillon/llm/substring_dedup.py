@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.store import cut, hash_parts, small
-from quillon.llm.textkern import NON_SPACE, Words, numbers, pack, pack_ids, ranges, seeded, sha256_hex, slices, unpack, unpack_ids
+from quillon.llm.textkern import NON_SPACE, Words, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
 
 WINDOW, BLOCK = 50, 25
 #: Input bytes for each hash range: about a million probes.
@@ -36,7 +36,8 @@ SALTS = 2
 ANCHORS = "part int, salt int, kind int, docs binary, counts binary, hashes binary"
 HITS = "doc_id long, anchor long"
 PRINTS = "part int, docs binary, texts binary, counts binary, at binary, low binary, high binary"
-REPEATS = "doc_id long, text_key long, at binary"
+REPEATS = "bucket int, docs binary, texts binary, counts binary, at binary"
+GATHERED = "doc_id long, text_key long, at binary"
 
 
 def _keys(g: np.ndarray, bits: int) -> np.ndarray:
@@ -47,7 +48,7 @@ def _keys(g: np.ndarray, bits: int) -> np.ndarray:
 def _by_part(part: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.lexsort((doc, part))
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
         yield int(part[order[a]]), order[a:b]
 
 
@@ -199,12 +200,37 @@ def _parts(low: np.ndarray, own: np.ndarray, bits: int) -> Iterator[tuple[int, n
         yield p, own[x]
 
 
-def _repeat_rows(doc, text, at) -> pa.Table:
-    """A row for each document: repeated window starts, packed."""
+def _by_bucket(doc, text, at, bits: int) -> pa.Table:
+    """Repeated window starts, packed for each hash range of documents."""
+    bucket = (mix(doc.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(doc), dtype=np.int64)
+    order = np.lexsort((at, text, doc, bucket))
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=False):
+        own = order[a:b]
+        heads = _heads(doc[own], text[own])
+        rows.append((int(bucket[own[0]]), pack(doc[own[heads]]), pack(text[own[heads]]), pack(np.diff(heads, append=len(own)).astype(np.uint32)), pack(at[own].astype(np.uint32))))
+    names = ["bucket", "docs", "texts", "counts", "at"]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.Table.from_arrays([pa.array(x, pa.binary() if i else pa.int32()) for i, x in enumerate(columns)], names=names)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal keys begin."""
+    fresh = np.zeros(len(keys[0]), dtype=bool)
+    fresh[:1] = True
+    for x in keys:
+        fresh[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _gather(group: pa.Table) -> pa.Table:
+    """A row for each document: its repeated window starts."""
+    doc, text, at = (np.concatenate(x) for x in zip(*map(_expand, group.to_pylist()), strict=True))
     order = np.lexsort((at, text, doc))
     doc, text, at = doc[order], text[order], at[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
-    return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "text_key": pa.array(text[cuts], pa.int64()), "at": pa.array([at[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False)], pa.binary())})
+    heads = _heads(doc, text)
+    return pa.table({"doc_id": pa.array(doc[heads], pa.int64()), "text_key": pa.array(text[heads], pa.int64()), "at": pa.array([at[a:b].astype(np.uint32).tobytes() for a, b in zip(heads, [*heads[1:], len(at)], strict=False)], pa.binary())})
 
 
 def _expand(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,13 +238,16 @@ def _expand(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(unpack(row["docs"], np.int64), counts), np.repeat(unpack(row["texts"], np.int64), counts), unpack(row["at"], np.uint32)
 
 
-def _known_repeats(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield from _repeat_rows(*_expand(row)).to_batches()
+def _known_repeats(bits: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _by_bucket(*_expand(row), bits).to_batches()
+
+    return run
 
 
-def _found_repeats(group: pa.Table) -> pa.Table:
+def _found_repeats(group: pa.Table, bits: int) -> pa.Table:
     low, high, docs, texts, ats = [], [], [], [], []
     for row in group.to_pylist():
         doc, text, at = _expand(row)
@@ -228,18 +257,25 @@ def _found_repeats(group: pa.Table) -> pa.Table:
     order = np.lexsort((doc, high, low))
     heads = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
     repeated = order[doc[order] > doc[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]]
-    return _repeat_rows(doc[repeated], text[repeated], at[repeated])
+    return _by_bucket(doc[repeated], text[repeated], at[repeated], bits)
 
 
-def _spans(group_at: list[bytes], n: int) -> np.ndarray:
+def _spans(starts: bytes, n: int) -> np.ndarray:
     """Which of n words lie in a repeated window."""
-    at = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group_at]).astype(np.int64)
+    at = np.frombuffer(starts, dtype=np.uint32).astype(np.int64)
     cover = np.zeros(n + 1, dtype=np.int32)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + WINDOW, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
+def _with(f, bits: int):
+    def run(group: pa.Table) -> pa.Table:
+        return f(group, bits)
+
+    return run
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and packed starts of repeated windows, for documents that have any."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
@@ -251,9 +287,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     near = near.join(hits, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text", "anchors")
     prints = near.mapInArrow(_prints(bits, max(bits - 1, 0)), PRINTS)
     prints = cut(prints)
-    found = prints.where("part >= 0").groupBy("part").applyInArrow(_found_repeats, REPEATS)
-    known = prints.where("part < 0").mapInArrow(_known_repeats, REPEATS)
-    return cut(found.unionByName(known).groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at")))
+    found = prints.where("part >= 0").groupBy("part").applyInArrow(_with(_found_repeats, bits), REPEATS)
+    known = prints.where("part < 0").mapInArrow(_known_repeats(bits), REPEATS)
+    return cut(found.unionByName(known).groupBy("bucket").applyInArrow(_gather, GATHERED))
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
@@ -262,7 +298,7 @@ def with_repeats(docs: DataFrame) -> DataFrame:
     return docs.join(small(found), (F.col("doc_id") == F.col("_rep_id")) & (F.xxhash64("text") == F.col("_rep_key")), "left").drop("_rep_id", "_rep_key")
 
 
-def kept_words(words: list[bytes], repeated_at: list[bytes] | None) -> list[bytes]:
+def kept_words(words: list[bytes], repeated_at: bytes | None) -> list[bytes]:
     if not repeated_at:
         return words
     gone = _spans(repeated_at, len(words))
