@@ -7,8 +7,9 @@ Each document lengthens its prefix (1 to LONGEST) by the estimated cost of its c
 many prefix tokens as the longer choice of the two. Pairs that do are verified on the whole sets.
 
 Copies collapse into one class by a hash of the set before any pairing. In a bucket of many distinct sets only
-stars around a few hubs are paired first; what that leaves apart is paired across components only, so that a group
-of near copies costs its size and not the square, and no link between components is lost. Components come from
+stars around a few hubs are paired first; what that leaves apart is paired across components only: members of one hub
+by their differences to the hub, which are few and rare, others by their prefixes. So a group of near copies costs its
+size and not the square, and no link between components is lost. Components come from
 minimum labels with pointer jumping, by joins of checkpointed tables.
 
 Edge cases: fewer than SHINGLE words are one shingle of the whole text; a text that is null or has no words has an
@@ -164,7 +165,8 @@ def _entries(bits: int, levels):
 
 
 def _candidates(group: pa.Table) -> pa.Table:
-    """Pairs of one range of tokens with their shared prefix tokens (kind 0), and members of large buckets (kind 1)."""
+    """Pairs of one range of tokens with their shared prefix tokens (kind 0), members of large buckets (kind 1) and
+    the hubs that they were paired with (kind 2)."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     for batch in group.to_batches():
         for row in batch.to_pylist():
@@ -198,6 +200,8 @@ def _candidates(group: pa.Table) -> pa.Table:
         for order in (np.lexsort((doc[members], bucket)), np.lexsort((doc[members], -weight, bucket))):
             heads = members[order][np.concatenate([[0], np.cumsum(length[big])[:-1]])]
             pairs_of(heads[bucket], members)
+            star = np.unique(np.stack([doc[heads[bucket]], doc[members]]), axis=1)
+            out.append(_rows(2, star[0], star[1], None, None, None, None))
     if left:
         left, right = np.concatenate(left), np.concatenate(right)
         l = np.minimum(np.maximum(want[left], want[right]), need(np.minimum(size[left], size[right]))).astype(np.int64)
@@ -241,13 +245,58 @@ def _linked(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _with_sets(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the packed sets of both."""
     ids = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id"))
     sets = source.join(small(ids, 4_000_000), F.col("doc_id") == F.col("set_id"), "left_semi").mapInArrow(_sets, "doc_id long, tokens binary")
     a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b")
+
+
+def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    return _with_sets(pairs, source).mapInArrow(_linked, "a long, b long")
+
+
+DEVIATIONS = "hub long, node long, linked boolean, token long, short boolean"
+
+
+def _deviations(batches):
+    """What tells each member's set from its hub's, tokens that the hub lacks first."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for hub, node, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("tokens_a"), part.column("tokens_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
+                v, n = len(own), len(y)
+                # at 80 %: sets of n and m tokens are linked if they differ in (n + m) / 9 tokens at most
+                linked = v * (100 + PERCENT) <= (100 - PERCENT) * (n + len(x))
+                shared = (v - (n - len(x)) * (100 - PERCENT) / (100 + PERCENT)) / 2
+                short = v - max(1, int(np.ceil(shared - 1e-9))) + 1
+                for to, value in zip(columns, (np.full(v, hub), np.full(v, node), np.full(v, linked), own.astype(np.int64), np.arange(v) < short), strict=True):
+                    to.append(value)
+            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "short"])
+
+
+def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members (hub, node) of one hub and two components, from their differences to the hub.
+
+    Two sets differ exactly where their differences to the hub differ. Of two linked members in two components at
+    most one is linked with the hub. With v tokens of difference, n and h tokens in member and hub, a member that has
+    a link to one that is not linked with the hub shares more than (v - (n - h) / 9) / 2 differences with it, so one
+    of its first v - that + 1 differences is among the other's: those are rare, as the hub lacks most of them.
+    """
+    rows = cut(_with_sets(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), source).mapInArrow(_deviations, DEVIATIONS))
+    label = near.select("node", "component")
+    known = rows.join(small(cut(label.join(hubs.select("node"), "node", "left_semi"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    x = known.where("short").select("hub", "token", F.col("node").alias("x"), F.col("component").alias("component_x"))
+    y = known.where("not linked").select("hub", "token", F.col("node").alias("y"), F.col("component").alias("component_y"))
+    pairs = x.join(y, ["hub", "token"]).where("x <> y and component_x <> component_y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,6 +314,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _cross_pairs(split: DataFrame, shared: DataFrame) -> DataFrame:
+    """Candidate pairs of large buckets across components, but for members of one hub."""
+    x, y = (split.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "want", "component", "hub"))) for side in "xy")
+    most = F.least(F.greatest("want_x", "want_y"), F.floor((F.least("size_x", "size_y") * PERCENT + 99) / 100))
+    apart = F.expr("node_x < node_y and component_x <> component_y and coalesce(hub_x <> hub_y, true)")
+    like = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * PERCENT
+    pairs = x.join(y, (x["token"] == y["token"]) & apart & like & (F.col("place_x") <= most) & (F.col("place_y") <= most))
+    pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("matches"), F.max(most).alias("want"))
+    # tokens that a pair shares in small buckets count too
+    pairs = pairs.union(shared.where("matches < want")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
+    return pairs.where("matches >= want").select("a", "b")
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -282,13 +344,14 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     apart = members.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
     split = cut(members.join(apart, "token", "left_semi"))
     if split.limit(1).count():
-        x, y = (split.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "want", "component"))) for side in "xy")
-        most = F.least(F.greatest("want_x", "want_y"), F.floor((F.least("size_x", "size_y") * PERCENT + 99) / 100))
-        cross = x.join(y, "token").where("node_x < node_y and component_x <> component_y").where(F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * PERCENT)
-        cross = cross.where((F.col("place_x") <= most) & (F.col("place_y") <= most)).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("matches"), F.max(most).alias("want"))
-        # tokens that a pair shares in small buckets count too
-        cross = cross.union(shared.where("matches < want")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
-        cross = cut(cross.where("matches >= want").select("a", "b"))
+        # each member's hub: of those whose sets it was compared with, the one with most members
+        star = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct().where("hub <> node")
+        star = star.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(pairs, ["a", "b"], "left_semi").select("hub", "node")
+        star = cut(star.join(split.select("node").distinct(), "node", "left_semi"))
+        popular = star.groupBy("hub").agg(F.count("*").alias("members"))
+        hubs = cut(star.join(popular, "hub").groupBy("node").agg(F.max_by("hub", F.struct("members", -F.col("hub"))).alias("hub")))
+        cross = _cross_pairs(split.join(hubs, "node", "left"), shared)
+        cross = cut(cross.union(around_hubs(hubs, near, known)).distinct())
         more = cut(verified(cross.join(pairs, ["a", "b"], "left_anti"), known))
         if more.limit(1).count():
             near = components(links.union(more))
