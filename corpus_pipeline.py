@@ -1,24 +1,52 @@
-"""The corpus pipeline: documents through the stages in order."""
+"""The corpus pipeline: documents through five stages, each over all that the stage before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import substring_dedup
+from quillon.llm import decontaminate, mixing, ngram_jaccard, quality_cnn, substring_dedup
+from quillon.llm.store import cut, table
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of near duplicates."""
+    return ngram_jaccard.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word passages that a smaller document holds."""
     return substring_dedup.remove_repeats(docs)
 
 
-STAGES = [("substring dedup", dedup_substrings)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken words of every document."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing to target weights", mix_sources),
+]
+#: The classifier and the benchmark search are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.store import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs if not i else cut(docs), sf_dir)
     return docs
