@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The names of the serialisation and fingerprint schemes.
-SCHEMA = "qch-structural-fingerprint/v1"
+SCHEMA = "structural-fingerprint/v1"
 PREFIX = f"{SCHEMA}:sha256:"
 
 
