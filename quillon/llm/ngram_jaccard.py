@@ -23,6 +23,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm.store import cut, hash_parts, small
@@ -259,15 +260,17 @@ def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
     return _with_sets(pairs, source).mapInArrow(_linked, "a long, b long")
 
 
-DEVIATIONS = "hub long, node long, linked boolean, token long, short boolean"
+DEVIATIONS = "hub long, node long, linked boolean, token long, prefix int, want int"
+#: Differences to a hub that two of its members must share in the shorter one's prefix.
+HUB_MATCHES = 4
 
 
 def _deviations(batches):
-    """What tells each member's set from its hub's, tokens that the hub lacks first."""
+    """What tells each member's set from its hub's, and how long a prefix of it must share how much."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for hub, node, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("tokens_a"), part.column("tokens_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
@@ -275,11 +278,12 @@ def _deviations(batches):
                 # at 80 %: sets of n and m tokens are linked if they differ in (n + m) / 9 tokens at most
                 linked = v * (100 + PERCENT) <= (100 - PERCENT) * (n + len(x))
                 shared = (v - (n - len(x)) * (100 - PERCENT) / (100 + PERCENT)) / 2
-                short = v - max(1, int(np.ceil(shared - 1e-9))) + 1
-                for to, value in zip(columns, (np.full(v, hub), np.full(v, node), np.full(v, linked), own.astype(np.int64), np.arange(v) < short), strict=True):
+                least = max(1, int(np.ceil(shared - 1e-9)))
+                want = min(HUB_MATCHES, least)
+                for to, value in zip(columns, (np.full(v, hub), np.full(v, node), np.full(v, linked), own.astype(np.int64), np.full(v, v - least + want), np.full(v, want)), strict=True):
                     to.append(value)
-            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "short"])
+            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "prefix", "want"])
 
 
 def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFrame:
@@ -287,15 +291,19 @@ def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFram
 
     Two sets differ exactly where their differences to the hub differ. Of two linked members in two components at
     most one is linked with the hub. With v tokens of difference, n and h tokens in member and hub, a member that has
-    a link to one that is not linked with the hub shares more than (v - (n - h) / 9) / 2 differences with it, so one
-    of its first v - that + 1 differences is among the other's: those are rare, as the hub lacks most of them.
+    a link to one that is not linked with the hub shares more than (v - (n - h) / 9) / 2 differences with it, so in
+    any order k of its first v - that + k differences are among the other's. The rarest of the group come first.
     """
     rows = cut(_with_sets(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), source).mapInArrow(_deviations, DEVIATIONS))
     label = near.select("node", "component")
     known = rows.join(small(cut(label.join(hubs.select("node"), "node", "left_semi"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    x = known.where("short").select("hub", "token", F.col("node").alias("x"), F.col("component").alias("component_x"))
+    often = rows.groupBy("hub", "token").agg(F.count("*").alias("often")).where("often > 1")
+    # a difference that no other member has takes its place in the prefix but meets nobody
+    ranked = known.join(often, ["hub", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    at = F.row_number().over(W.partitionBy("hub", "node").orderBy("often", "token"))
+    x = ranked.withColumn("at", at).where("at <= prefix and often > 1").select("hub", "token", F.col("node").alias("x"), F.col("component").alias("component_x"), "want")
     y = known.where("not linked").select("hub", "token", F.col("node").alias("y"), F.col("component").alias("component_y"))
-    pairs = x.join(y, ["hub", "token"]).where("x <> y and component_x <> component_y")
+    pairs = x.join(y, ["hub", "token"]).where("x <> y and component_x <> component_y").groupBy("x", "y").agg(F.count("*").alias("matches"), F.first("want").alias("want")).where("matches >= want")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
