@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 
 def compact(value: Column) -> Column:
-    """1234567 as 1.23M; K, M, B from a thousand up."""
+    """1234567 as 1.23M; K, M, B from a thousand up, halves away from zero."""
     a = F.abs(value)
-    out = F.when(a >= 1e9, F.concat(F.format_number(value / 1e9, 2), F.lit("B")))
-    out = out.when(a >= 1e6, F.concat(F.format_number(value / 1e6, 2), F.lit("M")))
-    return out.when(a >= 1e3, F.concat(F.format_number(value / 1e3, 1), F.lit("K"))).otherwise(F.format_string("%.0f", value.cast("double")))
+    part = lambda by, digits, unit: F.concat(F.round(value / by, digits).cast("string"), F.lit(unit))
+    return F.when(a >= 1e9, part(1e9, 2, "B")).when(a >= 1e6, part(1e6, 2, "M")).when(a >= 1e3, part(1e3, 1, "K")).otherwise(F.round(value, 0).cast("long").cast("string"))
 
 
 def signed_percent(value: Column) -> Column:
