@@ -151,7 +151,7 @@ def qasm_operations(texts: DataFrame) -> DataFrame:
 
 
 RECORD = 56
-HEADER = struct.Struct("<8sQ")
+HEADER = "<8sQ"
 
 
 def packed_header(spark: SparkSession, path: str) -> DataFrame:
@@ -172,8 +172,8 @@ def packed_records(spark: SparkSession, path: str, block_records: int = 65_536)
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_buffer().to_pybytes()
-                _, count = HEADER.unpack(data[: HEADER.size])
-                reader, at = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data[HEADER.size :])), 0
+                _, count = struct.unpack_from(HEADER, data)
+                reader, at = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data[struct.calcsize(HEADER) :])), 0
                 while at < count:
                     want = min(block_records, count - at) * RECORD
                     part = b""
