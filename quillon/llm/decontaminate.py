@@ -3,8 +3,8 @@
 Items are indexed with BM25 impacts divided by the item's own score, so that an item's whole text scores 1 and one
 threshold serves all. Documents are cut into overlapping passages of whole half-passages, long enough to hold any
 item of the shard; every passage is a query. First a vectorised bound adds, for each half-passage and each block of
-BLOCK items, the block-max impacts of its words; passages whose two halves stay below the threshold for every block
-can have no item above it. For the others WAND runs with list maxima for the pivot and block maxima for the skips,
+BLOCK items, the block-max impacts of its words, and the most that long lists of light words can add; passages whose
+two halves stay below the threshold for every block can have no item above it. For the others WAND runs with list maxima for the pivot and block maxima for the skips,
 and returns every item at or above the threshold. A hit counts if the item's question (all sentences but the last)
 and its answer (the last one) both overlap the text around the passage in at least OVERLAP of their word trigrams.
 
@@ -33,8 +33,10 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
 BLOCK, SHARD_ITEMS = 4, 20_000
 HALF_WORDS = 64
-#: Cells of the bound's table (half-passages by blocks) at once.
-CELLS = 1 << 22
+#: Long lists that the bound takes as given hold at most this share of any item's own score.
+LIGHT_SHARE = 0.3
+#: Cells of the bound's table (half-passages by blocks) and text bytes at once.
+CELLS, SLICE = 1 << 20, 1 << 20
 
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long, passage_words long"
 
@@ -87,6 +89,15 @@ class Index:
                 best[a // BLOCK] = max(best.get(a // BLOCK, 0.0), b)
             block_max.append(best)
         self.block_max = block_max
+        # long lists that together can give no item more than LIGHT_SHARE: their most is added to every bound
+        light_sum, self.light = np.zeros(n), np.zeros(len(postings), dtype=bool)
+        for t in sorted(range(len(postings)), key=lambda t: -len(self.docs[t])):
+            more = light_sum.copy()
+            more[self.docs[t]] += self.impacts[t]
+            if more.max() > LIGHT_SHARE:
+                break
+            light_sum, self.light[t] = more, True
+        self.light_bound = np.array([light_sum[k * BLOCK : (k + 1) * BLOCK].max() for k in range(self.blocks)])
         self.start = np.concatenate([[0], np.cumsum([len(x) for x in block_max])]).astype(np.int64)
         self.block_of = np.array([k for x in block_max for k in x], dtype=np.int64)
         self.bound_of = np.array([v for x in block_max for v in x.values()])
@@ -149,18 +160,24 @@ def _retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, i
         return []
     at = first_half[doc[known]] + (known - words.first[doc[known]]) // half
     t = term[known]
+    # a term counts once in a half-passage
+    pairs = np.unique(at * len(index.terms) + t)
+    at, t = pairs // len(index.terms), pairs % len(index.terms)
+    heavy = ~index.light[t]
+    heavy_at, heavy_t = at[heavy], t[heavy]
     found, step = [], max(2, CELLS // max(1, index.blocks))
     home = np.repeat(np.arange(len(halves)), halves)
     for a in range(0, int(first_half[-1]), step):
         b = min(a + step, int(first_half[-1]) - 1) + 1  # one half more: passages overlap
-        i, j = np.searchsorted(at, (a, b))
+        i, j = np.searchsorted(heavy_at, (a, b))
         if i == j:
             continue
-        n = index.start[t[i:j] + 1] - index.start[t[i:j]]
-        where = np.repeat(index.start[t[i:j]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        cell = np.repeat((at[i:j] - a) * index.blocks, n) + index.block_of[where]
+        own = heavy_t[i:j]
+        n = index.start[own + 1] - index.start[own]
+        where = np.repeat(index.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        cell = np.repeat((heavy_at[i:j] - a) * index.blocks, n) + index.block_of[where]
         bound = np.bincount(cell, weights=index.bound_of[where], minlength=(b - a) * index.blocks).reshape(b - a, index.blocks)
-        both = bound.copy()
+        both = bound + index.light_bound
         both[:-1] += np.where((home[a : b - 1] == home[a + 1 : b])[:, None], bound[1:], 0)
         for h in np.flatnonzero(both.max(axis=1) >= threshold - 1e-9).tolist():
             p = a + h
@@ -203,7 +220,7 @@ def _pairs(shard, threshold: float, overlap: float):
 
     def run(batches):
         index = shard.value
-        for batch, buf, bounds in slices(batches):
+        for batch, buf, bounds in slices(batches, most=SLICE):
             best = rows(batch, buf, bounds)
             if best:
                 ids = batch.column("doc_id").to_pylist()
@@ -217,7 +234,7 @@ def _clean(shard, threshold: float, overlap: float):
     rows = _matches(shard, threshold, overlap)
 
     def run(batches):
-        for batch, buf, bounds in slices(batches):
+        for batch, buf, bounds in slices(batches, most=SLICE):
             bad = {d for d, _ in rows(batch, buf, bounds)}
             yield batch.filter(pa.array([d not in bad for d in range(batch.num_rows)], pa.bool_()))
 
