@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 
 #: Text bytes that one kernel call works on; longer documents are a call of their own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes that are hashed at once inside a kernel call: bounds the 8-byte temporaries.
 HASH_BYTES = 1 << 20
 
