@@ -55,7 +55,7 @@ def pinned_files(spark: SparkSession, path: str, expected: DataFrame) -> tuple[D
 def delimited_log(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
     """A dumped log whose records end in 0x1e and fields in 0x1f."""
     lines = spark.read.text(path, lineSep="\x1e").select(F.split("value", "\x1f").alias("p"))
-    return lines.where(F.size("p") >= len(fields)).select(*(F.trim(F.col("p")[i]).alias(f) for i, f in enumerate(fields)))
+    return lines.where(F.size("p") >= len(fields)).select(*(F.regexp_replace(F.col("p")[i], r"^\s+|\s+$", "").alias(f) for i, f in enumerate(fields)))
 
 
 def headed_lines(lines: DataFrame, by: Sequence[str], order: Sequence[str], heading: str) -> DataFrame:
