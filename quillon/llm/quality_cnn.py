@@ -27,7 +27,7 @@ from quillon.llm.textkern import NON_SPACE, Words, ranges, seeded, slices
 WIDTH, STRIDE, FILTERS = 4, 2, 8
 SUB, CHUNK, HOP = 64, 4, 3
 TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 20
-EPOCHS, BATCH, RATE = 6, 32, 0.02
+EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 0.02, 200
 THRESHOLD = 0.3
 #: Text bytes at once: bounds the filter responses.
 SLICE = 1 << 19
@@ -108,7 +108,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     for t in texts:
         sym, first = symbols(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))
         ready.append((sym, int(first[-1])))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             grads = [np.zeros_like(p) for p in params]
