@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import chat_threads, decontaminate, language_id, license_scan, mixing, multiprobe_ann, ngram_jaccard, quality_cnn, substring_dedup, url_cascade
+from quillon.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from quillon.llm.store import table
 
 
@@ -63,7 +64,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_cascade": op9_url_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op9_url_cascade": url_cascade.oracle_sql(),
-}
