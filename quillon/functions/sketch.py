@@ -109,3 +109,76 @@ def hash_sample(items: DataFrame, columns: list[str], k: int, seed: int = 0) ->
 def density(edges: Column, nodes: Column) -> Column:
     """Edges by possible edges."""
     return F.try_divide(edges * 2.0, nodes * (nodes - 1))
+
+
+def _streamed(rows: DataFrame, key: str, start, add, finish, schema: str) -> DataFrame:
+    """Runs sequential state over rows sorted by (key, idx), one key at a time, holding only the state."""
+    import pyarrow as pa
+
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    rows = rows.repartition(key).sortWithinPartitions(key, "idx")
+
+    def run(batches):
+        current, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if not begun or r[key] != current:
+                    out += [(current, *x) for x in finish(state)] if begun else []
+                    current, state, begun = r[key], start(), True
+                add(state, r)
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+        if begun and (out := [(current, *x) for x in finish(state)]):
+            yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+
+    return rows.mapInArrow(run, schema)
+
+
+def space_saving(ops: DataFrame, item: str, capacity: int, key: str = "circuit") -> DataFrame:
+    """key, item, weight, error of a Space-Saving summary: at most `capacity` counters; a new item takes the least one.
+
+    True counts lie between weight - error and weight, and items above the total by capacity are all there.
+    """
+    kind = ops.schema[key].dataType.simpleString()
+
+    def add(state, r):
+        v = r[item]
+        if v in state:
+            state[v][0] += 1
+        elif len(state) < capacity:
+            state[v] = [1, 0]
+        else:
+            least = min(state, key=lambda x: (state[x][0], x))
+            n = state.pop(least)[0]
+            state[v] = [n + 1, n]
+
+    finish = lambda state: [(v, n, e) for v, (n, e) in sorted(state.items())]
+    return _streamed(ops.select(key, "idx", F.col(item).cast("string").alias(item)), key, dict, add, finish, f"{key} {kind}, {item} string, weight long, error long")
+
+
+def reservoir(ops: DataFrame, item: str, size: int, seed: int = 0, key: str = "circuit") -> DataFrame:
+    """key, item: a uniform sample of the distinct items in the order of their first places (Algorithm R), seeded."""
+    import random
+
+    kind = ops.schema[key].dataType.simpleString()
+    firsts = ops.groupBy(key, item).agg(F.min("idx").alias("idx")).select(key, "idx", F.col(item).cast("string").alias(item))
+
+    def start():
+        return {"random": random.Random(seed), "seen": 0, "kept": []}
+
+    def add(state, r):
+        state["seen"] += 1
+        if len(state["kept"]) < size:
+            state["kept"].append(r[item])
+        elif (at := state["random"].randrange(state["seen"])) < size:
+            state["kept"][at] = r[item]
+
+    return _streamed(firsts, key, start, add, lambda state: [(x,) for x in state["kept"]], f"{key} {kind}, {item} string")
+
+
+def require_compatible(a: dict, b: dict) -> None:
+    """Sketches compare only if width, size and sampling are the same."""
+    different = sorted(k for k in a.keys() | b.keys() if a.get(k) != b.get(k))
+    if different:
+        raise ValueError(f"sketches differ in {', '.join(different)}")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import canonical, scalars, sketch
-from quillon.operators import asof, graph, latest, pareto, quality, records, resolve, sequences, stats, transitions
+from quillon.operators import asof, graph, history, latest, pareto, quality, records, resolve, sequences, stats, transitions
 from quillon.plans.plan import Store, execute
 from quillon.streaming import events as streams
 
@@ -620,3 +620,126 @@ def unified_metrics(s, d):
     a = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("version_id")).agg(F.sum("l_quantity").alias("value")).select("version_id", F.lit("quantity").alias("name"), "value")
     b = table(s, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.when(F.col("o_orderstatus") == "F", "quantity").otherwise("price").alias("name"), F.col("o_totalprice").alias("value"))
     return records.unified_metrics(a, b)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'promoted' WHEN o_orderstatus = 'F' THEN 'validated' ELSE 'submitted' END AS class FROM orders")
+def submission_classes(s, d):
+    f = F.col("o_orderstatus") == "F"
+    return history.classify(table(s, d, "orders"), [("promoted", f & (F.col("o_orderpriority") == "1-URGENT")), ("validated", f)], "submitted").select("o_orderkey", "class")
+
+
+@query("SELECT user_id AS contributor, count(*) FILTER (WHERE event_type = 'click') AS submitted, count(*) FILTER (WHERE event_type = 'view') AS coauthored, count(*) FILTER (WHERE event_id % 3 = 0) AS with_version, count(value) AS scored, min(event_id) AS first_at, max(event_id) AS last_at FROM events GROUP BY 1")
+def contributor_rollup(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("contributor"), F.when(F.col("event_type") == "click", "SUBMITTER").when(F.col("event_type") == "view", "COAUTHOR").otherwise("OTHER").alias("role"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("version_id"), F.col("value").alias("score"), F.col("event_id").alias("at"))
+    return history.contributor_rollup(e)
+
+
+@query("SELECT n_nationkey, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM (SELECT c_nationkey AS n_nationkey, 'customer' AS role FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) x GROUP BY 1")
+def merged_roles(s, d):
+    a, b = table(s, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.lit("customer").alias("role")), table(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit("supplier").alias("role"))
+    return history.merge_roles([a, b], ["n_nationkey"])
+
+
+@query("SELECT c_name AS identity, 3 AS tier FROM customer WHERE lower(c_name) = (SELECT lower(min(c_name)) FROM customer)")
+def contributor_resolution(s, d):
+    c = table(s, d, "customer")
+    name = c.agg(F.min("c_name")).first()[0]
+    return history.resolve_contributor(c.select(F.col("c_name").alias("identity"), F.col("c_name").alias("handle"), F.col("c_custkey").cast("string").alias("account"), F.col("c_mktsegment").alias("alias")), f"@{name.upper()}")
+
+
+@query("WITH n AS (SELECT l_orderkey, count(*) AS operations, sum(l_quantity) AS bytes FROM lineitem GROUP BY 1) SELECT CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderpriority = '1-URGENT' THEN 'failed_before' WHEN bytes IS NULL THEN 'no_artifact' WHEN bytes > 150 THEN 'too_large' WHEN operations > 4 THEN 'too_long' ELSE 'todo' END AS state, count(*) AS n FROM orders LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY 1")
+def extraction_states(s, d):
+    o = table(s, d, "orders")
+    n = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("operations"), F.sum("l_quantity").alias("bytes"))
+    return history.extraction_states(o.join(n, "o_orderkey", "left"), o.where("o_orderstatus = 'F'"), o.where("o_orderpriority = '1-URGENT'"), "o_orderkey", 150, 4).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS \"view\", count(*) AS total FROM events")
+def outcome_totals(s, d):
+    return history.outcome_totals(table(s, d, "events"), "event_type", ["click", "view"])
+
+
+@query("SELECT user_id, event_type AS name, CAST(floor(value / 10) AS BIGINT) AS value, string_agg(DISTINCT CAST(event_id % 3 AS VARCHAR), ',' ORDER BY CAST(event_id % 3 AS VARCHAR)) AS sources FROM events GROUP BY 1, 2, 3")
+def merged_facts(s, d):
+    e = table(s, d, "events").select("user_id", F.col("event_type").alias("name"), F.floor(F.col("value") / 10).alias("value"), (F.col("event_id") % 3).cast("string").alias("source"))
+    return history.merge_facts(e, ["user_id"])
+
+
+@query("SELECT p_size, p_brand, count(*) AS members, count(DISTINCT sha256(p_name)) AS fingerprints, min(p_partkey) AS first_member FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def identical_metrics(s, d):
+    return history.identical_metrics(table(s, d, "part").withColumn("print", F.sha2("p_name", 256)), ["p_size", "p_brand"], "p_partkey", "print")
+
+
+@query("SELECT 'p_size' AS field, count(p_size) AS n, CAST(sum(p_size) AS DOUBLE) AS total, CAST(min(p_size) AS DOUBLE) AS least, CAST(max(p_size) AS DOUBLE) AS most FROM part UNION ALL SELECT 'p_partkey', count(p_partkey), CAST(sum(p_partkey) AS DOUBLE), CAST(min(p_partkey) AS DOUBLE), CAST(max(p_partkey) AS DOUBLE) FROM part")
+def sample_summary(s, d):
+    return history.summary(table(s, d, "part"), ["p_size", "p_partkey"])
+
+
+@query(f"WITH {M}, {NEXT}, c AS (SELECT e.src, e.dst, b.qubit_count - a.qubit_count AS q, b.toffoli_count - a.toffoli_count AS t FROM nexts e LEFT JOIN metrics a ON a.version_id = e.src LEFT JOIN metrics b ON b.version_id = e.dst) SELECT CASE WHEN q IS NULL OR t IS NULL THEN 'unknown' WHEN least(q, t) < 0 AND greatest(q, t) > 0 THEN 'mixed' WHEN least(q, t) < 0 THEN 'improved' WHEN greatest(q, t) > 0 THEN 'worse' ELSE 'same' END AS verdict, count(*) AS n FROM c GROUP BY 1")
+def trade_offs(s, d):
+    m = metrics(s, d)
+    rows = transitions.compute_delta(transitions.compute_delta(next_edges(s, d), m, "qubit_count"), m, "toffoli_count")
+    return rows.groupBy(history.trade_off([F.col("qubit_count_delta"), F.col("toffoli_count_delta")]).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS best FROM orders")
+def best_so_far(s, d):
+    return history.best_so_far(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", "o_orderkey", "best")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def newest_runs(s, d):
+    return history.newest(table(s, d, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size, p_retailprice, p_partkey LIMIT 25")
+def lexicographic_ranking(s, d):
+    return history.lexicographic(table(s, d, "part"), ["p_size", "p_retailprice"], "p_partkey", 25).select("p_partkey", "p_size", "p_retailprice")
+
+
+@query("SELECT user_id FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1 HAVING count(DISTINCT event_type) = 3")
+def reproducible(s, d):
+    return history.reproducible(table(s, d, "events").select("user_id", F.col("event_type").alias("kind")), "user_id", ["click", "view", "purchase"])
+
+
+@query(f"WITH {V}, {M}, x AS (SELECT v.version_id, historical_time, qubit_count, toffoli_count FROM versions v JOIN metrics m ON m.version_id = v.version_id), r AS (SELECT * FROM x WHERE version_id = (SELECT min(version_id) FROM x)) SELECT x.version_id FROM x, r WHERE x.historical_time > r.historical_time AND x.qubit_count < r.qubit_count AND x.toffoli_count < r.toffoli_count")
+def better_and_later(s, d):
+    x = versions(s, d).join(metrics(s, d), "version_id")
+    first = metrics(s, d).agg(F.min("version_id")).first()[0]
+    return history.better_and_later(x, F.col("version_id") == first, "historical_time", ["qubit_count", "toffoli_count"]).select("version_id")
+
+
+@query(f"WITH {OPS} SELECT circuit, name AS item, count(*) AS weight FROM ops GROUP BY 1, 2")
+def space_saving(s, d):
+    """With room for every type the summary is exact."""
+    return sketch.space_saving(operations(s, d).withColumn("item", F.col("name")), "item", 64).select("circuit", "item", "weight")
+
+
+@query(f"WITH {OPS} SELECT DISTINCT circuit, CAST(q1 AS VARCHAR) AS item FROM ops")
+def reservoir(s, d):
+    """A sample as large as all items is all of them."""
+    return sketch.reservoir(operations(s, d).withColumn("item", F.col("qubits")[0]), "item", 64)
+
+
+@query("SELECT n_regionkey, max(CASE WHEN role = 'c' THEN n END) AS customers, max(CASE WHEN role = 's' THEN n END) AS suppliers FROM (SELECT n_regionkey, 'c' AS role, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL SELECT n_regionkey, 's', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) x GROUP BY 1")
+def three_way_join(s, d):
+    n = F.broadcast(table(s, d, "nation"))
+    c = table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("customers"))
+    p = table(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("suppliers"))
+    return c.join(p, "n_regionkey", "full_outer")
+
+
+@query("SELECT c_custkey, n, c_acctbal > avg(c_acctbal) OVER () AS above FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def scalar_subquery(s, d):
+    c = table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey")
+    return c.join(F.broadcast(c.agg(F.avg("c_acctbal").alias("mean")))).select("c_custkey", "n", (F.col("c_acctbal") > F.col("mean")).alias("above"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_counts(s, d):
+    return table(s, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT d.lang, count(*) AS docs, count(*) FILTER (WHERE l.quality = 1) AS good FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
+def label_coverage(s, d):
+    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("quality") == 1).alias("good"))
