@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.store import bounded_batches
 from quillon.llm.textkern import ALNUM, Words, slices
 
 K1, B = 1.2, 0.75
@@ -243,6 +244,7 @@ def _clean(shard, threshold: float, overlap: float):
 
 def _shards(docs: DataFrame, benchmark: DataFrame) -> list:
     """Broadcast indexes of at most about SHARD_ITEMS items each."""
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
     spread = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))

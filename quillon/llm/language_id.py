@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.store import bounded_batches
 from quillon.llm.textkern import seeded, slices
 
 DIMENSIONS = 256
@@ -118,6 +119,7 @@ def _predict(model):
 
 def identify(docs: DataFrame, held_out=None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang); held-out rows teach nothing."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     held = held_out if held_out is not None else F.lit(False)
     model = docs.sparkSession.sparkContext.broadcast(prototypes(docs.where(~held)))

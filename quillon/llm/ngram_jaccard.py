@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import cut, hash_parts, small
-from quillon.llm.textkern import NON_SPACE, Words, mix, numbers, pack, pack_ids, ranges, slices, unpack, unpack_ids
+from quillon.llm.store import bounded_batches, cut, hash_parts, small
+from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, ranges, slices, unpack, unpack_ids
 
 SHINGLE = 5
 #: Threshold in percent.
@@ -219,6 +219,7 @@ def _candidates(group: pa.Table) -> pa.Table:
         out.append(_rows(0, a[heads], b[heads], np.diff(heads, append=len(a)), l[heads], None, None))
     if len(members):
         out.append(_rows(1, doc[members], None, place[members], want[members], token[members].astype(np.int64), size[members]))
+    give_back()
     return pa.Table.from_batches(out)
 
 
@@ -337,6 +338,7 @@ def _cross_pairs(split: DataFrame, shared: DataFrame) -> DataFrame:
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = cut(source.mapInArrow(_info, INFO))
     known = source.where("doc_id is not null and text is not null")

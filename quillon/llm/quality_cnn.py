@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import small
+from quillon.llm.store import bounded_batches
 from quillon.llm.textkern import NON_SPACE, Words, ranges, seeded, slices
 
 WIDTH, STRIDE, FILTERS = 4, 2, 8
@@ -150,6 +150,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fits on the bounded sample of labelled rows of docs (doc_id, text) and labels (doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"))
     spread = F.xxhash64("label_id", F.lit(7))
     ids = known.where("quality = 1").orderBy(spread, "label_id").limit(TRAIN_ROWS).union(known.where("quality <> 1").orderBy(spread, "label_id").limit(TRAIN_ROWS))

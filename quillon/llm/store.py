@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast; above that a shuffled join does the same work.
 BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast table may hold.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch on its way to Python, unless the session asks for fewer.
+BATCH_BYTES = 8 << 20
 #: Temporary folders of local sessions, by application.
 LOCAL: dict[str, str] = {}
 
@@ -36,9 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df. df should be cheap to count, as after cut()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, else df. df should be a written table."""
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(sizes, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has Arrow batches to Python end at BATCH_BYTES: a worker holds one batch, and documents can be long.
+
+    A session setting; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import cut, hash_parts, small
-from quillon.llm.textkern import NON_SPACE, Words, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
+from quillon.llm.store import bounded_batches, cut, hash_parts, small
+from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
 
 WINDOW, BLOCK = 50, 25
 #: Input bytes for each hash range: about a million probes.
@@ -37,7 +37,7 @@ ANCHORS = "part int, salt int, kind int, docs binary, counts binary, hashes bina
 HITS = "doc_id long, anchor long"
 PRINTS = "part int, docs binary, texts binary, counts binary, at binary, low binary, high binary"
 REPEATS = "bucket int, docs binary, texts binary, counts binary, at binary"
-GATHERED = "doc_id long, text_key long, at binary"
+GATHERED = "doc_id long, text_key long, spans binary"
 
 
 def _keys(g: np.ndarray, bits: int) -> np.ndarray:
@@ -225,12 +225,18 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 
 
 def _gather(group: pa.Table) -> pa.Table:
-    """A row for each document: its repeated window starts."""
+    """A row for each document: the stretches of words that its repeated windows cover, packed (start, end, ...)."""
     doc, text, at = (np.concatenate(x) for x in zip(*map(_expand, group.to_pylist()), strict=True))
     order = np.lexsort((at, text, doc))
-    doc, text, at = doc[order], text[order], at[order]
+    doc, text, at = doc[order], text[order], at[order].astype(np.int64)
+    apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (at[1:] > at[:-1] + WINDOW)])
+    first = np.flatnonzero(apart)
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    spans = np.stack([at[first], at[last] + WINDOW], axis=1).astype(np.uint32)
+    doc, text = doc[first], text[first]
     heads = _heads(doc, text)
-    return pa.table({"doc_id": pa.array(doc[heads], pa.int64()), "text_key": pa.array(text[heads], pa.int64()), "at": pa.array([at[a:b].astype(np.uint32).tobytes() for a, b in zip(heads, [*heads[1:], len(at)], strict=False)], pa.binary())})
+    give_back()
+    return pa.table({"doc_id": pa.array(doc[heads], pa.int64()), "text_key": pa.array(text[heads], pa.int64()), "spans": pa.array([spans[a:b].tobytes() for a, b in zip(heads, [*heads[1:], len(spans)], strict=False)], pa.binary())})
 
 
 def _expand(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,15 +266,6 @@ def _found_repeats(group: pa.Table, bits: int) -> pa.Table:
     return _by_bucket(doc[repeated], text[repeated], at[repeated], bits)
 
 
-def _spans(starts: bytes, n: int) -> np.ndarray:
-    """Which of n words lie in a repeated window."""
-    at = np.frombuffer(starts, dtype=np.uint32).astype(np.int64)
-    cover = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + WINDOW, -1)
-    return np.cumsum(cover[:-1]) > 0
-
-
 def _with(f, bits: int):
     def run(group: pa.Table) -> pa.Table:
         return f(group, bits)
@@ -277,7 +274,8 @@ def _with(f, bits: int):
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text) and packed starts of repeated windows, for documents that have any."""
+    """doc_id, text_key (xxhash64 of the text) and spans (packed stretches of repeated words) of documents with any."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bits = hash_parts(docs, RANGE_BYTES).bit_length() - 1
     anchors = source.mapInArrow(_anchors(bits), ANCHORS)
@@ -293,16 +291,19 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs with a column repeated_at (packed window starts, null: none)."""
-    found = repeats(docs).select(F.col("doc_id").alias("_rep_id"), F.col("text_key").alias("_rep_key"), F.col("at").alias("repeated_at"))
+    """docs with a column repeated (packed stretches of words, null: none)."""
+    found = repeats(docs).select(F.col("doc_id").alias("_rep_id"), F.col("text_key").alias("_rep_key"), F.col("spans").alias("repeated"))
     return docs.join(small(found), (F.col("doc_id") == F.col("_rep_id")) & (F.xxhash64("text") == F.col("_rep_key")), "left").drop("_rep_id", "_rep_key")
 
 
-def kept_words(words: list[bytes], repeated_at: bytes | None) -> list[bytes]:
-    if not repeated_at:
+def kept_words(words: list[bytes], repeated: bytes | None) -> list[bytes]:
+    if not repeated:
         return words
-    gone = _spans(repeated_at, len(words))
-    return [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+    kept, end = [], 0
+    for a, b in np.frombuffer(repeated, dtype=np.uint32).reshape(-1, 2).tolist():
+        kept += words[end:a]
+        end = b
+    return kept + words[end:]
 
 
 def _digest(batches):
@@ -310,11 +311,12 @@ def _digest(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             n, gone, sha = [], [], []
-            for text, where in zip(part.column("text"), part.column("repeated_at"), strict=True):
+            for text, where in zip(part.column("text"), part.column("repeated"), strict=True):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 kept = kept_words(words, where.as_py())
                 n.append(len(words)), gone.append(len(words) - len(kept)), sha.append(sha256_hex(b" ".join(kept)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        give_back()
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -328,12 +330,13 @@ def _rewrite(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             texts, stays = [], []
-            for text, where in zip(part.column("text"), part.column("repeated_at"), strict=True):
+            for text, where in zip(part.column("text"), part.column("repeated"), strict=True):
                 where = where.as_py()
                 texts.append(b" ".join(kept_words(text.as_buffer().to_pybytes().split(), where)).decode() if where else text.as_py())
                 stays.append(not where or bool(texts[-1]))
-            names = [x for x in part.schema.names if x != "repeated_at"]
+            names = [x for x in part.schema.names if x != "repeated"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names], names=names).filter(pa.array(stays))
+        give_back()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

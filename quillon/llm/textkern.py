@@ -6,6 +6,8 @@ table, finished with a mixer; they do not depend on the process, so any executor
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -160,6 +162,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i), buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
             i = j
+        del batch, buf, bounds
+        give_back()
+
+
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def numbers(column: pa.Array, null: int = 0) -> np.ndarray:
