@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Sequence
@@ -39,10 +40,45 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return versions, edges
 
 
+def array_elements(body: str, field: str) -> list[str]:
+    """The elements of a top-level array of a JSON object as they are written, numbers digit for digit."""
+    read, at, found = json.JSONDecoder().raw_decode, 0, []
+    at = re.compile(r"\s*\{\s*").match(body, at).end()
+    while at < len(body) and body[at] != "}":
+        key, at = read(body, at)
+        at = re.compile(r"\s*:\s*").match(body, at).end()
+        if key == field and body[at] == "[":
+            at = re.compile(r"[\s,]*").match(body, at + 1).end()
+            while body[at] != "]":
+                _, end = read(body, at)
+                found.append(body[at:end])
+                at = re.compile(r"[\s,]*").match(body, end).end()
+            at += 1
+        else:
+            _, at = read(body, at)
+        at = re.compile(r"[\s,]*").match(body, at).end()
+    return found
+
+
 def api_body(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of {"submissions": [...]} bodies, each with its raw text and the body's sha256."""
-    body = spark.read.text(path, wholetext=True).withColumn("snapshot_id", F.sha2("value", 256))
-    raw = body.select("snapshot_id", F.posexplode(F.from_json("value", "submissions array<string>")["submissions"]).alias("ordinal", "raw"))
+    """Records of {"submissions": [...]} bodies, each with its text as written and the body's sha256.
+
+    A body that is not JSON gives no records. Python only cuts the texts apart; Spark reads the fields.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for snapshot, body in zip(batch.column("snapshot_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                try:
+                    rows += [(snapshot, i, raw) for i, raw in enumerate(array_elements(body, "submissions"))]
+                except (ValueError, IndexError, AttributeError):
+                    continue
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], names=["snapshot_id", "ordinal", "raw"])
+
+    body = spark.read.text(path, wholetext=True).select(F.sha2("value", 256).alias("snapshot_id"), "value")
+    raw = body.mapInArrow(run, "snapshot_id string, ordinal long, raw string")
     return raw.withColumn("record", F.from_json("raw", schema)).select("snapshot_id", "ordinal", "raw", "record.*")
 
 

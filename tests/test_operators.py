@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import canonical, scalars, sketch
-from quillon.operators import asof, graph, latest, pareto, quality, records, resolve, sequences, stats, transitions
+from quillon.operators import asof, graph, history, latest, pareto, quality, records, resolve, sequences, stats, transitions
 from quillon.sources import readers, writers
 
 
@@ -194,3 +194,32 @@ def test_transitions_without_baseline(spark):
     m = spark.createDataFrame([("a", 0), ("b", 5)], "version_id string, x int")
     r = transitions.list_transitions(edges(spark, [("a", "b")]), m, "x").first()
     assert (r.absolute_change, r.percentage_change) == (5, None)
+
+
+def test_history(spark):
+    ids = spark.createDataFrame([("i1", "Ann", "7", "annie"), ("i2", "ann", "8", None), ("i3", "bob", "9", "robert")], "identity string, handle string, account string, alias string")
+    found = lambda ref: {(r.identity, r.tier) for r in history.resolve_contributor(ids, ref).collect()}
+    assert found("@Ann") == {("i1", 2)} and found("ANN") == {("i1", 3), ("i2", 3)} and found("9") == {("i3", 4)} and found("Robert") == {("i3", 5)} and not found("x")
+    mails = spark.createDataFrame([("12+Foo@users.noreply.host.com",), ("12+foo@users.noreply.host.com",), ("13+bar@users.noreply.host.com",), ("14+bar@users.noreply.host.com",), ("a@b.c",)], "mail string")
+    assert [tuple(r) for r in history.mail_aliases(mails, "mail").select("account", "login").collect()] == [("12", "foo")]
+    v = spark.createDataFrame([(1, 5, 5), (2, None, None), (3, 99, 1), (4, 1, 99), (5, 1, 1), (6, 1, 1)], "k int, bytes long, operations long")
+    states = history.extraction_states(v, v.where("k = 1").select("k"), v.where("k = 6").select("k"), "k", 10, 10)
+    assert {r.k: r.state for r in states.collect()} == {1: "done", 2: "no_artifact", 3: "too_large", 4: "too_long", 5: "todo", 6: "failed_before"}
+    c = spark.createDataFrame([(-1, 1), (-1, 0), (1, 0), (0, 0), (None, 1)], "a int, b int")
+    assert [r[0] for r in c.select(history.trade_off([F.col("a"), F.col("b")])).collect()] == ["mixed", "improved", "worse", "same", "unknown"]
+
+
+def test_bounded_summaries(spark):
+    import collections
+    import random
+
+    r = random.Random(1)
+    items = [str(min(int(r.expovariate(0.3)), 40)) for _ in range(3000)]
+    df = spark.createDataFrame([("c", i, x) for i, x in enumerate(items)], "circuit string, idx long, item string")
+    true, kept = collections.Counter(items), sketch.space_saving(df, "item", 12).collect()
+    assert len(kept) == 12 and all(k.weight - k.error <= true[k["item"]] <= k.weight for k in kept)
+    assert {x for x, n in true.items() if n > 3000 / 12} <= {k["item"] for k in kept}
+    sample = [x["item"] for x in sketch.reservoir(df, "item", 5, seed=3).collect()]
+    assert len(set(sample)) == 5 and sample == [x["item"] for x in sketch.reservoir(df.repartition(3), "item", 5, seed=3).collect()]
+    with pytest.raises(ValueError):
+        sketch.require_compatible({"width": 3, "size": 128}, {"width": 3, "size": 64})
