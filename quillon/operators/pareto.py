@@ -10,18 +10,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Parts whose own fronts are taken first.
+SALTS = 64
+
+
 def front_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows that no other row of their group dominates; equal points stay together.
 
     Reduced first to the least y of each x, then a running minimum over x: a row stays if it has its x's least y and
-    no smaller x reaches it. No pair of rows is compared.
+    no smaller x reaches it. No pair of rows is compared. Fronts of hash parts come before the front of a whole group,
+    so that one large group is not one task's sort.
     """
-    least = df.groupBy(*by, x).agg(F.min(y).alias("_least"))
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-    front = least.withColumn("_before", F.min("_least").over(w)).where("_before is null or _least < _before").drop("_before")
-    front = front.withColumnsRenamed({c: f"_{c}" for c in (*by, x)})
+    least = df.groupBy(*by, x).agg(F.min(y).alias("_least")).withColumn("_salt", F.pmod(F.xxhash64(x), F.lit(SALTS)))
+    for part in ([*by, "_salt"], list(by) or [F.lit(0)]):
+        w = W.partitionBy(*part).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
+        least = least.withColumn("_before", F.min("_least").over(w)).where("_before is null or _least < _before").drop("_before")
+    best = least.drop("_salt").withColumnsRenamed({c: f"_{c}" for c in (*by, x)})
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, x)))
-    return df.join(front, same & (F.col(y) == F.col("_least"))).select(df.columns)
+    return df.join(best, same & (F.col(y) == F.col("_least"))).select(df.columns)
 
 
 def _dominates(a: str, b: str, metrics: Sequence[str]):
