@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,3 +130,23 @@ def arity_counts(ops: DataFrame) -> DataFrame:
     size = F.size(F.array_distinct("qubits"))
     count = lambda c: F.count_if(c)
     return ops.groupBy("circuit").agg(count(~special & (size == 1)).alias("one_qubit"), count(~special & (size == 2)).alias("two_qubit"), count(~special & (size > 2)).alias("multi_qubit"), count(F.col("name") == "measure").alias("measures"), count(F.col("name") == "reset").alias("resets"), count(F.col("name") == "barrier").alias("barriers"), F.count("*").alias("total"))
+
+
+def rounded_parameters(ops: DataFrame, digits: int = 9) -> DataFrame:
+    """Numeric parameters rounded to so many digits: a fingerprint of them ignores noise below that. Text stays."""
+    return ops.withColumn("parameters", F.transform("parameters", lambda x: F.coalesce(F.format_string(f"%.{digits}f", F.round(x.try_cast("double"), digits)), x)))
+
+
+def exact_parameters(ops: DataFrame) -> DataFrame:
+    """Numeric parameters as hexadecimal floats: a fingerprint of them tells any two doubles apart."""
+    @F.pandas_udf("array<string>")
+    def exact(values: pd.Series) -> pd.Series:
+        def one(x):
+            try:
+                return float(x).hex()
+            except ValueError:
+                return x
+
+        return values.map(lambda xs: None if xs is None else [one(x) for x in xs])
+
+    return ops.withColumn("parameters", exact("parameters"))

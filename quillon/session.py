@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         if spark.sparkContext.applicationId not in _LOCAL:
             _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, _LOCAL[spark.sparkContext.applicationId], ignore_errors=True)
         found = _LOCAL[spark.sparkContext.applicationId]
     return found
 

@@ -247,3 +247,20 @@ def optimization_problems(runs: DataFrame) -> DataFrame:
         row = bad.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def optimization_steps(runs: DataFrame) -> DataFrame:
+    """One row for each step of each run: run_id, step, metrics."""
+    return runs.select("source_id", "run_id", "order", F.posexplode("steps").alias("step", "metrics"))
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Version records of a folder of JSON documents, one each; fields that some lack are null."""
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)
+
+
+def gate_histogram(records: DataFrame, key: str = "circuit_id") -> DataFrame:
+    """key, name, n from a struct column metrics.gate_histogram; absent gates give no row."""
+    names = [f.name for f in records.schema["metrics"].dataType["gate_histogram"].dataType]
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"metrics.gate_histogram.`{n}`").cast("long").alias("n")) for n in names))
+    return records.select(key, F.explode(pairs).alias("g")).select(key, "g.*").where("n is not null")

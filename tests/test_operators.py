@@ -223,3 +223,19 @@ def test_bounded_summaries(spark):
     assert len(set(sample)) == 5 and sample == [x["item"] for x in sketch.reservoir(df.repartition(3), "item", 5, seed=3).collect()]
     with pytest.raises(ValueError):
         sketch.require_compatible({"width": 3, "size": 128}, {"width": 3, "size": 64})
+
+
+def test_parameters_and_catalogs(spark, tmp_path):
+    df = table(spark, a=[("rz", [0], [], ["0.1", "pi"])], b=[("rz", [0], [], ["0.10000000000000002", "pi"])])
+    prints = lambda ops: {r.circuit: r.fingerprint for r in canonical.fingerprints(ops).collect()}
+    assert len(set(prints(canonical.rounded_parameters(df)).values())) == 1
+    assert len(set(prints(canonical.exact_parameters(df)).values())) == 2
+    assert canonical.exact_parameters(df).where("circuit = 'a'").first().parameters == [0.1.hex(), "pi"]
+    (tmp_path / "a.json").write_text('{"circuit_id":"a","metrics":{"depth":3,"gate_histogram":{"h":1}}}')
+    (tmp_path / "b.json").write_text('{"circuit_id":"b",\n"metrics":{"gate_histogram":{"cx":2}}}')
+    assert {tuple(r) for r in readers.gate_histogram(readers.catalog(spark, str(tmp_path))).collect()} == {("a", "h", 1), ("b", "cx", 2)}
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "d.json").write_text('{"circuits":[{"source_id":1,"name":"n","baseline":[9,9],"runs":[{"order":"A","run_id":1,"status":"OK","verified":true,"final":[5,5],"steps":[[7,7],[5,5]]},{"order":"B","run_id":1,"status":"OK","verified":true,"final":[5,6],"steps":[[5,5]]}]}]}')
+    runs = readers.optimization_runs(spark, str(tmp_path / "runs"))
+    assert {r.rule: r.violations for r in readers.optimization_problems(runs).collect()} == {"duplicate_run": 1, "last_step_is_final": 1, "duplicate_order": 0}
+    assert readers.optimization_steps(runs).count() == 3
