@@ -106,7 +106,9 @@ def _add_counts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 def frequency_levels(info: DataFrame) -> np.ndarray:
     """For each counter: log2 of how often it is above the usual count, 0 for usual ones. A table of fixed size."""
-    rows = info.where("kind = 1").select("chunk", "counts").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
+    parts = info.where("kind = 1").select("chunk", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
+    parts = parts.groupBy("chunk", "salt").applyInArrow(_add_counts, "chunk int, counts binary")
+    rows = parts.groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
     total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
     for r in rows:
         total[r["chunk"] * COUNTER_CHUNK : (r["chunk"] + 1) * COUNTER_CHUNK] = unpack(bytes(r["counts"]), np.int64)
@@ -261,9 +263,9 @@ def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
     return _with_sets(pairs, source).mapInArrow(_linked, "a long, b long")
 
 
-DEVIATIONS = "hub long, node long, linked boolean, token long, prefix int, want int"
+DEVIATIONS = "hub long, node long, linked boolean, token long, prefix int, v int, n int"
 #: Differences to a hub that two of its members must share in the shorter one's prefix.
-HUB_MATCHES = 4
+HUB_MATCHES = 2
 
 
 def _deviations(batches):
@@ -271,7 +273,7 @@ def _deviations(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
             for hub, node, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), part.column("tokens_a"), part.column("tokens_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
                 own = np.concatenate([np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)])
@@ -280,11 +282,11 @@ def _deviations(batches):
                 linked = v * (100 + PERCENT) <= (100 - PERCENT) * (n + len(x))
                 shared = (v - (n - len(x)) * (100 - PERCENT) / (100 + PERCENT)) / 2
                 least = max(1, int(np.ceil(shared - 1e-9)))
-                want = min(HUB_MATCHES, least)
-                for to, value in zip(columns, (np.full(v, hub), np.full(v, node), np.full(v, linked), own.astype(np.int64), np.full(v, v - least + want), np.full(v, want)), strict=True):
+                prefix = v - least + min(HUB_MATCHES, least)
+                for to, value in zip(columns, (np.full(v, hub), np.full(v, node), np.full(v, linked), own.astype(np.int64), np.full(v, prefix), np.full(v, v), np.full(v, n)), strict=True):
                     to.append(value)
-            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "prefix", "want"])
+            arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "prefix", "v", "n"])
 
 
 def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFrame:
@@ -292,8 +294,9 @@ def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFram
 
     Two sets differ exactly where their differences to the hub differ. Of two linked members in two components at
     most one is linked with the hub. With v tokens of difference, n and h tokens in member and hub, a member that has
-    a link to one that is not linked with the hub shares more than (v - (n - h) / 9) / 2 differences with it, so in
-    any order k of its first v - that + k differences are among the other's. The rarest of the group come first.
+    a link to one that is not linked with the hub shares more than (v - (n - h) / 9) / 2 differences with it; once both
+    are known, at least s = (v + v' - (n + n') / 9) / 2. With the rarest differences of the group first, two such
+    members share k of their first v - s + k and v' - s + k differences.
     """
     rows = cut(_with_sets(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), source).mapInArrow(_deviations, DEVIATIONS))
     label = near.select("node", "component")
@@ -302,10 +305,16 @@ def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFram
     # a difference that no other member has takes its place in the prefix but meets nobody
     ranked = known.join(often, ["hub", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     at = F.row_number().over(W.partitionBy("hub", "node").orderBy("often", "token"))
-    x = ranked.withColumn("at", at).where("at <= prefix and often > 1").select("hub", "token", F.col("node").alias("x"), F.col("component").alias("component_x"), "want")
-    y = known.where("not linked").select("hub", "token", F.col("node").alias("y"), F.col("component").alias("component_y"))
-    pairs = x.join(y, ["hub", "token"]).where("x <> y and component_x <> component_y").groupBy("x", "y").agg(F.count("*").alias("matches"), F.first("want").alias("want")).where("matches >= want")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ranked = ranked.withColumn("at", at).where("often > 1")
+    x = ranked.where("at <= prefix").select("hub", "token", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "linked", "at", "v", "n")))
+    y = ranked.where("not linked").select("hub", "token", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "at", "v", "n")))
+    least = F.ceil(((F.col("v_x") + F.col("v_y")) * (100 + PERCENT) - (F.col("n_x") + F.col("n_y")) * (100 - PERCENT)) / (2 * (100 + PERCENT)) - 1e-9)
+    least = F.greatest(F.lit(1), least)
+    want = F.least(F.lit(HUB_MATCHES), least)
+    apart = F.expr("node_x <> node_y and component_x <> component_y and (linked_x or node_x < node_y)")
+    pairs = x.join(y, (x["hub"] == y["hub"]) & (x["token"] == y["token"]) & apart & (F.col("at_x") <= F.col("v_x") - least + want) & (F.col("at_y") <= F.col("v_y") - least + want))
+    pairs = pairs.groupBy("node_x", "node_y").agg(F.count("*").alias("matches"), F.first(want).alias("want")).where("matches >= want")
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
