@@ -38,8 +38,8 @@ STAR = 12
 #: Counters of shingle frequencies: 2**COUNTER_BITS, a fixed size.
 COUNTER_BITS = 20
 COUNTER_CHUNK = 1 << 14
-#: Input bytes for each range of tokens.
-RANGE_BYTES = 16 << 20
+#: Input bytes for each range of tokens. A pair has a row for each range with tokens of it, so ranges are large.
+RANGE_BYTES = 32 << 20
 
 INFO = "kind int, doc_id long, n int, signature long, chunk int, counts binary"
 ENTRIES = "part int, docs binary, sizes binary, signatures binary, levels binary, counts binary, tokens binary, places binary"
@@ -352,7 +352,7 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     info = cut(source.mapInArrow(_info, INFO))
     known = source.where("doc_id is not null and text is not null")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(info))
-    bits = hash_parts(docs, RANGE_BYTES).bit_length() - 1
+    bits = hash_parts(docs, RANGE_BYTES, 0.5).bit_length() - 1
     found = cut(known.mapInArrow(_entries(bits, levels), ENTRIES).groupBy("part").applyInArrow(_candidates, CANDIDATES))
     shared = found.where("kind = 0").groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
     pairs = cut(shared.where("matches >= want").select("a", "b"))

@@ -37,6 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: lost executors cost no earlier stage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillon/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what only earlier steps refer to is garbage now; Spark deletes shuffle files once the driver has collected it
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,9 +64,10 @@ def input_bytes(df: DataFrame) -> int:
     return n if n < 1 << 60 else 0
 
 
-def hash_parts(df: DataFrame, bytes_each: int) -> int:
-    """A power of two: hash ranges so that each stands for about bytes_each of the input, and no fewer than shuffle partitions."""
-    n = max(input_bytes(df) // bytes_each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+def hash_parts(df: DataFrame, bytes_each: int, of_partitions: float = 1) -> int:
+    """A power of two: hash ranges so that each stands for about bytes_each of the input, and no fewer than this share of
+    the shuffle partitions."""
+    n = max(input_bytes(df) // bytes_each, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * of_partitions), 1)
     return min(1 << 16, 1 << (int(n) - 1).bit_length())
 
 
