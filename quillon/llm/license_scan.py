@@ -1,9 +1,11 @@
 """License scans with a generalised suffix automaton of licence tokens.
 
 The automaton holds every run of words of all templates and phrases. A text is streamed through it: at each word the
-matching statistic is the longest run of words ending there that some template holds. Maximal matches of at least
-LEAST words are chained in text and template order, gaps of at most GAP words; a template is found where a chain
-covers COVERED of it. Phrases are found where the statistic's state has the phrase as a suffix.
+matching statistic is the longest run of words ending there that some template holds. A maximal match of at least
+LEAST words is credited to the templates that hold it, and its longest runs to the templates that hold only a part of
+it (a short template may end or lie inside of a match of a longer one). Runs of different matches are chained in text and template
+order, gaps of at most GAP words; a template is found where a chain covers COVERED of it. Two parts of one match are no
+chain: "Attribution ShareAlike 4.0" is no "Attribution 4.0". Phrases are found where the statistic's state has the phrase as a suffix.
 
 Only words of the vocabulary whose neighbour follows them in some template can give a statistic of two or more; the
 others are passed over with numpy, and the automaton steps through the runs that are left. Phrases have two words at least.
@@ -119,7 +121,8 @@ class Scanner:
         vocabulary = sorted({w for t in texts for w in t})
         number = {w: i for i, w in enumerate(vocabulary)}
         coded = [[number[w] for w in t] for t in texts]
-        self.automaton = Automaton(coded)
+        self.automaton, self.coded = Automaton(coded), coded
+        self.known_credits: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
         # phrases by state: those that the state's runs end with
         home = {}
         for k, t in enumerate(coded[len(templates) :]):
@@ -174,23 +177,49 @@ class Scanner:
             matches.append((len(token) - length, length, state))
         return found, matches
 
+    def holders(self, state: int, length: int) -> dict[int, tuple[int, int]]:
+        """Of each template that holds LEAST words or more of the end of the state's run of this length: how many, and where they end in it."""
+        a, found = self.automaton, {}
+        while length >= LEAST:
+            for t, end in a.ends[state].items():
+                if t < len(self.labels):
+                    found.setdefault(t, (length, end))
+            state = a.link[state]
+            length = a.length[state]
+        return found
+
+    def credits(self, state: int, length: int) -> list[tuple[int, int, int, int]]:
+        """(template, start, length, template end) of each template's maximal runs within a match; all of it where it holds that."""
+        if (state, length) not in self.known_credits:
+            whole = self.automaton.ends[state]
+            text, end = next(iter(whole.items()))
+            out, before, s, n = [], {}, 0, 0
+            for i, token in enumerate([*self.coded[text][end - length : end], None]):
+                now = {}
+                if token is not None:
+                    s, n = self.automaton.step(s, n, token)
+                    now = self.holders(s, n)
+                out += [(t, i - k, k, e) for t, (k, e) in before.items() if now.get(t, (0, 0))[0] <= k and (t not in whole or k == length)]
+                before = now
+            self.known_credits[state, length] = out
+        return self.known_credits[state, length]
+
     def chained(self, matches: list[tuple[int, int, int]]) -> dict[int, float]:
-        """Best covered share of each template by chains of matches in the text's order."""
+        """Best covered share of each template by chains of runs in the text's order, no two of one match."""
         best: dict[int, float] = {}
-        open_chains: dict[int, tuple[int, int, int]] = {}  # template: text end, template end, words
-        for start, length, state in matches:
-            for t, end in self.automaton.ends[state].items():
-                if t >= len(self.labels):
-                    continue
-                words = length
-                if t in open_chains:
-                    text_end, template_end, had = open_chains[t]
-                    if 0 <= start - text_end <= GAP and 0 <= end - length - template_end <= GAP:
-                        words += had
-                    elif had > length and start - text_end <= GAP:
-                        continue
-                open_chains[t] = (start + length, end, words)
-                best[t] = max(best.get(t, 0.0), min(1.0, words / self.sizes[t]))
+        chains: dict[tuple[int, int], list[tuple[int, int, int]]] = {}  # template, text end: template end, words, end of the match
+        for at, size, state in matches:
+            fresh = []
+            for t, offset, length, end in self.credits(state, size):
+                start, had = at + offset, 0
+                for text_end in range(start - GAP, min(start, at) + 1):
+                    for template_end, words, match_end in chains.get((t, text_end), ()):
+                        if match_end <= start and 0 <= end - length - template_end <= GAP:
+                            had = max(had, words)
+                fresh.append(((t, start + length), (end, had + length, at + size)))
+                best[t] = max(best.get(t, 0.0), min(1.0, (had + length) / self.sizes[t]))
+            for place, chain in fresh:
+                chains.setdefault(place, []).append(chain)
         return best
 
 

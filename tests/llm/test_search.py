@@ -102,6 +102,16 @@ def test_licences(frame):
     assert (got[5].labels, got[6].labels, got[7].n_base, got[7].first_word) == ("", "mit", 1, 2)
 
 
+def test_licences_inside_longer_matches(frame):
+    notice = "Licensed under the Apache License, Version 2.0"
+    share_alike = license_scan.TEMPLATES[17][1]
+    rows = [(1, f"{notice}."), (2, f'{notice} (the "License");'), (3, share_alike), (4, license_scan.TEMPLATES[13][1]), (5, "under the Apache License of old")]
+    got = {r.doc_id: r for r in license_scan.scan(frame(rows)).collect()}
+    assert (got[1].labels, got[1].score, got[1].template_words) == ("apache", 1.0, 8)
+    assert (got[2].labels, got[2].score) == ("apache", 1.0)
+    assert got[3].labels == "cc-by-sa" and got[4].labels == "agpl,gpl" and got[5].labels == ""
+
+
 def test_automaton_statistics():
     r = random.Random(8)
     texts = [[r.randrange(4) for _ in range(r.randint(2, 15))] for _ in range(12)]
