@@ -7,8 +7,8 @@ compared by 128-bit fingerprints with the smallest document that holds the same
 windows make up the maximal exact repeats, which are removed from all documents but the smallest.
 
 Hashes travel packed by hash range, so that a task's memory follows its range, not the size of a group of copies:
-the index keeps the smallest and largest document of a block only, probes stream past it, and fingerprints are
-reduced to a slice's smallest document before the shuffle.
+the index keeps the smallest and largest document of a block only, which a slice's blocks are reduced to before the
+shuffle, probes stream past it, and fingerprints are reduced to a slice's smallest document before the shuffle.
 
 Edge cases: a null or empty text has no words and stays as it is; a null doc_id takes no part; rows that share a
 doc_id are one document for "smaller doc_id", each with its own text; repeats within one document stay; an empty
@@ -32,6 +32,8 @@ WINDOW, BLOCK = 50, 25
 RANGE_BYTES = 8 << 20
 #: Tasks that share the probes of a hash range.
 SALTS = 2
+#: Block rows after which an index is compacted while it is built.
+INDEX_ROWS = 4_000_000
 
 ANCHORS = "part int, salt int, kind int, docs binary, counts binary, hashes binary"
 HITS = "doc_id long, anchor long"
@@ -74,7 +76,7 @@ def _anchors(bits: int):
             doc_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # packed ids ascend
             sorted_ids = np.sort(ids, kind="stable")
             rows = []
-            for kind, chosen in ((0, (at - words.first[doc]) % BLOCK == 0), (1, slice(None))):
+            for kind, chosen in ((0, _outermost(keys, doc_rank[doc], np.flatnonzero((at - words.first[doc]) % BLOCK == 0))), (1, slice(None))):
                 k, d = keys[chosen], doc_rank[doc[chosen]]
                 for part, own in _by_part(k >> 32, d):
                     who, counts = _docs(d[own])
@@ -85,6 +87,13 @@ def _anchors(bits: int):
     return run
 
 
+def _outermost(keys: np.ndarray, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of the places `own`: for each key one of its first and one of its last document."""
+    own = own[np.lexsort((rank[own], keys[own]))]
+    heads = _heads(keys[own])
+    return own[np.unique(np.concatenate([heads, np.append(heads[1:], len(own)) - 1]))] if len(own) else own
+
+
 def _batch(rows: list[tuple], names: tuple[str, ...], ints: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int32() if i < ints else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=names)
 
@@ -100,9 +109,9 @@ class _Index:
     def add(self, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         self.parts.append((h, low, high))
         self.rows += len(h)
-        if self.rows > 4_000_000 and len(self.parts) > 1:
+        self.h = None  # to be closed before it is probed
+        if self.rows > INDEX_ROWS and len(self.parts) > 1:
             self.close()
-            self.parts, self.rows = [(self.h, self.low, self.high)], 0
 
     def close(self) -> None:
         h, low, high = (np.concatenate(x) for x in zip(*self.parts, strict=True))
@@ -111,6 +120,7 @@ class _Index:
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         self.h, self.low, self.high = h[cuts], np.minimum.reduceat(low[order], cuts), np.maximum.reduceat(high[order], cuts)
         self.hit = np.zeros(len(self.h), dtype=bool)
+        self.parts, self.rows = [(self.h, self.low, self.high)], 0
 
 
 def _matches(batches):

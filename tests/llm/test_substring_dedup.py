@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from quillon.llm import substring_dedup as m
 
 
@@ -43,6 +46,31 @@ def test_against_brute_force(frame):
     assert got == brute(rows)
 
 
+def sent(rows):
+    """The rows that leave for the index and the probes, in the order of a task."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    out = [r for b in m._anchors(0)([batch.slice(i, 6) for i in range(0, len(rows), 6)]) for r in b.to_pylist()]
+    return sorted(out, key=lambda r: (r["part"], r["salt"], r["kind"]))
+
+
+def test_rows_after_a_compaction_are_indexed(monkeypatch):
+    late = " ".join(f"late{i}" for i in range(100))
+    rows = sent([*sorted(x for x in corpus() if x[0] is not None), (60, late), (61, "other " + late)])
+    hits = lambda: {p for b in m._matches([pa.RecordBatch.from_pylist(rows)]) for p in zip(*b.to_pydict().values(), strict=True)}
+    want = hits()
+    for bound in (1, *range(10, 200, 10)):
+        monkeypatch.setattr(m, "INDEX_ROWS", bound)
+        assert want and hits() == want
+
+
+def test_blocks_of_copies_are_reduced():
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [r for r in sent([(i, text) for i in range(6)]) if r["kind"] == 0 and r["salt"] == 0]
+    assert [m.unpack_ids(r["docs"]).tolist() for r in rows] == [[0, 5]] and m.unpack(rows[0]["counts"], np.uint32).tolist() == [4, 4]
+    (one,) = (r for r in sent([(1, text)]) if r["kind"] == 0 and r["salt"] == 0)
+    assert m.unpack(one["counts"], np.uint32).tolist() == [4]
+
+
 def test_rewrite(frame):
     rows = [(1, " ".join(f"w{i}" for i in range(60))), (2, "own  words " + " ".join(f"w{i}" for i in range(60)) + " tail"), (3, " ".join(f"w{i}" for i in range(60))), (4, "kept  as it is"), (5, None)]
     out = m.remove_repeats(frame(rows))
