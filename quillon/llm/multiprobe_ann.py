@@ -13,8 +13,8 @@ in every table; nothing is capped.
 
 The fitted part is the sample: SAMPLE vectors for the expected cosine and the number of hashes.
 
-Edge cases: vectors that are null, zero, of another length than most or with null or non-finite parts take no part, nor does a
-null vec_id; fewer candidates than `top` are all returned; ties go to the smaller vec_id; a repeated vec_id stands for
+Edge cases: vectors that are null, zero, of another length than the most frequent one (of equally frequent ones the
+smaller) or with null or non-finite parts take no part, nor does a null vec_id; fewer candidates than `top` are all returned; ties go to the smaller vec_id; a repeated vec_id stands for
 each of its vectors and is never its own neighbour; no vectors give an empty result.
 """
 
@@ -54,6 +54,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(good, F.lit(False)))
 
 
+def usual_length(rows: DataFrame) -> int | None:
+    """The most frequent length of vectors; None without any."""
+    found = rows.groupBy(F.size("embedding").alias("dimension")).count().orderBy(F.desc("count"), "dimension").first()
+    return found["dimension"] if found else None
+
+
 def entries(rows: DataFrame, keep: int) -> DataFrame:
     """Distinct vectors with their `keep` smallest ids; a hot vector meets in two steps, never as one list."""
     least = lambda x: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))), 1, keep)
@@ -119,9 +125,9 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, total: int, top: int) -> Hashing | None:
-    """Hashing from the bounded sample and the largest norm of all vectors."""
+    """Hashing from the bounded sample and the largest norm of all vectors, which have one length."""
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    facts = vectors.agg(F.max(norm).alias("radius"), F.max(F.size("embedding")).alias("dimension")).first()
+    facts = vectors.agg(F.max(norm).alias("radius")).first()
     if facts["radius"] is None:
         return None
     rows = vectors.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").collect()
@@ -136,7 +142,7 @@ def fit(vectors: DataFrame, total: int, top: int) -> Hashing | None:
     expected = float(np.clip(np.median(best), 0.05, 0.999))
     share = max(1, -(-total // ENTRIES_EACH))
     hashes = int(np.clip(round(math.log(max(2.0, total / share / BUCKET_ROWS), 2.6)), 1, MOST_HASHES))
-    return Hashing(int(facts["dimension"]), float(facts["radius"]), hashes, expected)
+    return Hashing(x.shape[1], float(facts["radius"]), hashes, expected)
 
 
 def _search(model, block, top: int):
@@ -185,13 +191,12 @@ def _search(model, block, top: int):
 def neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of vectors for each row of queries (both vec_id, embedding)."""
     spark = vectors.sparkSession
-    index = cut(entries(usable(vectors), top + 1))
+    dimension = usual_length(usable(vectors))
+    index = cut(entries(usable(vectors).where(F.size("embedding") == F.lit(dimension)), top + 1))
     total = index.count()
     model = fit(index, total, top) if total else None
     result = spark.createDataFrame([], "query_id long, vec_id long, score double")
     if model:
-        dimension = model.planes.shape[2] - 1
-        index = index.where(F.size("embedding") == dimension)
         shares = max(1, -(-total // ENTRIES_EACH))
         # equal shares by the vector's hash; a share is one group
         index = index.withColumn("share", F.pmod(F.xxhash64("embedding"), F.lit(shares)))

@@ -49,6 +49,17 @@ def test_few_neighbours(spark):
     assert multiprobe_ann.neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((60, 8)).astype(np.float32))]
+    frame = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<float>")
+    found = lambda x: sorted(map(tuple, multiprobe_ann.neighbours(frame(x), frame(x).where("vec_id % 5 = 0"), 5).collect()))
+    others = [(100, [9.0] * 9), (105, [50.0] * 12), (110, [1.0] * 3), (115, [2.0])]
+    want = found(rows)
+    assert len(want) == 60 and found(rows + others) == want
+    assert found([*rows, others[0]]) == want and found([*rows, others[2]]) == want
+
+
 def test_block_max_wand_finds_all():
     r = random.Random(2)
     pool = [f"w{i}" for i in range(60)]
