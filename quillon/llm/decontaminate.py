@@ -2,14 +2,15 @@
 
 Items are indexed with BM25 impacts divided by the item's own score, so that an item's whole text scores 1 and one
 threshold serves all. Documents are cut into overlapping passages of whole half-passages, long enough to hold any
-item of the shard; every passage is a query. First a vectorised bound adds, for each half-passage and each block of
+item of the benchmark; every passage is a query. First a vectorised bound adds, for each half-passage and each block of
 BLOCK items, the block-max impacts of its words, and the most that long lists of light words can add; passages whose
 two halves stay below the threshold for every block can have no item above it. For the others WAND runs with list maxima for the pivot and block maxima for the skips,
 and returns every item at or above the threshold. A hit counts if the item's question (all sentences but the last)
 and its answer (the last one) both overlap the text around the passage in at least OVERLAP of their word trigrams.
 
-The index is a broadcast of at most SHARD_ITEMS items; larger benchmarks go through in shards by hash of item_id,
-every passage against every shard.
+The index is a broadcast of about SHARD_ITEMS items at most; larger benchmarks go through in shards by hash of item,
+every passage against every shard. Item count, document frequencies, mean length and the longest item are those of the
+whole benchmark in every shard, so that scores, passages and hits are those of one index.
 
 Edge cases: null or empty texts and items without words give no row; a null item_id is an item; a null doc_id keeps its
 rows, as null; repeated rows give their rows once each; an item of one sentence has it as question and answer; an
@@ -21,13 +22,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches
+from quillon.llm.store import bounded_batches, cut
 from quillon.llm.textkern import ALNUM, Words, slices
 
 K1, B = 1.2, 0.75
@@ -52,10 +55,19 @@ def _grams(h) -> list[tuple]:
     return [tuple(h[i : i + n]) for i in range(len(h) - n + 1)] if n else []
 
 
+class Statistics(NamedTuple):
+    """Of a whole benchmark: items and words, words of the longest item, and how many items hold each term."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: Mapping[int, int]
+
+
 class Index:
-    """Posting lists by term, in item order, with list and block maxima."""
+    """Posting lists by term, in item order, with list and block maxima; statistics are the items' own if not given."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], whole: Statistics | None = None):
         items = [(i, t) for i, t in items if t and len(_hashes(t.encode()))]
         self.ids = [i for i, _ in items]
         self.parts = []
@@ -66,12 +78,13 @@ class Index:
             question, answer = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t, t)
             self.parts.append((_grams(_hashes(question.encode())), _grams(_hashes(answer.encode()))))
         n = len(items)
-        self.longest = max(map(len, words), default=0)
+        own_terms = Counter(int(x) for w in words for x in set(w.tolist()))
+        whole = whole or Statistics(n, sum(map(len, words)), max(map(len, words), default=0), own_terms)
+        self.longest = whole.longest
         self.half = max(HALF_WORDS, self.longest)
-        frequency = Counter(int(x) for w in words for x in set(w.tolist()))
-        mean = sum(map(len, words)) / n if n else 1
-        idf = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t, df in frequency.items()}
-        self.terms = np.array(sorted(frequency), dtype=np.uint64)
+        mean = whole.words / whole.items if whole.items else 1
+        idf = {t: math.log(1 + (whole.items - whole.frequency[t] + 0.5) / (whole.frequency[t] + 0.5)) for t in own_terms}
+        self.terms = np.array(sorted(own_terms), dtype=np.uint64)
         number = {int(t): i for i, t in enumerate(self.terms)}
         postings: list[list[tuple[int, float]]] = [[] for _ in number]
         for d, w in enumerate(words):
@@ -242,14 +255,43 @@ def _clean(shard, threshold: float, overlap: float):
     return run
 
 
+def _item_terms(batches):
+    """Distinct terms of each item, and a row without term for each item that has words: its shard and its words."""
+    for batch, buf, bounds in slices(batches, most=SLICE):
+        words = Words(buf, bounds, ALNUM)
+        h = words.hashes(lower=True).view(np.int64)
+        shard = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int32)
+        doc = words.doc()
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        first = np.ones(len(h), dtype=bool)
+        first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        some = np.flatnonzero(words.counts)
+        none = np.zeros(len(some), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shard[doc[first]], shard[some]])), pa.concat_arrays([pa.array(h[first]), pa.array(none, mask=np.ones(len(some), dtype=bool))]), pa.array(np.concatenate([np.zeros(int(first.sum()), dtype=np.int64), words.counts[some]]))], names=["shard", "term", "words"])
+
+
+def _statistics(items: DataFrame, shards: int) -> Iterator[Statistics]:
+    """The whole benchmark's statistics for one shard after another, with the frequencies of the shard's own terms."""
+    counted = cut(items.mapInArrow(_item_terms, "shard int, term long, words long").groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")))
+    n, words, longest = counted.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(0))).first()
+    terms = counted.where("term is not null")
+    whole = cut(terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("n").alias("n")), "term"))
+    for k in range(shards):
+        own = whole.where(F.col("shard") == k).select("term", "n").toArrow()
+        term, held = (own.column(c).to_numpy() for c in ("term", "n"))
+        yield Statistics(n, words, longest, dict(zip(term.view(np.uint64).tolist(), held.tolist(), strict=True)))
+
+
 def _shards(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast indexes of at most about SHARD_ITEMS items each."""
+    """Broadcast indexes of at most about SHARD_ITEMS items each, with the statistics of the whole benchmark."""
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     shards = max(1, -(-items.count() // SHARD_ITEMS))
-    spread = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    whole = _statistics(items, shards) if shards > 1 else [None]  # one index has all items
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(Index([(r["item_id"], r["text"]) for r in items.where(spread == k).orderBy("item_id", "text").collect()])) for k in range(shards)]
+    return [context.broadcast(Index([(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).orderBy("item_id", "text").collect()], own)) for k, own in enumerate(whole)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:

@@ -103,6 +103,25 @@ def test_leaks(spark, frame):
     assert decontaminate.contaminated(frame([]), benchmark).count() == 0
 
 
+def test_shards_are_one_index(spark, frame, monkeypatch):
+    r = random.Random(6)
+    pool = ["".join(r.choice("bcdfgaeiou") for _ in range(5)) for _ in range(150)]
+    items = [(i, " ".join(pool[min(int(r.expovariate(0.03)), 149)] for _ in range(r.choice((6, 12, 30, 90))))) for i in range(60)]
+    rows = []
+    for i in range(150):
+        w = r.choice(items)[1].split()
+        rows.append((i, " ".join(pool[r.randrange(150)] if r.random() < 0.35 else x for x in w + [r.choice(pool) for _ in range(r.choice((0, 100)))])))
+    benchmark = spark.createDataFrame([*items, (60, ""), (61, " .. "), (62, None), (None, items[3][1])], "item_id long, text string")
+    found = lambda: {(g.doc_id, g.item_id): (round(g.score, 9), g.question_overlap, g.answer_overlap, g.first_word, g.passage_words) for g in decontaminate.contaminated(frame(rows), benchmark, 0.5, 0.2).collect()}
+    want, kept = found(), {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), benchmark, 0.5, 0.2).collect()}
+    assert len({s for s, *_ in want.values()}) > 20 and 0 < len(kept) < len(rows)
+    for bound in (40, 9):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", bound)
+        assert found() == want
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 20)
+    assert {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), benchmark, 0.5, 0.2).collect()} == kept
+
+
 def test_licences(frame):
     mit = license_scan.TEMPLATES[0][1]
     rows = [(1, "x All Rights, RESERVED. cc by cc-by General Public-License"), (2, f"head {mit} tail"), (3, None), (4, ""), (None, "cc by"), (5, "the software is here"), (6, "licensed under the MIT license"), (7, "all rights all rights reserved"), (7, "all rights all rights reserved")]
