@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 #: Bytes of an Arrow batch on its way to Python, unless the session asks for fewer.
 BATCH_BYTES = 8 << 20
+#: Setting that has Spark delete a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Temporary folders of local sessions, by application.
 LOCAL: dict[str, str] = {}
 
@@ -34,12 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: lost executors cost no earlier stage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # what only earlier steps refer to is garbage now; Spark deletes shuffle files once the driver has collected it
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a table in the shared folder and reads it: lost executors cost no earlier stage.
+
+    The write's shuffle files go when it is done, as nothing reads them any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/quillon/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.__dict__["written"])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -52,12 +70,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
 def bounded_batches(spark: SparkSession) -> None:
     """Has Arrow batches to Python end at BATCH_BYTES: a worker holds one batch, and documents can be long.
 
-    A session setting; a lower one stays."""
+    A session setting; a lower one stays, and one without bound (0 or less) does not."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_of(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def size_of(text: str) -> int:
+    """Bytes of a size such as 8388608, 64b, 8k, 16mb or -1."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)(?:i?b)?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, 0 if it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
