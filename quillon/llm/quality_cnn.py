@@ -1,15 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Input symbols are bytes, doubled by whether the byte's word repeats the word before it. FILTERS learned filters of
-WIDTH symbols run at every STRIDE-th byte of the whole text; each overlapping chunk of CHUNK sub-blocks (of SUB bytes,
-hop HOP sub-blocks) is max-pooled; the chunks' mean and maximum go through a logistic unit to one probability.
+Input symbols are the text's bytes and nothing else. FILTERS learned filters of WIDTH bytes run at every byte of the
+whole text; each overlapping chunk of CHUNK sub-blocks (of SUB bytes, hop HOP sub-blocks) is max-pooled; the chunks'
+mean and maximum go through a logistic unit to one probability.
 
-The network is fitted with Adam on a bounded sample: at most TRAIN_ROWS labelled rows of each class, lowest hash of
-doc_id first, texts of at most TRAIN_BYTES bytes. Scoring reads whole texts of every row.
+The network is fitted with Adam on a bounded sample, the only bound there is: labelled rows of each class in the order
+of a hash of doc_id, at most TRAIN_ROWS rows and TRAIN_BYTES bytes of text a class (rows that share doc_id and text
+count once). Scoring reads whole texts of every row.
 
 Edge cases: a null text is an empty one; empty texts get the score of padding alone; without labelled rows every
-score is 0.5; with one class only, that class's rate; a null doc_id is scored and not held out; repeated rows are
-scored one by one.
+score is 0.5; with one class only, that class's rate; a doc_id with several labels teaches each of them; a null doc_id
+is scored and not held out; repeated rows are scored one by one; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches
-from quillon.llm.textkern import NON_SPACE, Words, ranges, seeded, slices
+from quillon.llm.store import bounded_batches, cut
+from quillon.llm.textkern import ranges, seeded, slices
 
-WIDTH, STRIDE, FILTERS = 4, 2, 8
+WIDTH, FILTERS = 4, 24
 SUB, CHUNK, HOP = 64, 4, 3
-TRAIN_ROWS, TRAIN_BYTES = 1500, 1 << 20
-EPOCHS, BATCH, RATE, LEAST_STEPS = 6, 32, 0.02, 200
+TRAIN_ROWS, TRAIN_BYTES = 1500, 16 << 20
+EPOCHS, BATCH, RATE, LEAST_STEPS = 8, 32, 0.02, 200
 THRESHOLD = 0.3
 #: Text bytes at once: bounds the filter responses.
 SLICE = 1 << 19
@@ -35,7 +37,7 @@ SLICE = 1 << 19
 
 @dataclass
 class Network:
-    filters: np.ndarray  # WIDTH x 512 x FILTERS
+    filters: np.ndarray  # WIDTH x 256 x FILTERS
     bias: np.ndarray
     out: np.ndarray  # 2 * FILTERS
     out_bias: float
@@ -43,30 +45,23 @@ class Network:
 
 
 def symbols(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Padded symbols of the documents, and the sub-block at which each begins."""
-    words = Words(buf, bounds, NON_SPACE)
-    hashes = words.hashes()
-    same = np.zeros(len(words), dtype=bool)
-    same[1:] = hashes[1:] == hashes[:-1]
-    same[words.first[:-1][words.counts > 0]] = False
+    """The documents' bytes, each behind WIDTH zeros and padded with zeros to whole sub-blocks, so that no filter sees two
+    documents; and the sub-block at which each begins."""
     lengths = np.diff(bounds)
     blocks = (lengths + WIDTH + SUB - 1) // SUB
     first = np.concatenate([[0], np.cumsum(blocks)])
-    out = np.zeros(int(first[-1]) * SUB + WIDTH, dtype=np.int32)
-    plain = buf.astype(np.int32)
-    if same.any():
-        plain[ranges(words.start[same], words.end[same] - words.start[same])] += 256
-    out[ranges(first[:-1] * SUB, lengths)] = plain
+    out = np.zeros(int(first[-1]) * SUB + WIDTH, dtype=np.uint8)
+    out[ranges(first[:-1] * SUB + WIDTH, lengths)] = buf
     return out, first
 
 
 def responses(net: Network, sym: np.ndarray, blocks: int) -> np.ndarray:
-    """Filter sums at each position: blocks x SUB / STRIDE x FILTERS."""
+    """Filter sums at each byte: blocks x SUB x FILTERS."""
     n = blocks * SUB
-    sums = net.filters[0][sym[0:n:STRIDE]]
+    sums = net.filters[0][sym[:n]]
     for j in range(1, WIDTH):
-        sums += net.filters[j][sym[j : n + j : STRIDE]]
-    return sums.reshape(blocks, SUB // STRIDE, FILTERS)
+        sums += net.filters[j][sym[j : n + j]]
+    return sums.reshape(blocks, SUB, FILTERS)
 
 
 def chunk_table(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,11 +91,11 @@ def _steps(blocks: int, most: int = SLICE // SUB):
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Network:
-    """Adam on the log loss; deterministic."""
+    """Adam on the log loss with a falling rate; deterministic."""
     if len(labels) == 0 or labels.min() == labels.max():
         return Network(np.zeros(0), np.zeros(0), np.zeros(0), 0.0, constant=float(labels.mean()) if len(labels) else 0.5)
     rng = np.random.default_rng(int(seeded(21, 1)[0]) % (1 << 32))
-    params = [(rng.standard_normal((WIDTH, 512, FILTERS)) * 0.1).astype(np.float32), np.zeros(FILTERS, dtype=np.float32), (rng.standard_normal(2 * FILTERS) * 0.3).astype(np.float32), np.zeros(1, dtype=np.float32)]
+    params = [(rng.standard_normal((WIDTH, 256, FILTERS)) * 0.1).astype(np.float32), np.zeros(FILTERS, dtype=np.float32), (rng.standard_normal(2 * FILTERS) * 0.3).astype(np.float32), np.zeros(1, dtype=np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
@@ -108,7 +103,9 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     for t in texts:
         sym, first = symbols(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))
         ready.append((sym, int(first[-1])))
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))
+    steps = epochs * -(-len(texts) // BATCH)
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             grads = [np.zeros_like(p) for p in params]
@@ -121,7 +118,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
                     r = responses(net, sym[a * SUB : b * SUB + WIDTH], b - a)
                     place = r.argmax(axis=1)
                     tops.append(np.take_along_axis(r, place[:, None, :], axis=1)[:, 0])
-                    places.append(place * STRIDE + np.arange(a, b)[:, None] * SUB)
+                    places.append(place + np.arange(a, b)[:, None] * SUB)
                 top, place = np.concatenate(tops), np.concatenate(places)
                 table, _ = chunk_table(np.array([0, blocks]))
                 pick = top[table].argmax(axis=1)
@@ -144,19 +141,27 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
             for p, g, (m, v) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                p -= RATE * (1 - 0.9 * step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Network(*params[:3], float(params[3][0]))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fits on the bounded sample of labelled rows of docs (doc_id, text) and labels (doc_id, quality)."""
     bounded_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"))
-    spread = F.xxhash64("label_id", F.lit(7))
-    ids = known.where("quality = 1").orderBy(spread, "label_id").limit(TRAIN_ROWS).union(known.where("quality <> 1").orderBy(spread, "label_id").limit(TRAIN_ROWS))
-    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(2 * TRAIN_ROWS).collect()
-    return fit([r["text"].encode() for r in rows], np.array([float(r["quality"] == 1) for r in rows]))
+    spread = lambda c: F.xxhash64(c, F.lit(7))
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("label_id"), (F.col("quality").cast("int") == 1).alias("good")).distinct()
+    ids = known.where("good").orderBy(spread("label_id"), "label_id").limit(TRAIN_ROWS).union(known.where("not good").orderBy(spread("label_id"), "label_id").limit(TRAIN_ROWS))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    found = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    # which rows, by their sizes alone: at most TRAIN_ROWS of each class, so that one task may sum them up
+    sized = found.groupBy("doc_id", "mark", "good").agg(F.max(F.octet_length("text")).alias("n"))
+    sized = sized.withColumn("place", F.row_number().over(W.partitionBy("good").orderBy(spread("doc_id"), "doc_id", "mark"))).where(F.col("place") <= TRAIN_ROWS)
+    total = F.sum("n").over(W.partitionBy("good").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    chosen = cut(sized.where(F.col("n") <= TRAIN_BYTES).withColumn("total", total).where(F.col("total") <= TRAIN_BYTES).select("doc_id", "mark", "good", "place"))
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "mark"]).groupBy("doc_id", "mark", "good", "place").agg(F.first("text").alias("text")).collect()
+    sample.sort(key=lambda r: (r["place"], r["good"]))
+    return fit([r["text"].encode() for r in sample], np.array([float(r["good"]) for r in sample]))
 
 
 def _scores(net):
@@ -189,7 +194,7 @@ def _keeps(net, least: float):
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score below least."""
-    net = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels))
+    net = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     return docs.mapInArrow(_keeps(net, least), docs.schema)
 
 

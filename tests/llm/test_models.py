@@ -29,6 +29,40 @@ def test_quality_edges(spark, frame):
     assert quality_cnn.keep_good(docs, one).columns == docs.columns
 
 
+def brute_score(net, text):
+    """The network's probability, straight from its definition."""
+    n = -(-(len(text) + quality_cnn.WIDTH) // quality_cnn.SUB)
+    padded = bytes(quality_cnn.WIDTH) + text + bytes(n * quality_cnn.SUB - len(text))
+    at = [sum(net.filters[j][padded[i + j]] for j in range(quality_cnn.WIDTH)) for i in range(n * quality_cnn.SUB)]
+    subs = [np.maximum(np.max(at[k * quality_cnn.SUB : (k + 1) * quality_cnn.SUB], axis=0) + net.bias, 0) for k in range(n)]
+    starts = [0]
+    while starts[-1] + quality_cnn.CHUNK < n:
+        starts.append(starts[-1] + quality_cnn.HOP)
+    chunks = [np.max(subs[k : k + quality_cnn.CHUNK], axis=0) for k in starts]
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.out + net.out_bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_forward_pass_against_brute_force():
+    net = quality_cnn.fit([b"good words stand here " * 20] * 8 + [b"BAD!! WORDS!! " * 30] * 8, np.array([1.0] * 8 + [0.0] * 8))
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(32, 123, n).tolist()) for n in (0, 1, 59, 60, 61, 64, 190, 253, 256, 700, 1500)] + [b"x" * 60, b"good words " * 90]
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    got = quality_cnn.score_slice(net, buf, np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, [brute_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_sample_is_bounded_by_bytes(spark, frame, monkeypatch):
+    docs = frame([(i, "good words stand here " * 10) for i in range(20)] + [(i, "BAD!! WORDS!! " * 15) for i in range(20, 40)] + [(40, "BAD!! " * 100_000), (1, "good words stand here " * 10)])
+    labels = spark.createDataFrame([(i, int(i < 20), "x") for i in range(41)], "doc_id long, quality int, text string")
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, y: seen.append((texts, y)))
+    quality_cnn.train(docs, labels)
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 1000)
+    quality_cnn.train(docs, labels)
+    assert [(len(t), int(y.sum())) for t, y in seen] == [(41, 20), (8, 4)]
+
+
 def test_score_reads_whole_texts():
     net = quality_cnn.fit([b"good words stand here " * 20] * 8 + [b"BAD!! WORDS!! " * 30] * 8, np.array([1.0] * 8 + [0.0] * 8))
     texts = [b"good words stand here " * 400, b"good words stand here " * 400 + b"BAD!! WORDS!! " * 60]
