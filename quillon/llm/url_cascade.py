@@ -1,14 +1,18 @@
 """URL verdicts from a Bloom filter cascade, with DataFrame functions only.
 
-The key universe is every distinct host of the corpus. Level 1 encodes the listed keys, level 2 those other keys that
-level 1 wrongly has, level 3 the listed keys that level 2 wrongly has, and so on until a level is wrong about no key.
-A key of the universe is listed exactly if the first level that lacks it is an even one (or, if none lacks it, if the
-number of levels is odd). Pages test their host against the levels' bits: no join.
-
-A level's bits are a scalar subquery of at most MOST_BITS bits; a larger list would go through an exact semi-join.
-
-Edge cases: a null url or one without "://" has an empty host and path; an empty host is a key like others; no listed
-keys give no levels, and nothing is listed; repeated rows are judged one by one; an empty table gives an empty result.
+The listed keys are a table of hosts. The key universe is every
+distinct host of the corpus. Level 1 encodes the listed hosts of the universe, level 2 those others that level 1
+wrongly has, level 3 the listed ones that level 2 wrongly has, and so on until a level is wrong about no host.
+A host of the universe is listed exactly if the first level that lacks it is an even one (or, if none lacks it, if the
+number of levels is odd). Pages test their host against the levels' bits: no join. Only building the levels looks the
+universe up in the key table.
+
+A level's bits are a scalar subquery of at most MOST_BITS bits; a larger list goes through an exact semi-join.
+
+Edge cases: a null url or one without "://" has an empty host and path; an empty host is a key like others; null keys
+list nothing; keys in capitals are lower-cased; repeated keys count once; keys of no page are left out of the levels;
+no listed keys give no levels, and nothing is listed; repeated rows are judged one by one; an empty table gives an
+empty result; other columns of either table, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from pyspark.sql import functions as F
 from quillon.llm.store import cut
 
 HASHES, BITS_PER_KEY = 4, 10
-MOST_BITS = 1 << 23
+MOST_BITS = 1 << 26
 #: Host and path prefix, and verdict.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: A host is listed if one of its parts between dots and hyphens is one of these words.
+#: Without a key table, hosts of the corpus with one of these words between dots and hyphens are the keys.
 UNWANTED = ("adult", "ads", "bets", "casino", "pills", "spam")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,8 +72,7 @@ def _filter(keys: DataFrame, level: int, m: int) -> DataFrame:
 
 
 def cascade(universe: DataFrame) -> list[tuple[int, int, DataFrame]] | None:
-    """Levels (number, bits, words) from (key, listed), distinct keys; None if a level would be above MOST_BITS."""
-    universe = cut(universe)
+    """Levels (number, bits, words) from a written table (key, listed) of distinct keys; None if a level would be above MOST_BITS."""
     inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
     levels: list[tuple[int, int, DataFrame]] = []
     while n := inside.count():
@@ -90,18 +93,26 @@ def listed(key: Column, levels: list[tuple[int, int, DataFrame]]) -> Column:
     return out
 
 
-def unwanted_host(host: Column, words=UNWANTED) -> Column:
-    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, words)))
+def unwanted_hosts(hosts: DataFrame, words=UNWANTED) -> DataFrame:
+    """A key table (key) of those hosts (key) that have one of the words between dots and hyphens."""
+    return hosts.where(F.arrays_overlap(F.split("key", "[.-]"), F.array(*map(F.lit, words)))).select("key")
+
+
+def universe_of(hosts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, listed of every distinct host (key) of the corpus."""
+    wanted = keys.select(F.translate(F.col("key").cast("string"), UPPER, LOWER).alias("key"), F.lit(True).alias("listed")).where("key is not null").distinct()
+    return hosts.join(wanted, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-def judge(pages: DataFrame, rules=RULES, words=UNWANTED) -> DataFrame:
-    """page_id, host, path, rule, verdict of every row."""
+def judge(pages: DataFrame, rules=RULES, keys: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row; keys is a table of listed hosts (key)."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    universe = rows.select(F.col("host").alias("key")).distinct().select("key", unwanted_host(F.col("key"), words).alias("listed"))
+    hosts = cut(rows.select(F.col("host").alias("key")).distinct())
+    universe = cut(universe_of(hosts, unwanted_hosts(hosts) if keys is None else keys))
     levels = cascade(universe)
     if levels is None:
-        bad = cut(universe.where("listed").select(F.col("key").alias("_key")))
+        bad = universe.where("listed").select(F.col("key").alias("_key"))
         rows = rows.join(bad, F.col("host") == F.col("_key"), "left").withColumn("_listed", F.col("_key").isNotNull()).drop("_key")
     else:
         rows = rows.withColumn("_listed", listed(F.col("host"), levels))
