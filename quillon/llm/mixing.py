@@ -1,16 +1,19 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document has a hash-random key. Within a source the documents stand in key order: key ranges of equal width are
-prefix-summed by their totals, then each range on its own, so that no task holds more than a range of a source.
+Every document has a hash-random key. All documents are range-sorted by source and key, so that a hot source is cut
+into many ranges; the ranges' totals are prefix-summed within each source, then each range on its own. Sources are
+ranked and their targets found by the same range-sorted prefix sums, so that no task holds all sources either.
 A source's target is cut exactly: whole epochs first, then documents in key order up to the rest, the last in part.
 
 Edge cases: a null text has size 0 and takes nothing; a null source is a source, the last one; repeated rows count
-each; sources of size 0 have target 0; an empty table gives an empty result. The result is the same in every run.
+each (rows of one doc_id, or without one, that have equal sizes are dealt over ranges by their place in the input, as
+they can stand in any order); sources of size 0 have target 0; an empty table gives an empty result; other columns,
+whatever their names, do not matter. The result is the same in every run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,48 +21,58 @@ from quillon.llm.store import cut, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-#: Documents of a source for each key range, about.
-RANGE_ROWS = 1 << 16
+#: Documents for each range of the sort, about.
+RANGE_ROWS = 1 << 14
+
+
+def ranged(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
+    """df in order over about as many ranges as `rows` rows need, as a written table with a column `range`."""
+    parts = max(-(-rows // RANGE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+
+
+def before(df: DataFrame, order: list[Column], group: list[str], **sums: Column) -> DataFrame:
+    """df (from ranged()) with the sum over all rows of its group that come earlier, for each of `sums`."""
+    totals = df.groupBy(*group, "range").agg(*(F.sum(x).alias(f"_{name}") for name, x in sums.items()))
+    earlier = W.partitionBy(*group).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(c).alias(f"_{c}") for c in [*group, "range"]), *(F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*group, "range"]]
+    inside = W.partitionBy(*group, "range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = df.join(small(cut(totals)), same, "left")
+    return out.withColumns({name: F.col(f"_{name}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for name, x in sums.items()}).drop(*(f"_{c}" for c in [*group, "range", *sums]))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, total, ranges, target from (source, total, n): one row for each source.
+    """source, source_size, target from (source, total): one row for each source.
 
     The targets min(MOST * total, level * weight) share SHARE of all words: capped sources are those with the least
     MOST * total / weight, and the level follows from the first one that needs no cap.
     """
-    everything = W.partitionBy().orderBy(F.col("source").isNull(), "source")
-    rank = sizes.withColumn("place", F.row_number().over(everything) - 1)
-    weight = F.get(F.array(*map(F.lit, WEIGHTS)), F.pmod("place", F.lit(len(WEIGHTS))))
-    rank = rank.select("source", "total", "n", weight.alias("weight"), (F.col("total") * MOST).alias("cap"))
-    by_ratio = W.partitionBy().orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    rest = F.lit(SHARE) * F.sum("total").over(W.partitionBy()) - (F.sum("cap").over(by_ratio.rowsBetween(W.unboundedPreceding, 0)) - F.col("cap"))
-    left = F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
-    level = rank.withColumn("level", rest / left)
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
-    level = level.withColumn("fits", fits)
-    level = level.withColumn("water", F.first("fits", ignorenulls=True).over(by_ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    target = F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap")))
-    return level.select("source", F.col("total").alias("source_size"), F.ceil(F.col("n") / RANGE_ROWS).cast("long").alias("ranges"), target.alias("target"))
+    sizes = cut(sizes)
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rank = before(ranged(sizes, by_name, n), by_name, [], place=F.lit(1)).drop("range")
+    weight = F.get(F.array(*map(F.lit, WEIGHTS)), F.pmod("place", F.lit(len(WEIGHTS))).cast("int"))
+    rank = rank.select("source", "total", weight.alias("weight"), (F.col("total") * MOST).alias("cap"))
+    by_ratio = [F.col("cap") / F.col("weight"), *by_name]
+    rank = cut(before(ranged(rank, by_ratio, n), by_ratio, [], capped=F.col("cap"), weighed=F.col("weight")))
+    all_weights = rank.agg(F.coalesce(F.sum("weight"), F.lit(1.0))).first()[0]
+    level = (F.lit(SHARE) * F.lit(float(total)) - F.col("capped")) / (F.lit(all_weights) - F.col("weighed"))
+    open_ = rank.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap"))
+    water = open_.agg(F.min_by("level", F.struct(by_ratio[0].alias("ratio"), by_name[0].alias("none"), "source"))).first()[0]
+    target = F.col("cap") if water is None else F.least(F.col("cap"), F.lit(water) * F.col("weight"))
+    return rank.select("source", F.col("total").alias("source_size"), target.alias("target"))
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row, and the source."""
-    size = F.coalesce(F.size(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
-    size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(size).cast("long")
+    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)
-    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key")))
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))))
-    aim = small(sources.withColumnRenamed("source", "_source"))
+    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("at")))
+    aim = small(cut(targets(rows.groupBy("source").agg(F.sum("size").alias("total"))).withColumnRenamed("source", "_source")))
+    order = [F.col(c) for c in ("source", "key", "doc_id", "size", "at")]
+    rows = before(ranged(rows, order, rows.count()), order[1:], ["source"], before=F.col("size"))
     rows = rows.join(aim, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    # the key's first 52 bits, as a fraction of the source's ranges
-    rows = rows.withColumn("range", F.floor(F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / float(1 << 52) * F.col("ranges")))
-    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("own"))
-    order = W.partitionBy("source").orderBy("range")
-    sums = cut(sums.select(F.col("source").alias("_source"), F.col("range").alias("_range"), (F.sum("own").over(order) - F.col("own")).alias("before")))
-    rows = rows.join(small(sums), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")), "left").drop("_source", "_range")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("before", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))

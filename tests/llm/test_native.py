@@ -3,6 +3,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quillon.llm import chat_threads, mixing, url_cascade
+from quillon.llm.store import cut
 
 DOCS = "doc_id long, text string, source string"
 
@@ -39,6 +40,7 @@ def test_mixing(spark, monkeypatch):
 
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    keys = cut(keys)
     levels = url_cascade.cascade(keys)
     assert len(levels) > 1
     assert keys.where(url_cascade.listed(F.col("key"), levels) != F.col("listed")).count() == 0
@@ -58,6 +60,33 @@ def test_urls(spark, monkeypatch):
     assert {r.page_id: tuple(r)[1:] for r in url_cascade.judge(pages).collect()} == got
 
 
+def test_key_table(spark, monkeypatch):
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.format_string("http://n%d.site%d.net/%d", F.col("id") % 3000, F.col("id") % 7, "id").alias("url"), F.lit("x").alias("key"))
+    keys = spark.range(0, 9000, 3).select(F.format_string("N%d.site%d.net", "id", F.col("id") % 5).alias("key"), F.lit(0).alias("listed"))
+    keys = keys.union(keys.limit(50)).union(spark.createDataFrame([(None, 1), ("", 1)], "key string, listed int"))
+    known = {r.key.lower() for r in keys.collect() if r.key}
+    got = url_cascade.judge(pages, keys=keys).collect()
+    want = {r.page_id: "block" if r.host in known else "allow" for r in got}
+    assert len(got) == 6000 and {r.page_id: r.verdict for r in got} == want and 100 < sum(v == "block" for v in want.values()) < 3000
+    assert {r.verdict for r in url_cascade.judge(pages, keys=keys.limit(0)).collect()} == {"allow"}
+    monkeypatch.setattr(url_cascade, "MOST_BITS", 64)
+    assert {r.page_id: r.verdict for r in url_cascade.judge(pages, keys=keys).collect()} == want
+
+
+def test_hot_and_equal_keys_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
+    rows = [(None, "w " * (i % 3), "hot") for i in range(200)] + [(7, "a b", "hot") for _ in range(50)] + [(i, "x " * 400, "long") for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    assert sorted(got, key=str) == sorted(mixing.mix(docs.orderBy(F.rand(3)).repartition(3)).collect(), key=str)
+    hot = [r for r in got if r.source == "hot"]
+    assert sum(r.taken for r in hot) == int(hot[0].target + 1e-9) and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    many = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 400}") for i in range(1200)], DOCS)
+    mixed = mixing.mix(many).collect()
+    targets = {r.source: r.target for r in mixed}
+    assert abs(sum(targets.values()) - 1.5 * sum(r["size"] for r in mixed)) < 1e-6 and len(targets) == 400
+
+
 def test_threads(spark):
     rows = [
         (1, 0, "user", "Hello there\nmy friend"),
