@@ -43,6 +43,51 @@ def test_neighbours(spark):
     assert [v for _, v, _ in copies] == [0, *range(1001, 1020)]
 
 
+def recall(spark, x, top=20):
+    """Recall of 20 nearest and the share of entries in visited buckets, over every 20th vector."""
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for g in multiprobe_ann.neighbours(df, df.where("vec_id % 20 = 0"), top).collect():
+        by.setdefault(g.query_id, set()).add(g.vec_id)
+    hits = 0
+    for k in range(0, len(x), 20):
+        score = x @ x[k]
+        hits += len(by[k] & {int(i) for i in np.lexsort((np.arange(len(x)), -score)) if i != k and (score > score[i]).sum() <= top})
+    model = multiprobe_ann.fit(multiprobe_ann.usable(df), len(x), top)
+    visited = []
+    buckets = [model.buckets(x, t) for t in range(multiprobe_ann.TABLES)]
+    for k in range(0, len(x), 20):
+        seen = np.zeros(len(x), dtype=bool)
+        for t, own in enumerate(buckets):
+            code, chance = model.probes(x[k : k + 1], t)
+            assert (np.diff(chance[0]) <= 0).all()
+            seen |= np.isin(own, code[0][chance[0] > 0])
+        visited.append(seen.mean())
+    return hits / (top * len(by)), float(np.mean(visited))
+
+
+def test_recall_on_noise_and_on_clusters(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert recall(spark, unit(r.standard_normal((2400, 32))))[0] >= 0.9
+    centres = unit(r.standard_normal((60, 32)))
+    near = unit(centres[r.integers(0, 60, 4000)] + 0.08 * r.standard_normal((4000, 32)))
+    found, visited = recall(spark, near)
+    assert found >= 0.9 and visited < 0.4
+    monkeypatch.setattr(multiprobe_ann, "CELL_ENTRIES", 50)  # hot buckets are dealt over cells
+    monkeypatch.setattr(multiprobe_ann, "CELL_PROBES", 7)
+    assert recall(spark, near[:1500])[0] >= 0.9
+
+
+def test_small_tables_are_searched_whole(spark):
+    r = np.random.default_rng(2)
+    for n in (2, 6, 30, 60):
+        x = [(i, [float(c) for c in v]) for i, v in enumerate(r.standard_normal((n, 6)))]
+        df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+        got = multiprobe_ann.neighbours(df, df.where("vec_id % 20 = 0")).groupBy("query_id").count().collect()
+        assert {g["count"] for g in got} == {min(20, n - 1)} and len(got) == -(-n // 20)
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in multiprobe_ann.neighbours(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 0.5)]
