@@ -1,20 +1,24 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 Items are indexed with BM25 impacts divided by the item's own score, so that an item's whole text scores 1 and one
-threshold serves all. Documents are cut into overlapping passages of whole half-passages, long enough to hold any
-item of the benchmark; every passage is a query. First a vectorised bound adds, for each half-passage and each block of
+threshold serves all. Documents are cut into overlapping passages of two half-passages, long enough to hold any item
+of the index; every passage is a query. First a vectorised bound adds, for each half-passage and each block of
 BLOCK items, the block-max impacts of its words, and the most that long lists of light words can add; passages whose
-two halves stay below the threshold for every block can have no item above it. For the others WAND runs with list maxima for the pivot and block maxima for the skips,
-and returns every item at or above the threshold. A hit counts if the item's question (all sentences but the last)
-and its answer (the last one) both overlap the text around the passage in at least OVERLAP of their word trigrams.
+two halves stay below the threshold for every block can have no item above it. For the others WAND runs with list
+maxima for the pivot and block maxima for the skips, and returns every item at or above the threshold. A hit counts if
+the item's question (all sentences but the last) and its answer (the last one) both overlap the text around the passage
+in at least OVERLAP of their word trigrams.
 
-The index is a broadcast of about SHARD_ITEMS items at most; larger benchmarks go through in shards by hash of item,
-every passage against every shard. Item count, document frequencies, mean length and the longest item are those of the
-whole benchmark in every shard, so that scores, passages and hits are those of one index.
+An index holds items of one length class (half-passages of HALF_WORDS words, twice that, and so on), so that a long
+item widens the passages of items as long as itself only. Indexes of about SHARD_BYTES of item text are one broadcast;
+larger classes go through in shards by hash of text, every passage against every shard. Item count, document frequencies and
+mean length are those of the whole benchmark in every index, so that scores and hits are those of one index. A text
+that several items share is one entry; its items are joined to what it finds.
 
 Edge cases: null or empty texts and items without words give no row; a null item_id is an item; a null doc_id keeps its
-rows, as null; repeated rows give their rows once each; an item of one sentence has it as question and answer; an
-empty benchmark or table gives an empty result.
+rows, as null; repeated documents give their rows once each, repeated items once; an item of one sentence has it as
+question and answer; an item longer than SHARD_BYTES is an index of its own; an empty benchmark or table gives an empty
+result; other columns of either table, whatever their names, do not matter and stay where documents are filtered.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import NamedTuple
 
 import numpy as np
@@ -30,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut
+from quillon.llm.store import bounded_batches, cut, small
 from quillon.llm.textkern import ALNUM, Words, slices
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, GRAM = 0.5, 0.5, 3
-BLOCK, SHARD_ITEMS = 4, 20_000
+BLOCK, SHARD_BYTES = 4, 2 << 20
+#: Words of the shortest half-passages: those of items of at most so many words.
 HALF_WORDS = 64
 #: Long lists that the bound takes as given hold at most this share of any item's own score.
 LIGHT_SHARE = 0.3
@@ -56,14 +61,18 @@ def _grams(h) -> list[tuple]:
 
 
 class Statistics(NamedTuple):
-    """Of a whole benchmark: items and words, words of the longest item, and how many items hold each term."""
+    """Of a whole benchmark: distinct texts with words, their words, and how many of them hold each term."""
 
     items: int
     words: int
-    longest: int
     frequency: Mapping[int, int]
 
 
+def half_words(longest: int) -> int:
+    """Words of a half-passage for items of at most so many words: HALF_WORDS, doubled until it holds them."""
+    return HALF_WORDS << max(0, math.ceil(math.log2(max(1, longest) / HALF_WORDS)))
+
+
 class Index:
     """Posting lists by term, in item order, with list and block maxima; statistics are the items' own if not given."""
 
@@ -79,9 +88,8 @@ class Index:
             self.parts.append((_grams(_hashes(question.encode())), _grams(_hashes(answer.encode()))))
         n = len(items)
         own_terms = Counter(int(x) for w in words for x in set(w.tolist()))
-        whole = whole or Statistics(n, sum(map(len, words)), max(map(len, words), default=0), own_terms)
-        self.longest = whole.longest
-        self.half = max(HALF_WORDS, self.longest)
+        whole = whole or Statistics(n, sum(map(len, words)), own_terms)
+        self.half = half_words(max(map(len, words), default=0))
         mean = whole.words / whole.items if whole.items else 1
         idf = {t: math.log(1 + (whole.items - whole.frequency[t] + 0.5) / (whole.frequency[t] + 0.5)) for t in own_terms}
         self.terms = np.array(sorted(own_terms), dtype=np.uint64)
@@ -205,47 +213,49 @@ def _retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, i
     return found
 
 
-def _matches(shard, threshold: float, overlap: float):
+def _matches(indexes, threshold: float, overlap: float):
+    """(document, item) with score, overlaps, first word and passage length of the best passage that counts."""
+
     def rows(batch, buf, bounds):
-        index = shard.value
         words = Words(buf, bounds, ALNUM)
-        if not len(words) or not index.ids:
-            return {}
-        hits = _retrieve(index, words, threshold)
         best: dict[tuple[int, int], tuple] = {}
-        hashes = words.hashes(lower=True) if hits else None
-        grams: dict[tuple[int, int], set] = {}
-        for d, start, item, score in hits:
-            if (d, start) not in grams:
-                a, n = int(words.first[d]), int(words.counts[d])
-                own = hashes[a + max(0, start - index.half) : a + min(n, start + 3 * index.half)]
-                grams[d, start] = {g for size in range(1, GRAM + 1) for g in zip(*(own[k:].tolist() for k in range(size)), strict=False)}
-            near = grams[d, start]
-            question, answer = (sum(g in near for g in part) / max(1, len(part)) for part in index.parts[item])
-            if question >= overlap and answer >= overlap and (score, -start) > best.get((d, item), (0.0,))[:2]:
-                best[d, item] = (score, -start, question, answer)
+        for index in indexes.value:
+            if not len(words) or not index.ids:
+                continue
+            hits = _retrieve(index, words, threshold)
+            hashes = words.hashes(lower=True) if hits else None
+            grams: dict[tuple[int, int], set] = {}
+            for d, start, item, score in hits:
+                if (d, start) not in grams:
+                    a, n = int(words.first[d]), int(words.counts[d])
+                    own = hashes[a + max(0, start - index.half) : a + min(n, start + 3 * index.half)]
+                    grams[d, start] = {g for size in range(1, GRAM + 1) for g in zip(*(own[k:].tolist() for k in range(size)), strict=False)}
+                near = grams[d, start]
+                question, answer = (sum(g in near for g in part) / max(1, len(part)) for part in index.parts[item])
+                key = d, index.ids[item]
+                if question >= overlap and answer >= overlap and (score, -start) > best.get(key, (0.0,))[:2]:
+                    best[key] = (score, -start, question, answer, 2 * index.half)
         return best
 
     return rows
 
 
-def _pairs(shard, threshold: float, overlap: float):
-    rows = _matches(shard, threshold, overlap)
+def _pairs(indexes, threshold: float, overlap: float):
+    rows = _matches(indexes, threshold, overlap)
 
     def run(batches):
-        index = shard.value
         for batch, buf, bounds in slices(batches, most=SLICE):
             best = rows(batch, buf, bounds)
             if best:
                 ids = batch.column("doc_id").to_pylist()
-                out = [(ids[d], index.ids[item], s, q, a, -start, 2 * index.half) for (d, item), (s, start, q, a) in sorted(best.items())]
+                out = [(ids[d], item, s, q, a, -start, n) for (d, item), (s, start, q, a, n) in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
-def _clean(shard, threshold: float, overlap: float):
-    rows = _matches(shard, threshold, overlap)
+def _clean(indexes, threshold: float, overlap: float):
+    rows = _matches(indexes, threshold, overlap)
 
     def run(batches):
         for batch, buf, bounds in slices(batches, most=SLICE):
@@ -256,56 +266,76 @@ def _clean(shard, threshold: float, overlap: float):
 
 
 def _item_terms(batches):
-    """Distinct terms of each item, and a row without term for each item that has words: its shard and its words."""
+    """A row for each text with words (its key, words and bytes), and one for each of its distinct terms."""
     for batch, buf, bounds in slices(batches, most=SLICE):
         words = Words(buf, bounds, ALNUM)
         h = words.hashes(lower=True).view(np.int64)
-        shard = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int32)
         doc = words.doc()
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         first = np.ones(len(h), dtype=bool)
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         some = np.flatnonzero(words.counts)
-        none = np.zeros(len(some), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shard[doc[first]], shard[some]])), pa.concat_arrays([pa.array(h[first]), pa.array(none, mask=np.ones(len(some), dtype=bool))]), pa.array(np.concatenate([np.zeros(int(first.sum()), dtype=np.int64), words.counts[some]]))], names=["shard", "term", "words"])
+        key = batch.column("key").to_numpy(zero_copy_only=False)
+        n = int(first.sum())
+        none = lambda x, k: pa.array(x, mask=np.full(len(x), k))
+        term = pa.concat_arrays([none(h[first], False), none(np.zeros(len(some), dtype=np.int64), True)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[doc[first]], key[some]])), term, pa.array(np.concatenate([np.zeros(n, dtype=np.int64), words.counts[some]])), pa.array(np.concatenate([np.zeros(n, dtype=np.int64), np.diff(bounds)[some]]))], names=["key", "term", "words", "bytes"])
 
 
-def _statistics(items: DataFrame, shards: int) -> Iterator[Statistics]:
-    """The whole benchmark's statistics for one shard after another, with the frequencies of the shard's own terms."""
-    counted = cut(items.mapInArrow(_item_terms, "shard int, term long, words long").groupBy("shard", "term").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")))
-    n, words, longest = counted.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("longest"), F.lit(0))).first()
-    terms = counted.where("term is not null")
-    whole = cut(terms.select("shard", "term").join(terms.groupBy("term").agg(F.sum("n").alias("n")), "term"))
-    for k in range(shards):
-        own = whole.where(F.col("shard") == k).select("term", "n").toArrow()
-        term, held = (own.column(c).to_numpy() for c in ("term", "n"))
-        yield Statistics(n, words, longest, dict(zip(term.view(np.uint64).tolist(), held.tolist(), strict=True)))
-
-
-def _shards(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast indexes of at most about SHARD_ITEMS items each, with the statistics of the whole benchmark."""
+def _indexes(docs: DataFrame, items: DataFrame) -> list:
+    """Broadcast lists of indexes over the distinct texts (key, text); an index is of one length class, and a list's
+    texts have about SHARD_BYTES."""
     bounded_batches(docs.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    shards = max(1, -(-items.count() // SHARD_ITEMS))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
-    whole = _statistics(items, shards) if shards > 1 else [None]  # one index has all items
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast(Index([(r["item_id"], r["text"]) for r in items.where(F.col("shard") == k).orderBy("item_id", "text").collect()], own)) for k, own in enumerate(whole)]
+    terms = cut(items.mapInArrow(_item_terms, "key long, term long, words long, bytes long"))
+    doubled = F.greatest(F.lit(0), F.ceil(F.log2(F.col("words") / HALF_WORDS))).cast("int").alias("length")
+    sizes = terms.where("term is null").select("key", "words", "bytes", doubled)
+    classes = sizes.groupBy("length").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.sum("words").alias("words")).collect()  # one row for each doubling
+    if not classes:
+        return []
+    shards = {r["length"]: -(-r["bytes"] // SHARD_BYTES) for r in classes}
+    n, words = sum(r["n"] for r in classes), sum(r["words"] for r in classes)
+    many = F.create_map(*(F.lit(x) for p in shards.items() for x in p))[F.col("length")]
+    home = small(cut(sizes.select("key", "length", F.pmod(F.xxhash64("key"), many).cast("int").alias("shard"))))
+    items = cut(items.join(home, "key"))
+    terms = terms.where("term is not null")
+    terms = cut(terms.join(home, "key").select("length", "shard", "term").distinct().join(terms.groupBy("term").agg(F.count("*").alias("n")), "term"))
+    lists: list[list[Index]] = []
+    room = 0
+    for r in sorted(classes, key=lambda r: r["length"]):
+        for k in range(shards[r["length"]]):
+            here = (F.col("length") == r["length"]) & (F.col("shard") == k)
+            held = terms.where(here).select("term", "n").toArrow()
+            counts = dict(zip(held.column("term").to_numpy().view(np.uint64).tolist(), held.column("n").to_numpy().tolist(), strict=True))
+            index = Index([(x["key"], x["text"]) for x in items.where(here).select("key", "text").orderBy("key").collect()], Statistics(n, words, counts))
+            size = r["bytes"] / shards[r["length"]]
+            if not lists or room < size:
+                lists.append([])
+                room = SHARD_BYTES
+            lists[-1].append(index)
+            room -= size
+    return [docs.sparkSession.sparkContext.broadcast(x) for x in lists]
+
+
+def _texts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the distinct texts (key, text) and of the items that have them (key, item_id)."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key")).where("text is not null")
+    return cut(rows.groupBy("key").agg(F.first("text").alias("text"))), cut(rows.select("key", "item_id").distinct())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word, passage_words: documents that hold items."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for shard in _shards(docs, benchmark):
-        found = source.mapInArrow(_pairs(shard, threshold, overlap), RESULT)
-        out = found if out is None else out.union(found)
-    return out
+    texts, items = _texts(benchmark)
+    out = docs.sparkSession.createDataFrame([], RESULT)
+    for indexes in _indexes(docs, texts):
+        out = out.union(source.mapInArrow(_pairs(indexes, threshold, overlap), RESULT))
+    found = out.withColumnRenamed("item_id", "key").join(small(items), "key")
+    return found.select(*(x.split()[0] for x in RESULT.split(", ")))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs without the rows that hold an item."""
-    for shard in _shards(docs, benchmark):
-        docs = docs.mapInArrow(_clean(shard, threshold, overlap), docs.schema)
+    for indexes in _indexes(docs, _texts(benchmark)[0]):
+        docs = docs.mapInArrow(_clean(indexes, threshold, overlap), docs.schema)
     return docs

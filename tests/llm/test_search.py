@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -148,23 +151,71 @@ def test_leaks(spark, frame):
     assert decontaminate.contaminated(frame([]), benchmark).count() == 0
 
 
-def test_shards_are_one_index(spark, frame, monkeypatch):
+def brute_leaks(rows, items, least, overlap):
+    """Straight from the definitions: every passage against every item."""
+    d = decontaminate
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    texts = {t: split(t) for _, t in items if split(t)}
+    held = Counter(w for x in texts.values() for w in set(x))
+    mean = sum(map(len, texts.values())) / max(1, len(texts))
+    grams = lambda x: [tuple(x[i : i + min(3, len(x))]) for i in range(len(x) - min(3, len(x)) + 1)] if x else []
+    known = {}
+    for t, x in texts.items():
+        raw = {w: math.log(1 + (len(texts) - held[w] + 0.5) / (held[w] + 0.5)) * n * (d.K1 + 1) / (n + d.K1 * (1 - d.B + d.B * len(x) / mean)) for w, n in Counter(x).items()}
+        sentences = [y for y in re.split(r"(?<=[.?!])\s+", t.strip()) if split(y)]
+        parts = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (t, t)
+        half = d.HALF_WORDS
+        while half < len(x):
+            half *= 2
+        known[t] = ({w: v / sum(raw.values()) for w, v in raw.items()}, half, [grams(split(y)) for y in parts])
+    out = set()
+    for doc_id, text in rows:
+        x = split(text)
+        for item, t in set(items):
+            if t not in known:
+                continue
+            impact, half, parts = known[t]
+            best = None
+            for start in range(0, len(x), half):
+                score = sum(impact.get(w, 0) for w in set(x[start : start + 2 * half]))
+                if score >= least:
+                    own = x[max(0, start - half) : start + 3 * half]
+                    near = {tuple(own[i : i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1)}
+                    q, a = (sum(g in near for g in y) / max(1, len(y)) for y in parts)
+                    if q >= overlap and a >= overlap and (best is None or (score, -start) > best[:2]):
+                        best = (score, -start, q, a)
+            if best:
+                out.add((doc_id, item, round(best[0], 9), best[2], best[3], -best[1], 2 * half))
+    return out
+
+
+def test_partial_leaks_against_brute_force(spark, frame, monkeypatch):
     r = random.Random(6)
     pool = ["".join(r.choice("bcdfgaeiou") for _ in range(5)) for _ in range(150)]
-    items = [(i, " ".join(pool[min(int(r.expovariate(0.03)), 149)] for _ in range(r.choice((6, 12, 30, 90))))) for i in range(60)]
+    common = lambda n: " ".join(pool[min(int(r.expovariate(0.03)), 149)] for _ in range(n))
+    items = [(i, common(r.choice((4, 8, 20))) + ". " + common(r.choice((2, 4, 10, 70)))) for i in range(60)]
     rows = []
-    for i in range(150):
-        w = r.choice(items)[1].split()
-        rows.append((i, " ".join(pool[r.randrange(150)] if r.random() < 0.35 else x for x in w + [r.choice(pool) for _ in range(r.choice((0, 100)))])))
-    benchmark = spark.createDataFrame([*items, (60, ""), (61, " .. "), (62, None), (None, items[3][1])], "item_id long, text string")
-    found = lambda: {(g.doc_id, g.item_id): (round(g.score, 9), g.question_overlap, g.answer_overlap, g.first_word, g.passage_words) for g in decontaminate.contaminated(frame(rows), benchmark, 0.5, 0.2).collect()}
-    want, kept = found(), {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), benchmark, 0.5, 0.2).collect()}
-    assert len({s for s, *_ in want.values()}) > 20 and 0 < len(kept) < len(rows)
-    for bound in (40, 9):
-        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", bound)
-        assert found() == want
-    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 20)
-    assert {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), benchmark, 0.5, 0.2).collect()} == kept
+    for i in range(150):  # leaks with a share of their words replaced, in texts of some passages
+        w, lost = r.choice(items)[1].split(), r.choice((0.0, 0.1, 0.25, 0.4, 0.6))
+        w = [pool[r.randrange(150)] if r.random() < lost else x for x in w]
+        at = r.choice((0, 30, 100, 250))
+        rows.append((i, " ".join([r.choice(pool) for _ in range(at)] + w + [r.choice(pool) for _ in range(at)])))
+    items += [(60, ""), (61, " .. "), (62, None), (None, items[3][1]), (63, items[5][1]), (5, items[5][1])]
+    rows += [(200, None), (201, ""), (None, items[0][1]), (0, rows[0][1])]
+    frame_of = lambda x: spark.createDataFrame([(*y, 1, "x") for y in x], "item_id long, text string, key int, shard string")
+    found = lambda x, least: {(g.doc_id, g.item_id, round(g.score, 9), g.question_overlap, g.answer_overlap, g.first_word, g.passage_words) for g in decontaminate.contaminated(frame(rows), frame_of(x), least, 0.2).collect()}
+    for least in (0.35, 0.5, 0.8):
+        want = brute_leaks(rows, items, least, 0.2)
+        assert found(items, least) == want and len({x[2] for x in want}) > 20
+    kept = {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), frame_of(items), 0.5, 0.2).collect()}
+    want = brute_leaks(rows, items, 0.5, 0.2)
+    assert kept == {i for i, _ in rows} - {x[0] for x in want} and 0 < len(kept) < len(rows)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1000)  # many broadcasts, the same result
+    assert found(items, 0.5) == want
+    assert {x.doc_id for x in decontaminate.remove_contaminated(frame(rows), frame_of(items), 0.5, 0.2).collect()} == kept
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 1 << 20)
+    long = [*items, (99, " ".join(f"long{i}" for i in range(4000)))]  # leaves the other items' passages alone
+    assert {(x[:2], x[5:]) for x in found(long, 0.5)} == {(x[:2], x[5:]) for x in brute_leaks(rows, long, 0.5, 0.2)} and {x[6] for x in found(long, 0.5)} == {x[6] for x in want}
 
 
 def test_licences(frame):
