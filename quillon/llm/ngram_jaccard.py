@@ -4,16 +4,21 @@ A document's set is its distinct lower-cased SHINGLE-word shingles (64-bit hashe
 shingles that a corpus-wide counter table calls frequent come last. A document's l-prefix holds its first
 n - ceil(0.8 n) + l tokens; two sets at the threshold share at least l tokens of their l-prefixes, for every l.
 Each document lengthens its prefix (1 to LONGEST) by the estimated cost of its candidates, and a pair must share as
-many prefix tokens as the longer choice of the two. Pairs that do are verified on the whole sets.
+many prefix tokens as the longer choice of the two. Pairs that do pass an upper bound of their overlap, by counts of
+each set's hashes in BIN_TOKENS-wide bins, and are then verified on the whole sets.
 
 Copies collapse into one class by a hash of the set before any pairing. In a bucket of many distinct sets only
 stars around a few hubs are paired first; what that leaves apart is paired across components only: members of one hub
-by their differences to the hub, which are few and rare, others by their prefixes. So a group of near copies costs its
-size and not the square, and no link between components is lost. Components come from
+in one cell if they are few, else by their differences to the hub, which are few and rare; others by their prefixes. So a
+group of near copies costs its size and not the square, and no link between components is lost. Components come from
 minimum labels with pointer jumping, by joins of checkpointed tables.
 
+A token that very many distinct sets hold is dealt over tasks by set: its entries are reduced by salt, its hubs found by
+aggregation, and what is apart meets by token, band of sizes and piece of the bucket, each cell of bounded rows.
+
 Edge cases: fewer than SHINGLE words are one shingle of the whole text; a text that is null or has no words has an
-empty set and no links; a null doc_id has no links and a null component; rows that share a doc_id are one node.
+empty set and no links; a null doc_id has no links and a null component; rows that share a doc_id are one node; an empty
+table gives an empty result; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut, hash_parts, small
+from quillon.llm.store import bounded_batches, cut, discard, fresh, hash_parts, input_bytes, small
 from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, ranges, slices, unpack, unpack_ids
 
 SHINGLE = 5
@@ -35,13 +40,22 @@ PERCENT = 80
 LONGEST = 3
 #: Buckets with more distinct sets than this pair with hubs first.
 STAR = 12
-#: Counters of shingle frequencies: 2**COUNTER_BITS, a fixed size.
-COUNTER_BITS = 20
+#: Counters of shingle frequencies: 2**bits, one for each COUNTER_BYTES of input between these bounds.
+COUNTER_BITS, MOST_COUNTER_BITS, COUNTER_BYTES = 20, 24, 1 << 10
 COUNTER_CHUNK = 1 << 14
+#: Tokens that at least about 2**HOT_LEVEL sets hold are dealt over HOT_SALTS tasks by set.
+HOT_LEVEL, HOT_SALTS = 14, 64
+#: Members of a hub that are compared in one cell, and tokens of their sets together.
+CELL_MEMBERS, CELL_TOKENS = 64, 1 << 21
+#: Entries of a token for each piece of it that meets another one.
+PIECE_ROWS = 4096
 #: Input bytes for each range of tokens.
 RANGE_BYTES = 16 << 20
 
-INFO = "kind int, doc_id long, n int, signature long, chunk int, counts binary"
+#: Tokens for each bin of a set's histogram, at most.
+BIN_TOKENS = 2
+
+INFO = "kind int, doc_id long, n int, signature long, chunk int, counts binary, bins binary"
 ENTRIES = "part int, docs binary, sizes binary, signatures binary, levels binary, counts binary, tokens binary, places binary"
 CANDIDATES = "kind int, a long, b long, matches int, want int, token long, size int"
 
@@ -57,10 +71,10 @@ def shingle_sets(batch: pa.RecordBatch, buf: np.ndarray, bounds: np.ndarray) ->
     hashes = words.hashes(lower=True)
     at = words.window_starts(SHINGLE)
     doc, value = words.doc()[at], words.windows(hashes, SHINGLE)[at] if len(at) else np.zeros(0, dtype=np.uint64)
-    for d in np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE)):
-        own = hashes[words.first[d] : words.first[d + 1]]
-        whole = mix(np.array([functools.reduce(lambda x, y: (x * 0x100000001B3 + int(y)) & (1 << 64) - 1, own.tolist(), len(own))], dtype=np.uint64))
-        doc, value = np.append(doc, d), np.append(value, whole)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE))
+    if len(short):
+        whole = [functools.reduce(lambda x, y: (x * 0x100000001B3 + y) & (1 << 64) - 1, hashes[words.first[d] : words.first[d + 1]].tolist(), int(words.counts[d])) for d in short]
+        doc, value = np.concatenate([doc, short]), np.concatenate([value, mix(np.array(whole, dtype=np.uint64))])
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     if len(doc):
@@ -76,25 +90,50 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(sums[first[1:]] - sums[first[:-1]]).astype(np.int64)
 
 
-def _info(batches):
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
-    names = ["kind", "doc_id", "n", "signature", "chunk", "counts"]
+def histograms(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many of each set's hashes lie in each of equal ranges, packed; empty if a range has more than 255."""
+    sizes = np.diff(first)
+    bits = np.ceil(np.log2(np.maximum(sizes / BIN_TOKENS, 1))).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(1 << bits)])
+    own = np.repeat(bits, sizes).astype(np.uint64)
+    at = np.where(own > 0, value >> (np.uint64(64) - np.maximum(own, 1)), 0).astype(np.int64) + np.repeat(start[:-1], sizes)
+    counts = np.bincount(at, minlength=int(start[-1]))
+    few = np.minimum(counts, 255).astype(np.uint8)
+    return [pack(few[a:b]) if counts[a:b].max() <= 255 else b"" for a, b in zip(start[:-1], start[1:], strict=True)]
+
+
+def most_shared(x: bytes, y: bytes) -> float:
+    """No two sets with these histograms share more."""
+    if not x or not y:
+        return np.inf
+    x, y = sorted((unpack(x, np.uint8), unpack(y, np.uint8)), key=len)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+
+
+def _info(counter_bits: int):
+    return lambda batches: _infos(batches, counter_bits)
+
+
+def _infos(batches, counter_bits: int):
+    total = np.zeros(1 << counter_bits, dtype=np.int32)
+    names = ["kind", "doc_id", "n", "signature", "chunk", "counts", "bins"]
     for batch, buf, bounds in slices(batches):
         value, first = shingle_sets(batch, buf, bounds)
         sizes, marks = np.diff(first), signatures(value, first)
         known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         n = batch.num_rows
         zero = pa.nulls(n, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(marks), zero, pa.nulls(n, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(marks), zero, pa.nulls(n, pa.binary()), pa.array(histograms(value, first), pa.binary())], names=names)
         # a slice counts a set once: copies are one class later
         _, lone = np.unique(marks, return_index=True)
         lone = lone[known[lone]]
         own = value[ranges(first[lone], sizes[lone])]
-        total += np.bincount((own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
-    if total.any():
-        chunks = total.reshape(-1, COUNTER_CHUNK)
-        k = len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array([pack(x) for x in chunks], pa.binary())], names=names)
+        np.add.at(total, (own >> np.uint64(64 - counter_bits)).astype(np.int64), 1)
+    chunks = total.reshape(-1, COUNTER_CHUNK)
+    some = np.flatnonzero(chunks.any(axis=1))
+    k = len(some)
+    if k:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(some.astype(np.int32)), pa.array([pack(chunks[i].astype(np.int64)) for i in some], pa.binary()), pa.nulls(k, pa.binary())], names=names)
 
 
 def _add_counts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -104,12 +143,12 @@ def _add_counts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(total)], pa.binary())], names=["chunk", "counts"])
 
 
-def frequency_levels(info: DataFrame) -> np.ndarray:
+def frequency_levels(info: DataFrame, counter_bits: int) -> np.ndarray:
     """For each counter: log2 of how often it is above the usual count, 0 for usual ones. A table of fixed size."""
     parts = info.where("kind = 1").select("chunk", "counts", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
     parts = parts.groupBy("chunk", "salt").applyInArrow(_add_counts, "chunk int, counts binary")
     rows = parts.groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
-    total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    total = np.zeros(1 << counter_bits, dtype=np.int64)
     for r in rows:
         total[r["chunk"] * COUNTER_CHUNK : (r["chunk"] + 1) * COUNTER_CHUNK] = unpack(bytes(r["counts"]), np.int64)
     usual = max(4.0, 2 * float(total.mean()) + 4 * float(np.sqrt(total.mean())))
@@ -119,6 +158,7 @@ def frequency_levels(info: DataFrame) -> np.ndarray:
 def _entries(bits: int, levels):
     def run(batches):
         level_of = levels.value
+        counter_bits = len(level_of).bit_length() - 1
         for batch, buf, bounds in slices(batches):
             value, first = shingle_sets(batch, buf, bounds)
             sizes, marks = np.diff(first), signatures(value, first)
@@ -132,7 +172,7 @@ def _entries(bits: int, levels):
             sizes_l = sizes[lone]
             own = value[ranges(first[lone], sizes_l)]
             doc = np.repeat(np.arange(len(lone)), sizes_l)
-            level = level_of[(own >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+            level = level_of[(own >> np.uint64(64 - counter_bits)).astype(np.int64)]
             order = np.lexsort((own, level, doc))
             own, level = own[order], level[order]
             base = sizes_l - need(sizes_l)
@@ -155,6 +195,9 @@ def _entries(bits: int, levels):
             place = np.maximum(at - starts[doc] - base[doc] + 1, 1)
             rows = []
             part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), dtype=np.int64)
+            # a hot token's entries go to 1 + salt of their set, beyond the ranges of the others
+            salt = 1 + (marks[lone][doc].view(np.uint64) % np.uint64(HOT_SALTS)).astype(np.int64)
+            part += np.where(level[at] >= HOT_LEVEL, salt << bits, 0)
             order = np.lexsort((doc, part))
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -167,9 +210,13 @@ def _entries(bits: int, levels):
     return run
 
 
-def _candidates(group: pa.Table) -> pa.Table:
+def _candidates(bits: int):
+    return lambda group: _meet(group, group.column("part")[0].as_py() >> bits > 0)
+
+
+def _meet(group: pa.Table, hot: bool) -> pa.Table:
     """Pairs of one range of tokens with their shared prefix tokens (kind 0), members of large buckets (kind 1) and
-    the hubs that they were paired with (kind 2)."""
+    the hubs that they were paired with (kind 2); of hot tokens the members only (kind 3)."""
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     for batch in group.to_batches():
         for row in batch.to_pylist():
@@ -182,6 +229,9 @@ def _candidates(group: pa.Table) -> pa.Table:
     token, doc, size, mark, want, place = (x[order] for x in (token, doc, size, mark, want, place))
     fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (mark[1:] != mark[:-1]) | (size[1:] != size[:-1])])
     token, doc, size, want, place = (x[fresh] for x in (token, doc, size, want, place))
+    if hot:
+        give_back()
+        return pa.Table.from_batches([_rows(3, doc, None, place, want, token.astype(np.int64), size)])
     cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     length = np.diff(cuts, append=len(token))
     out = [_rows(0, *[np.zeros(0, dtype=np.int64)] * 4, None, None)]
@@ -249,18 +299,61 @@ def _linked(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def sets_of(ids: DataFrame, source: DataFrame) -> DataFrame:
+    """set_id and packed set (tokens) of the documents set_id."""
+    ids = small(cut(ids.select("set_id").distinct()), 4_000_000)
+    return source.join(ids, F.col("doc_id") == F.col("set_id"), "left_semi").mapInArrow(_sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "set_id")
+
+
+def _with_both(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with the columns of facts (set_id, columns) for both."""
+    a = facts.select(F.col("set_id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = facts.select(F.col("set_id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{c}_{side}" for c in columns for side in "ab"))
+
+
 def _with_sets(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Pairs (a, b) with the packed sets of both."""
-    ids = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_id"))
-    sets = source.join(small(ids, 4_000_000), F.col("doc_id") == F.col("set_id"), "left_semi").mapInArrow(_sets, "doc_id long, tokens binary")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "tokens_a", "tokens_b")
+    return _with_both(pairs, sets_of(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")), source), "tokens")
 
 
-def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
+def _plausible(batches):
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bins_a", "bins_b")), strict=True):
+            both = min(n, m, most_shared(x, y))
+            keep.append(100 * both >= PERCENT * (n + m - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, source: DataFrame, info: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
-    return _with_sets(pairs, source).mapInArrow(_linked, "a long, b long")
+    ids = small(cut(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()), 4_000_000)
+    facts = info.where("kind = 0").join(ids, F.col("doc_id") == F.col("set_id"), "left_semi").select(F.col("doc_id").alias("set_id"), "n", "bins")
+    pairs = cut(_with_both(pairs, facts, "n", "bins").mapInArrow(_plausible, "a long, b long").distinct())
+    return _with_sets(pairs, source).mapInArrow(_linked, "a long, b long").distinct()
+
+
+def _cell_links(group: pa.Table) -> pa.Table:
+    """Linked pairs of different components among one hub's members."""
+    node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("tokens").to_pylist()]
+    out = []
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if component[i] != component[j] and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def in_cells(members: DataFrame, source: DataFrame) -> DataFrame:
+    """Links (a, b) across components among the members (hub, node, component) of each hub, a cell for each hub."""
+    sets = sets_of(members.select(F.col("node").alias("set_id")), source)
+    rows = members.select("hub", F.col("node"), "component").join(sets, F.col("node") == F.col("set_id"))
+    return rows.groupBy("hub").applyInArrow(_cell_links, "a long, b long")
 
 
 DEVIATIONS = "hub long, node long, linked boolean, token long, prefix int, v int, n int"
@@ -289,8 +382,8 @@ def _deviations(batches):
             yield pa.RecordBatch.from_arrays(arrays, names=["hub", "node", "linked", "token", "prefix", "v", "n"])
 
 
-def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of members (hub, node) of one hub and two components, from their differences to the hub.
+def around_hubs(members: DataFrame, source: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members (hub, node, component) of one hub and two components, from their differences to the hub.
 
     Two sets differ exactly where their differences to the hub differ. Of two linked members in two components at
     most one is linked with the hub. With v tokens of difference, n and h tokens in member and hub, a member that has
@@ -298,9 +391,8 @@ def around_hubs(hubs: DataFrame, near: DataFrame, source: DataFrame) -> DataFram
     are known, at least s = (v + v' - (n + n') / 9) / 2. With the rarest differences of the group first, two such
     members share k of their first v - s + k and v' - s + k differences.
     """
-    rows = cut(_with_sets(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")), source).mapInArrow(_deviations, DEVIATIONS))
-    label = near.select("node", "component")
-    known = rows.join(small(cut(label.join(hubs.select("node"), "node", "left_semi"))), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = cut(_with_sets(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), source).mapInArrow(_deviations, DEVIATIONS))
+    known = rows.join(small(members.select("node", "component")), "node")
     often = rows.groupBy("hub", "token").agg(F.count("*").alias("often")).where("often > 1")
     # a difference that no other member has takes its place in the prefix but meets nobody
     ranked = known.join(often, ["hub", "token"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
@@ -325,21 +417,61 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnsRenamed({"node": "b", "component": "other"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         lower = labels.join(near, "node", "left").select("node", F.least("component", "other").alias("component"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        fresh = cut(lower.join(jump, "component", "left").select("node", F.least("component", "up").alias("component"), "old"))
+        fresh = cut(lower.join(jump, "component", "left").select("node", F.least("component", "up").alias("component"), "old", F.lit(0).alias("round")))
         changed = fresh.where("component < old").limit(1).count()
-        labels = fresh.select("node", "component")
+        discard(labels)
+        labels = fresh
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("node", "component")
+
+
+def by_token(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows (token, node, ...) with the written table facts (token, ...), no task with all rows of a token."""
+    few = small(facts)
+    if few is not facts:
+        return rows.join(few, "token")
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(HOT_SALTS)).cast("int")).join(facts, ["token", "salt"]).drop("salt")
+
+
+ENTRY = ("node", "size", "place", "want")
+
+
+def _match(x: str, y: str) -> tuple[Column, Column]:
+    """How many prefix tokens a pair of entries must share, and whether a token that it shares counts."""
+    least, most = F.least(f"size_{x}", f"size_{y}"), F.greatest(f"size_{x}", f"size_{y}")
+    want = F.least(F.greatest(f"want_{x}", f"want_{y}"), F.floor((least * PERCENT + 99) / 100)).cast("int")
+    return want, (least * 100 >= most * PERCENT) & (F.col(f"place_{x}") <= want) & (F.col(f"place_{y}") <= want)
+
+
+def _hot_stars(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the members (token, ENTRY) of hot tokens: pairs (a, b, matches, want) with the tokens' hubs, and who met which hub."""
+    weight = hot.groupBy("node").agg(F.count("*").alias("weight"))
+    entry = F.struct(*ENTRY)
+    heads = hot.join(weight, "node").groupBy("token").agg(F.min_by(entry, F.col("node")).alias("x"), F.max_by(entry, F.struct(F.col("weight"), -F.col("node"))).alias("y"))
+    heads = heads.select("token", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("token", *(F.col(f"h.{c}").alias(f"{c}_y") for c in ENTRY))
+    want, counts = _match("x", "y")
+    met = by_token(hot, cut(heads)).withColumnsRenamed({c: f"{c}_x" for c in ENTRY}).where("node_x <> node_y")
+    pairs = met.where(counts).groupBy(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).agg(F.count("*").alias("matches"), F.max(want).alias("want"))
+    return pairs, met.select(F.col("node_y").alias("hub"), F.col("node_x").alias("node")).distinct()
 
 
 def _cross_pairs(split: DataFrame, shared: DataFrame) -> DataFrame:
-    """Candidate pairs of large buckets across components, but for members of one hub."""
-    x, y = (split.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "want", "component", "hub"))) for side in "xy")
-    most = F.least(F.greatest("want_x", "want_y"), F.floor((F.least("size_x", "size_y") * PERCENT + 99) / 100))
+    """Candidate pairs of large buckets across components, but for members of one hub.
+
+    Entries meet by token and band of sizes (a partner's band is the same or a neighbour), those of many by pieces."""
+    band = F.floor(F.log(F.col("size").cast("double")) / np.log(100 / PERCENT)).cast("int")
+    pieces = F.ceil(F.col("entries") / PIECE_ROWS).cast("int")
+    own, others = F.pmod(F.xxhash64("node"), pieces).cast("int"), F.explode(F.sequence(F.lit(0), pieces - 1))
+    columns = (*ENTRY, "component", "hub")
+    x = split.select("token", *(F.col(c).alias(f"{c}_x") for c in columns), band.alias("band"), own.alias("piece_x"), others.alias("piece_y"))
+    y = split.select("token", *(F.col(c).alias(f"{c}_y") for c in columns), F.explode(F.array(band - 1, band, band + 1)).alias("band"), own.alias("piece_y"), pieces.alias("pieces"))
+    y = y.withColumn("piece_x", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    want, counts = _match("x", "y")
     apart = F.expr("node_x < node_y and component_x <> component_y and coalesce(hub_x <> hub_y, true)")
-    like = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * PERCENT
-    pairs = x.join(y, (x["token"] == y["token"]) & apart & like & (F.col("place_x") <= most) & (F.col("place_y") <= most))
-    pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("matches"), F.max(most).alias("want"))
+    pairs = x.join(y, ["token", "band", "piece_x", "piece_y"]).where(apart & counts)
+    pairs = pairs.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("matches"), F.max(want).alias("want"))
     # tokens that a pair shares in small buckets count too
     pairs = pairs.union(shared.where("matches < want")).groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
     return pairs.where("matches >= want").select("a", "b")
@@ -349,29 +481,42 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = cut(source.mapInArrow(_info, INFO))
+    counter_bits = min(MOST_COUNTER_BITS, max(COUNTER_BITS, (input_bytes(docs) // COUNTER_BYTES).bit_length()))
+    info = cut(source.mapInArrow(_info(counter_bits), INFO))
     known = source.where("doc_id is not null and text is not null")
-    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(info))
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(info, counter_bits))
     bits = hash_parts(docs, RANGE_BYTES).bit_length() - 1
-    found = cut(known.mapInArrow(_entries(bits, levels), ENTRIES).groupBy("part").applyInArrow(_candidates, CANDIDATES))
-    shared = found.where("kind = 0").groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
+    found = cut(known.mapInArrow(_entries(bits, levels), ENTRIES).groupBy("part").applyInArrow(_candidates(bits), CANDIDATES))
+    shared = found.where("kind = 0").select("a", "b", F.col("matches").cast("long").alias("matches"), "want")
+    star = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node"))
+    members = found.where("kind in (1, 3)").select("token", F.col("a").alias("node"), "size", F.col("matches").alias("place"), "want")
+    hot = found.where("kind = 3").select("token", F.col("a").alias("node"), "size", F.col("matches").alias("place"), "want")
+    if hot.limit(1).count():
+        more, met = _hot_stars(hot)
+        shared, star = shared.union(more), star.union(met)
+    shared = shared.groupBy("a", "b").agg(F.sum("matches").alias("matches"), F.max("want").alias("want"))
     pairs = cut(shared.where("matches >= want").select("a", "b"))
-    links = cut(verified(pairs, known))
+    links = cut(verified(pairs, known, info))
     near = components(links)
-    members = found.where("kind = 1").select("token", F.col("a").alias("node"), "size", F.col("matches").alias("place"), "want")
     members = members.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = members.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-    split = cut(members.join(apart, "token", "left_semi"))
+    apart = members.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("entries"))
+    split = cut(by_token(members, cut(apart.where("least < most").select("token", "entries"))))
     if split.limit(1).count():
         # each member's hub: of those whose sets it was compared with, the one with most members
-        star = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct().where("hub <> node")
+        star = star.distinct().where("hub <> node")
         star = star.withColumns({"a": F.least("hub", "node"), "b": F.greatest("hub", "node")}).join(pairs, ["a", "b"], "left_semi").select("hub", "node")
         star = cut(star.join(split.select("node").distinct(), "node", "left_semi"))
         popular = star.groupBy("hub").agg(F.count("*").alias("members"))
         hubs = cut(star.join(popular, "hub").groupBy("node").agg(F.max_by("hub", F.struct("members", -F.col("hub"))).alias("hub")))
-        cross = _cross_pairs(split.join(hubs, "node", "left"), shared)
-        cross = cut(cross.union(around_hubs(hubs, near, known)).distinct())
-        more = cut(verified(cross.join(pairs, ["a", "b"], "left_anti"), known))
+        cross = cut(_cross_pairs(split.join(hubs, "node", "left"), shared))
+        # the members of hubs with more than one component
+        own = hubs.join(split.select("node", "component", "size").distinct(), "node")
+        sizes = own.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("tokens"), F.min("component").alias("least"), F.max("component").alias("most"))
+        sizes = small(cut(sizes.where("least < most").select("hub", ((F.col("members") <= CELL_MEMBERS) & (F.col("tokens") <= CELL_TOKENS)).alias("few"))))
+        own = cut(own.join(sizes, "hub").select("hub", "node", "component", "few"))
+        cross = cut(cross.union(around_hubs(own.where("not few"), known)).distinct())
+        more = verified(cut(cross.join(pairs, ["a", "b"], "left_anti")), known, info).union(in_cells(own.where("few"), known))
+        more = cut(more)
         if more.limit(1).count():
             near = components(links.union(more))
     rows = info.where("kind = 0").select("doc_id", "n", "signature")
@@ -389,13 +534,16 @@ def linked_documents(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that link to a smaller one, directly or not; repeated rows of a doc_id become one."""
+    """docs without the documents that link to a smaller one, directly or not; of rows that share a doc_id one stays,
+    that of the smallest hash."""
     found = cut(linked_documents(docs))
-    gone = small(found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), 4_000_000)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")))
-    if not twice.limit(1).count():
+    key = fresh(docs, "other")
+    of = lambda rows: small(cut(rows.select(F.col("doc_id").alias(key)).distinct()), 4_000_000)
+    kept = docs.join(of(found.where("component_id < doc_id")), F.col("doc_id") == F.col(key), "left_anti")
+    several = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not several.limit(1).count():
         return kept
-    twice = small(twice)
-    same = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(same)
+    twice = of(several)
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    same = kept.join(twice, F.col("doc_id") == F.col(key), "left_semi").groupBy("doc_id").agg(one.alias("row")).select("row.*")
+    return kept.join(twice, F.col("doc_id") == F.col(key), "left_anti").unionByName(same)

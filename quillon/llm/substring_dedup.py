@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut, hash_parts, small
+from quillon.llm.store import bounded_batches, cut, fresh, hash_parts, small
 from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
 
 WINDOW, BLOCK = 50, 25
@@ -300,10 +300,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     return cut(found.unionByName(known).groupBy("bucket").applyInArrow(_gather, GATHERED))
 
 
-def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs with a column repeated (packed stretches of words, null: none)."""
-    found = repeats(docs).select(F.col("doc_id").alias("_rep_id"), F.col("text_key").alias("_rep_key"), F.col("spans").alias("repeated"))
-    return docs.join(small(found), (F.col("doc_id") == F.col("_rep_id")) & (F.xxhash64("text") == F.col("_rep_key")), "left").drop("_rep_id", "_rep_key")
+def with_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of a name of its own (packed stretches of repeated words, null: none), and that name."""
+    name, doc_id, key = (fresh(docs, x) for x in ("repeated", "repeated_id", "repeated_key"))
+    found = repeats(docs).select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key), F.col("spans").alias(name))
+    return docs.join(small(found), (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(key)), "left").drop(doc_id, key), name
 
 
 def kept_words(words: list[bytes], repeated: bytes | None) -> list[bytes]:
@@ -332,26 +333,30 @@ def _digest(batches):
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_repeats(source).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_repeats(source)[0].mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _rewrite(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts, stays = [], []
-            for text, where in zip(part.column("text"), part.column("repeated"), strict=True):
-                where = where.as_py()
-                texts.append(b" ".join(kept_words(text.as_buffer().to_pybytes().split(), where)).decode() if where else text.as_py())
-                stays.append(not where or bool(texts[-1]))
-            names = [x for x in part.schema.names if x != "repeated"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names], names=names).filter(pa.array(stays))
-        give_back()
+def _rewrite(name: str):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, stays = [], []
+                for text, where in zip(part.column("text"), part.column(name), strict=True):
+                    where = where.as_py()
+                    texts.append(b" ".join(kept_words(text.as_buffer().to_pybytes().split(), where)).decode() if where else text.as_py())
+                    stays.append(not where or bool(texts[-1]))
+                names = [x for x in part.schema.names if x != name]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names], names=names).filter(pa.array(stays))
+            give_back()
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated words cut out of text (other texts unchanged); documents of which nothing stays go."""
-    out = with_repeats(docs).mapInArrow(_rewrite, docs.schema)
+    out, name = with_repeats(docs)
+    out = out.mapInArrow(_rewrite(name), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from quillon.llm import substring_dedup as m
 
@@ -80,3 +81,12 @@ def test_rewrite(frame):
 
 def test_empty(frame):
     assert m.digest(frame([])).count() == 0 and m.remove_repeats(frame([])).count() == 0
+
+
+def test_clashing_names(frame):
+    docs = frame([(1, " ".join(f"w{i}" for i in range(60))), (2, "own words " + " ".join(f"w{i}" for i in range(60)))])
+    for c in ("repeated", "repeated_id", "repeated_key", "_rep_id", "_rep_key", "doc", "Repeated_"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    out = m.remove_repeats(docs)
+    assert out.columns == docs.columns and {(r.doc_id, len(r.text.split()), r.repeated, r["Repeated_"]) for r in out.collect()} == {(1, 60, "kept", "kept"), (2, 2, "kept", "kept")}
+    assert m.digest(docs).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
