@@ -20,8 +20,15 @@ PREFIX = f"{SCHEMA}:sha256:"
 
 
 def json_text(value: Column) -> Column:
-    """A JSON string; quotes and backslashes escaped."""
-    return F.concat(F.lit('"'), F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit('"'))
+    """An ASCII JSON string: all but printable ASCII is escaped, by UTF-16 units."""
+    plain = F.regexp_replace(value, r'(["\\])', r"\\$1")
+    units = F.regexp_extract_all(F.lower(F.hex(F.encode(value, "UTF-16BE"))), F.lit(".{4}"), F.lit(0))
+
+    def unit(x: Column) -> Column:
+        short = F.when(x == "0022", '\\"').when(x == "005c", "\\\\").when(x == "0008", "\\b").when(x == "0009", "\\t").when(x == "000a", "\\n").when(x == "000c", "\\f").when(x == "000d", "\\r")
+        return short.when((x >= "0020") & (x <= "007e"), F.chr(F.conv(x, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), x))
+
+    return F.concat(F.lit('"'), F.when(value.rlike(r"\A[ -~]*\z"), plain).otherwise(F.array_join(F.transform(units, unit), "")), F.lit('"'))
 
 
 def json_array(values: Column, text: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,6 +107,29 @@ def hash_sample(items: DataFrame, columns: list[str], k: int, seed: int = 0) ->
     return items.select(*columns).distinct().orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), *columns), 256)).limit(k)
 
 
+def shingle_frequencies(hashes: DataFrame) -> DataFrame:
+    """circuit, shingles, distinct, singleton_share: how many different shingles there are and how many occur once."""
+    n = hashes.groupBy("circuit", "hash").agg(F.count("*").alias("n"))
+    return n.groupBy("circuit").agg(F.sum("n").alias("shingles"), F.count("*").alias("distinct"), (F.count_if(F.col("n") == 1) / F.count("*")).alias("singleton_share"))
+
+
+def localize(blocks: DataFrame, pairs: DataFrame, tolerance: int) -> DataFrame:
+    """left, right, block, similarity, best: for each block of a pair's left circuit the best of the right one's blocks at
+    most `tolerance` places away, by weighted Jaccard of their histograms (circuit, block, name, n); nearer blocks first
+    among equals."""
+    total = blocks.groupBy("circuit", "block").agg(F.sum("n").alias("total"))
+    near = F.explode(F.sequence(F.col("block") - tolerance, F.col("block") + tolerance))
+    a = pairs.join(total.withColumnsRenamed({"circuit": "left", "total": "total_a"}), "left").withColumn("other", near)
+    met = a.join(total.withColumnsRenamed({"circuit": "right", "block": "other", "total": "total_b"}), ["right", "other"])
+    x = met.select("left", "right", "block", "other").join(blocks.withColumnsRenamed({"circuit": "left", "n": "n_a"}), ["left", "block"])
+    x = x.join(blocks.withColumnsRenamed({"circuit": "right", "block": "other", "n": "n_b"}), ["right", "other", "name"])
+    shared = x.groupBy("left", "right", "block", "other").agg(F.sum(F.least("n_a", "n_b")).alias("shared"))
+    rows = met.join(shared, ["left", "right", "block", "other"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    rows = rows.withColumn("similarity", F.col("shared") / (F.col("total_a") + F.col("total_b") - F.col("shared")))
+    first = F.struct(-F.col("similarity"), F.abs(F.col("block") - F.col("other")), F.col("other"))
+    return rows.groupBy("left", "right", "block").agg(F.max("similarity").alias("similarity"), F.min_by("other", first).alias("best"))
+
+
 def density(edges: Column, nodes: Column) -> Column:
     """Edges by possible edges."""
     return F.try_divide(edges * 2.0, nodes * (nodes - 1))
@@ -143,18 +167,22 @@ def space_saving(ops: DataFrame, item: str, capacity: int, key: str = "circuit")
     kind = ops.schema[key].dataType.simpleString()
 
     def add(state, r):
+        counters, heap = state  # the heap's counts may be old; one that is taken out is first brought up to date
         v = r[item]
-        if v in state:
-            state[v][0] += 1
-        elif len(state) < capacity:
-            state[v] = [1, 0]
-        else:
-            least = min(state, key=lambda x: (state[x][0], x))
-            n = state.pop(least)[0]
-            state[v] = [n + 1, n]
-
-    finish = lambda state: [(v, n, e) for v, (n, e) in sorted(state.items())]
-    return _streamed(ops.select(key, "idx", F.col(item).cast("string").alias(item)), key, dict, add, finish, f"{key} {kind}, {item} string, weight long, error long")
+        if v in counters:
+            counters[v][0] += 1
+            return
+        n = 0
+        if len(counters) >= capacity:
+            while heap[0][0] < counters[heap[0][1]][0]:
+                heapq.heapreplace(heap, (counters[heap[0][1]][0], heap[0][1]))
+            n = counters.pop(heapq.heappop(heap)[1])[0]
+        counters[v] = [n + 1, n]
+        heapq.heappush(heap, (n + 1, v))
+
+    finish = lambda state: [(v, n, e) for v, (n, e) in sorted(state[0].items())]
+    rows = ops.select(key, "idx", F.col(item).cast("string").alias(item)).where(F.col(item).isNotNull())
+    return _streamed(rows, key, lambda: ({}, []), add, finish, f"{key} {kind}, {item} string, weight long, error long")
 
 
 def reservoir(ops: DataFrame, item: str, size: int, seed: int = 0, key: str = "circuit") -> DataFrame:

@@ -28,7 +28,7 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", relat
 
     Each hop joins the frontier with the edges and drops nodes already visited; every step is a written table.
     """
-    links = directed(edges, direction, relations).select("here", "there").distinct()
+    links = cut(directed(edges, direction, relations).select("here", "there").distinct().repartition("here"))
     frontier = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
     seen, hop = frontier, 0
     while max_hops is None or hop < max_hops:
@@ -87,16 +87,19 @@ def generations(edges: DataFrame, relations: Sequence[str] | None = None) -> Dat
     return distances(edges, roots(edges), "out", relations)
 
 
-def longest_depth(edges: DataFrame, limit: int = 1000) -> DataFrame:
-    """Longest distance from the roots of an acyclic graph; rows still moving after `limit` rounds mean a cycle."""
-    links = edges.select("src", "dst").distinct()
-    frontier = depth = cut(roots(edges).withColumn("depth", F.lit(0)))
-    for n in range(1, limit + 1):
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """Longest distance from the roots of an acyclic graph; rows still moving after as many rounds as nodes mean a cycle."""
+    links = cut(edges.select("src", "dst").distinct().repartition("src"))
+    nodes = links.select("src").union(links.select("dst")).distinct().count()
+    frontier = depth = cut(roots(links).withColumn("depth", F.lit(0)))
+    for n in range(1, nodes + 1):
         frontier = cut(links.join(frontier, links["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct().withColumn("depth", F.lit(n)))
         if not frontier.limit(1).count():
             return depth
         depth = cut(depth.unionByName(frontier).groupBy("node").agg(F.max("depth").alias("depth")))
-    raise ValueError("the graph has a cycle")
+    if nodes:
+        raise ValueError("the graph has a cycle")
+    return depth
 
 
 def path_slice(edges: DataFrame, a, b, relations: Sequence[str] | None = None) -> DataFrame:

@@ -31,6 +31,13 @@ def contributor_rollup(submissions: DataFrame) -> DataFrame:
     )
 
 
+def first_of(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
+    """by, first: the k smallest values of each group in order; no more than k rows of a group are ever held."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(value))
+    rows = df.withColumn("_place", place).where(F.col("_place") <= k)
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value))), lambda x: x[value]).alias("first"))
+
+
 def merge_roles(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Union of tables (key, role): one row for each key with its distinct roles in order."""
     both = reduce(lambda a, b: a.unionByName(b), parts)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.session import cut
+
 
 #: Parts whose own fronts are taken first.
 SALTS = 64
@@ -30,6 +32,12 @@ def front_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
     return df.join(best, same & (F.col(y) == F.col("_least"))).select(df.columns)
 
 
+def population_fronts(df: DataFrame, x: str, y: str, populations: Sequence[tuple[str, Column]]) -> DataFrame:
+    """The front of each named population (name, condition): a row is in each population whose condition it meets."""
+    names = F.array_compact(F.array(*(F.when(F.coalesce(inside, F.lit(False)), F.lit(name)) for name, inside in populations)))
+    return front_2d(df.withColumn("population", F.explode(names)), x, y, ["population"])
+
+
 def _dominates(a: str, b: str, metrics: Sequence[str]):
     worse = reduce(lambda p, q: p & q, (F.col(f"{a}.{m}") <= F.col(f"{b}.{m}") for m in metrics))
     better = reduce(lambda p, q: p | q, (F.col(f"{a}.{m}") < F.col(f"{b}.{m}") for m in metrics))
@@ -37,10 +45,18 @@ def _dominates(a: str, b: str, metrics: Sequence[str]):
 
 
 def front(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """n-dimensional front by a theta anti-join within groups: for moderate groups; front_2d scales to any."""
-    a, b = df.alias("a"), df.alias("b")
-    same = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), F.lit(True))
-    return b.join(a, same & _dominates("a", "b", metrics), "left_anti")
+    """n-dimensional front: fronts of hash parts of each group first, then the front of what they keep.
+
+    A part compares its distinct points with one another, and the end those that are on a part's front: it costs the
+    square of these, which are few where points are not all on the front. front_2d compares no pairs."""
+    points = df.select(*by, *metrics).distinct().withColumn("_salt", F.pmod(F.xxhash64(*metrics), F.lit(SALTS)))
+    for part in ([*by, "_salt"], list(by)):
+        a, b = points.alias("a"), points.alias("b")
+        same = reduce(lambda p, q: p & q, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in part), F.lit(True))
+        points = cut(b.join(a, same & _dominates("a", "b", metrics), "left_anti"))
+    best = points.drop("_salt").withColumnsRenamed({c: f"_{c}" for c in (*by, *metrics)})
+    same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*by, *metrics)))
+    return df.join(best, same, "left_semi")
 
 
 def dominated_by(df: DataFrame, key: str, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

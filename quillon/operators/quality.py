@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,58 @@ SHA = "^[0-9a-f]{40}$"
 ISO_Z = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
 
 
+# Statuses of an official evaluation, its metrics, and the codes of what a record can get wrong.
+STATUSES, PROMOTIONS = ("accepted", "rejected", "failed", "cancelled"), ("promoted", "failed")
+METRICS = ("qubits", "toffoli")
+CODES = ("not_an_object", "bad_submission_uuid", "benchmark_mismatch", "unknown_platform_status", "unknown_promotion_status", "bad_official_metrics", "unexpected_metric_keys", "partial_metric_triple", "bad_metric_value", "score_mismatch", "bad_timestamp", "bad_commit_sha", "duplicate_submission_uuid")
+
+
+def evaluation_issues(records: DataFrame, benchmark: str | None = None) -> DataFrame:
+    """records (raw: one JSON record each) with the codes of what is wrong with them; every occurrence of an id that
+    occurs twice is wrong. Types are those of the JSON text: a number in quotes is no number."""
+    v = F.try_parse_json("raw")
+    part = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(part(path)), F.lit("VOID"))
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string"))
+    here = lambda path: kind(path) != "VOID"
+    among = lambda path, values: F.coalesce(text(path).isin(*values), F.lit(False))
+    matches = lambda path, pattern: F.coalesce(text(path).rlike(pattern), F.lit(False))
+    time_ok = lambda path: F.coalesce(F.try_to_timestamp(text(path)).isNotNull(), F.lit(False))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    triple = [f"$.officialMetrics.{m}" for m in METRICS] + ["$.officialScore"]
+    any_of, all_of = reduce(lambda a, b: a | b, map(here, triple)), reduce(lambda a, b: a & b, map(here, triple))
+    number = [F.try_variant_get(v, path, "decimal(38,0)") for path in triple]
+    whole = reduce(lambda a, b: a & b, (kind(path).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") & (n >= 0) for path, n in zip(triple, number, strict=True)))
+    metrics_object = F.startswith(kind("$.officialMetrics"), F.lit("OBJECT"))
+    keys = F.json_object_keys(F.to_json(part("$.officialMetrics")))
+    rules = {
+        "bad_submission_uuid": ~matches("$.id", UUID),
+        "benchmark_mismatch": ~F.coalesce(text("$.benchmarkId") == F.lit(benchmark), F.lit(False)) if benchmark else F.lit(False),
+        "unknown_platform_status": ~among("$.status", STATUSES),
+        "unknown_promotion_status": here("$.promotionStatus") & ~among("$.promotionStatus", PROMOTIONS),
+        "bad_official_metrics": here("$.officialMetrics") & ~metrics_object,
+        "unexpected_metric_keys": metrics_object & (F.size(F.array_except(keys, F.array(*map(F.lit, METRICS)))) > 0),
+        "partial_metric_triple": any_of & ~all_of,
+        "bad_metric_value": all_of & ~F.coalesce(whole, F.lit(False)),
+        "score_mismatch": all_of & F.coalesce(whole & (number[0].cast("decimal(19,0)") * number[1].cast("decimal(19,0)") != number[2]), F.lit(False)),
+        "bad_timestamp": ~time_ok("$.createdAt") | ~time_ok("$.updatedAt") | (here("$.promotionFinishedAt") & ~time_ok("$.promotionFinishedAt")),
+        "bad_commit_sha": reduce(lambda a, b: a | b, (here(f"$.{c}") & ~matches(f"$.{c}", SHA) for c in ("submissionCommitSha", "promotedSourceRef"))),
+    }
+    rows = with_issues(records, [("not_an_object", ~is_object), *((code, is_object & bad) for code, bad in rules.items())]).withColumn("_id", F.when(is_object, text("$.id")))
+    twice = rows.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(twice, "_id", "left")
+    return rows.withColumn("issues", F.when(F.col("_n").isNotNull(), F.array_append("issues", F.lit("duplicate_submission_uuid"))).otherwise(F.col("issues"))).drop("_id", "_n")
+
+
+def identical_once(df: DataFrame, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key whose rows are all the same but for their order, and every row of the other keys."""
+    facts = F.xxhash64(*(c for c in df.columns if c != order))
+    groups = df.groupBy(*key).agg(F.min(order).alias("_first"), F.min(facts).alias("_low"), F.max(facts).alias("_high"))
+    rows = df.join(groups, list(key))
+    same = F.col("_low") == F.col("_high")
+    return rows.where(same & (F.col(order) == F.col("_first"))).select(df.columns), rows.where(~same).select(df.columns)
+
+
 def with_issues(df: DataFrame, rules: Sequence[tuple[str, Column]], name: str = "issues") -> DataFrame:
     """df with an array of the names of the rules that a row breaks, in order; an unknown outcome breaks nothing."""
     return df.withColumn(name, F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for code, bad in rules))))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Comparators and aggregates of plans.
 COMPARATORS = {
     "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b,
@@ -26,8 +27,9 @@ class PlanError(ValueError):
     """A plan that cannot be run as written (status INVALID_PLAN)."""
 
 
-class MissingField(ValueError):
-    """A field that no row can have (status MISSING_DATA)."""
+def field(name: str) -> Column:
+    """A column by its name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def is_numeric(kind: T.DataType) -> bool:
@@ -39,17 +41,17 @@ def condition(df: DataFrame, metric: str, operator: str, value) -> Column:
     """One comparison; types must agree, nothing is coerced."""
     if operator not in COMPARATORS:
         raise PlanError(f"unknown comparator {operator!r}")
-    if metric not in df.columns:
-        raise MissingField(metric)
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if number and not math.isfinite(value):
         raise PlanError("a bound must be finite")
+    if metric not in df.columns:  # no row has it, so no row can meet it
+        return F.lit(False)
     kind = df.schema[metric].dataType
     if operator not in ("==", "!=") and number != is_numeric(kind):
         raise PlanError(f"{metric} and {value!r} have no order")
     if number != is_numeric(kind):  # values of two kinds are never equal
-        return F.col(metric).isNotNull() & F.lit(operator == "!=")
-    return COMPARATORS[operator](F.col(metric), F.lit(value))
+        return field(metric).isNotNull() & F.lit(operator == "!=")
+    return COMPARATORS[operator](field(metric), F.lit(value))
 
 
 def filter_rows(df: DataFrame, conditions: Sequence[tuple]) -> DataFrame:
@@ -58,15 +60,21 @@ def filter_rows(df: DataFrame, conditions: Sequence[tuple]) -> DataFrame:
 
 
 def filter_versions(df: DataFrame, conditions: Sequence[tuple]) -> tuple[DataFrame, DataFrame]:
-    """filter_rows, and one row with how many rows lack a metric of the conditions."""
-    lacks = reduce(lambda a, b: a | b, (F.col(c[0]).isNull() for c in conditions), F.lit(False))
-    return filter_rows(df, conditions), df.agg(F.count_if(lacks).alias("missing"))
+    """filter_rows, and one row with how many of all rows lack a metric of the conditions."""
+    lacks = reduce(lambda a, b: a | b, (field(c[0]).isNull() if c[0] in df.columns else F.lit(True) for c in conditions), F.lit(False))
+    return filter_rows(df, conditions), df.agg(F.count_if(lacks).alias("missing"), F.count("*").alias("total"))
 
 
 def sort_rows(df: DataFrame, by: str, order: str = "asc", tie: str = "version_id") -> DataFrame:
-    """Nulls last either way; ties by the tie column as text, ascending either way."""
-    key = F.col(by).asc_nulls_last() if order == "asc" else F.col(by).desc_nulls_last()
-    return df.orderBy(key, F.col(tie).cast("string").asc())
+    """Nulls last either way; ties by the tie column as text, ascending either way. A column that no row has sorts nothing."""
+    if order not in ("asc", "desc"):
+        raise PlanError(f"unknown order {order!r}")
+    keys = []
+    if by in df.columns:
+        keys.append(field(by).asc_nulls_last() if order == "asc" else field(by).desc_nulls_last())
+    if tie in df.columns:
+        keys.append(field(tie).cast("string").asc())
+    return df.orderBy(*keys) if keys else df
 
 
 def limit_rows(df: DataFrame, k: int) -> DataFrame:
@@ -75,17 +83,26 @@ def limit_rows(df: DataFrame, k: int) -> DataFrame:
     return df.limit(k)
 
 
-def group_by(df: DataFrame, key: str, agg: str, metric: str | None = None) -> DataFrame:
-    """key may end in :year or :year_month; a null key is a group of its own."""
+def group_by(df: DataFrame, key: str, agg: str = "count", metric: str | None = None) -> DataFrame:
+    """group, count and, for another aggregate than count, a column of its name. key may end in :year or :year_month; a
+    null key, or one that no row has, is a group of its own."""
     if agg not in AGGREGATES:
         raise PlanError(f"unknown aggregate {agg!r}")
+    if agg != "count" and not metric:
+        raise PlanError(f"{agg} needs a metric")
     name, _, suffix = key.partition(":")
-    column = F.col(name)
-    if suffix:
-        text = F.date_format(name, "yyyy-MM-dd") if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(name)
-        column = F.substring(text, 1, {"year": 4, "year_month": 7}[suffix])
-    value = F.count("*") if agg == "count" else getattr(F, "avg" if agg == "mean" else agg)(metric)
-    return df.groupBy(column.alias("key")).agg(value.alias("value"))
+    lengths = {"": 0, "year": 4, "year_month": 7}
+    if suffix not in lengths:
+        raise PlanError(f"unknown part {suffix!r} of a key")
+    column = field(name) if name in df.columns else F.lit(None).cast("string")
+    if suffix and name in df.columns:
+        text = F.date_format(column, "yyyy-MM-dd") if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else column.cast("string")
+        column = F.substring(text, 1, lengths[suffix])
+    values = [F.count("*").alias("count")]
+    if agg != "count":
+        known = field(metric) if metric in df.columns else F.lit(None).cast("double")
+        values.append(getattr(F, "avg" if agg == "mean" else agg)(known).alias(agg))
+    return df.groupBy(column.alias("group")).agg(*values)
 
 
 def unified_metrics(structural: DataFrame, benchmark: DataFrame, version: str = "version_id") -> DataFrame:
@@ -99,6 +116,10 @@ def wide_metrics(long: DataFrame, names: Sequence[str], version: str = "version_
     return long.groupBy(version).pivot("name", list(names)).agg(F.max("value"))
 
 
+# Identity fields of a version record.
+VERSION_FIELDS = ("version_id", "logical_circuit_id", "external_version_key", "version_label", "sequence_no", "historical_time", "record_status")
+
+
 def list_versions(versions: DataFrame, metrics: DataFrame, record_status: str | None = None, version: str = "version_id") -> DataFrame:
     """Identity fields and all metrics."""
     if record_status is not None:
@@ -106,6 +127,11 @@ def list_versions(versions: DataFrame, metrics: DataFrame, record_status: str |
     return versions.join(metrics, version, "left")
 
 
+def version_order() -> list[Column]:
+    """The order of version scans: by sequence number, those without one last; then by time, those without one first; then by id."""
+    return [F.col("sequence_no").asc_nulls_last(), F.col("historical_time").asc_nulls_first(), F.col("version_id").cast("string")]
+
+
 def best_with_ties(df: DataFrame, metric: str, lowest: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """All rows that have the extreme of a metric: an aggregate joined back, so no group is gathered."""
     best = (F.min if lowest else F.max)(metric).alias("_best")

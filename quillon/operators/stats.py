@@ -19,10 +19,11 @@ def confusion(df: DataFrame, truth: str, guess: str, labels: Sequence) -> DataFr
 
 def precision_recall(df: DataFrame, truth: str, guess: str, labels: Sequence) -> DataFrame:
     """label, precision, recall; null where nothing was guessed or true."""
-    t, g = F.col(truth), F.col(guess)
-    rows = df.select(F.explode(F.array(*map(F.lit, labels))).alias("label"), t.alias("t"), g.alias("g")).groupBy("label")
-    both = F.count_if((F.col("t") == F.col("label")) & (F.col("g") == F.col("label")))
-    sums = rows.agg(both.alias("b"), F.count_if(F.col("t") == F.col("label")).alias("t"), F.count_if(F.col("g") == F.col("label")).alias("g"))
+    n = df.groupBy(F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("n"))  # no more rows than pairs of labels
+    rows = n.select(F.explode(F.array(*map(F.lit, labels))).alias("label"), "t", "g", "n").groupBy("label")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    t, g = F.col("t") == F.col("label"), F.col("g") == F.col("label")
+    sums = rows.agg(count(t & g).alias("b"), count(t).alias("t"), count(g).alias("g"))
     return sums.select("label", F.try_divide("b", "g").alias("precision"), F.try_divide("b", "t").alias("recall"))
 
 
@@ -45,6 +46,11 @@ def mass(df: DataFrame, weight: str, tops: Sequence[int] = (1, 10, 100)) -> Data
     return out
 
 
+def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, n, least, median, most of the recorded values."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("most"))
+
+
 def discovery_curve(df: DataFrame, item: str, order: str, budgets: Sequence[int]) -> DataFrame:
     """How many distinct items have appeared in the first `budget` places: first places, then one conditional count."""
     first = df.groupBy(item).agg(F.min(order).alias("_first"))
@@ -66,5 +72,8 @@ def tag_breakdown(df: DataFrame, tags: str) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Row count and an order-free digest of a table."""
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 12), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest"))
+    """Row count and a digest that does not depend on the order of rows: the sum of 48 bits of each row's hash, so that no
+    task needs all rows. A row is its columns as text, joined by |, with ~ for nulls."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in df.columns))
+    bits = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(bits).cast("string"), F.lit("0")).alias("digest"))

@@ -13,31 +13,45 @@ def percent(before, after):
     return F.when(before != 0, (after - before) / before * 100)
 
 
-def list_transitions(edges: DataFrame, metrics: DataFrame, metric: str, relation: str | None = None, version: str = "version_id") -> DataFrame:
-    """Edges (src, dst, relation) with the metric before and after; both ends must have it."""
-    if relation is not None:
-        edges = edges.where(F.col("relation") == relation)
-    have = metrics.select(version, metric).where(F.col(metric).isNotNull())
-    before = have.select(F.col(version).alias("src"), F.col(metric).alias("metric_before"))
-    after = have.select(F.col(version).alias("dst"), F.col(metric).alias("metric_after"))
-    out = edges.join(before, "src").join(after, "dst")
-    return out.withColumns({"absolute_change": F.col("metric_after") - F.col("metric_before"), "percentage_change": percent(F.col("metric_before"), F.col("metric_after"))})
-
-
-def compute_delta(df: DataFrame, metrics: DataFrame, metric: str, before_field: str = "src", after_field: str = "dst", version: str = "version_id") -> DataFrame:
-    """df with metric_before, metric_after, metric_delta and metric_pct_change; null where an end lacks the metric."""
-    have = metrics.select(version, metric)
-    df = df.join(have.select(F.col(version).alias(before_field), F.col(metric).alias(f"{metric}_before")), before_field, "left")
-    df = df.join(have.select(F.col(version).alias(after_field), F.col(metric).alias(f"{metric}_after")), after_field, "left")
-    a, b = F.col(f"{metric}_before"), F.col(f"{metric}_after")
+# The relation that plans follow by default, and orders of rankings.
+SUCCESSOR = "historical_successor"
+ORDERS = ("largest_decrease", "largest_increase", "largest_absolute_change")
+ENDPOINT_FIELDS = {"version_id": "version_id", "label": "version_label", "external_key": "external_version_key", "historical_time": "historical_time"}
+
+
+def list_transitions(edges: DataFrame, versions: DataFrame, relation: str = SUCCESSOR, metrics: DataFrame | None = None, metric: str | None = None) -> DataFrame:
+    """Edges (src, dst, relation, perhaps edge_id) of one relation between versions, with the identity of parent and
+    child; with a metric only those of which both ends have it, before and after and the changes."""
+    if "edge_id" not in edges.columns:
+        edges = edges.withColumn("edge_id", F.substring(F.sha2(F.to_json(F.array(F.col("src").cast("string"), F.col("dst").cast("string"), F.col("relation"))), 256), 1, 32))
+    out = edges.where(F.col("relation") == relation).select("edge_id", F.col("relation").alias("relation_type"), F.col("src").alias("parent_version_id"), F.col("dst").alias("child_version_id"))
+    for end in ("parent", "child"):
+        out = out.join(versions.select(*(F.col(c).alias(f"{end}_{name}") for name, c in ENDPOINT_FIELDS.items())), f"{end}_version_id")
+    if metric is not None:
+        have = metrics.select("version_id", F.col(f"`{metric}`").alias("value")).where("value is not null")
+        out = out.withColumn("metric", F.lit(metric))
+        for end, name in (("parent", "metric_before"), ("child", "metric_after")):
+            out = out.join(have.select(F.col("version_id").alias(f"{end}_version_id"), F.col("value").alias(name)), f"{end}_version_id")
+        out = out.withColumns({"absolute_change": F.col("metric_after") - F.col("metric_before"), "percentage_change": percent(F.col("metric_before"), F.col("metric_after"))})
+    ends = [f"{end}_{name}" for end in ("parent", "child") for name in ENDPOINT_FIELDS]
+    return out.select("edge_id", "relation_type", *ends, *(c for c in out.columns if c not in ("edge_id", "relation_type", *ends)))
+
+
+def compute_delta(df: DataFrame, metrics: DataFrame, metric: str, before_field: str = "parent_version_id", after_field: str = "child_version_id", version: str = "version_id") -> DataFrame:
+    """df with <metric>_before, _after, _delta and _pct_change; null where an end lacks the metric."""
+    have = metrics.select(F.col(version).alias("_version"), (F.col(f"`{metric}`") if metric in metrics.columns else F.lit(None).cast("double")).alias("_value"))
+    a, b = f"{metric}_before", f"{metric}_after"
+    for end, name in ((before_field, a), (after_field, b)):
+        df = df.join(have.withColumnsRenamed({"_version": "_end", "_value": name}), F.col(end) == F.col("_end"), "left").drop("_end")
+    a, b = F.col(f"`{a}`"), F.col(f"`{b}`")
     return df.withColumns({f"{metric}_delta": b - a, f"{metric}_pct_change": percent(a, b)})
 
 
-def rank_transitions(edges: DataFrame, metrics: DataFrame, metric: str, order: str = "decrease", limit: int = 10, relation: str | None = None) -> DataFrame:
-    """The first transitions by change (decrease, increase) or by size of change (magnitude); no sign is filtered."""
+def rank_transitions(rows: DataFrame, order: str = "largest_decrease", limit: int = 10) -> DataFrame:
+    """The first transitions (with a metric) by change or by size of change, ties by parent; no sign is filtered."""
     change = F.col("absolute_change")
-    key = {"decrease": change, "increase": -change, "magnitude": -F.abs(change)}[order]
-    return list_transitions(edges, metrics, metric, relation).orderBy(key, F.col("src").cast("string"), F.col("dst").cast("string")).limit(limit)
+    key = dict(zip(ORDERS, (change, -change, -F.abs(change)), strict=True))[order]
+    return rows.orderBy(key, F.col("parent_version_id").cast("string"), F.col("child_version_id").cast("string")).limit(limit)
 
 
 def compare_versions(long: DataFrame, a, b, names: Sequence[str] | None = None, version: str = "version_id") -> DataFrame:

@@ -7,7 +7,9 @@ import re
 import struct
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,31 +199,72 @@ def packed_header(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.decode(F.substring("content", 1, 8), "US-ASCII").alias("magic"), count.alias("operations"))
 
 
+# Kinds of packed operations by number, and the fields of a record.
+KINDS = ("neg", "register", "append_to_register", "bit_invert", "bit_store0", "bit_store1", "x", "z", "cx", "cz", "swap", "r", "hmr", "ccx", "ccz", "push_condition", "pop_condition", "debug_print")
+FIELDS = np.dtype([("kind", "<u4"), ("pad", "<u4"), ("control2", "<u8"), ("control1", "<u8"), ("target", "<u8"), ("bit", "<u8"), ("condition", "<u8"), ("register", "<u8")])
+UNUSED = np.uint64(2**64 - 1)
+
+
+def _blocks(batches, block_records: int):
+    """(file, first record, bytes of whole records) of packed operation files, unpacked a block at a time."""
+    for batch in batches:
+        for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = memoryview(content.as_buffer())
+            if len(data) < struct.calcsize(HEADER):
+                raise ValueError(f"{name} has no header")
+            _, count = struct.unpack_from(HEADER, data)
+            reader, at = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data[struct.calcsize(HEADER) :]), 0
+            while at < count:
+                want = min(block_records, count - at) * RECORD
+                part = bytearray()
+                while len(part) < want and (more := reader.read(want - len(part))):
+                    part += more
+                if len(part) < want:
+                    raise ValueError(f"{name} ends after {at + len(part) // RECORD} of {count} records")
+                yield name, at, bytes(part)
+                at += want // RECORD
+
+
 def packed_records(spark: SparkSession, path: str, block_records: int = 65_536) -> DataFrame:
     """path, idx, record (binary) of packed operation files: a 16-byte header and zstd-packed 56-byte records, streamed."""
 
     def run(batches):
-        import io
+        for name, at, part in _blocks(batches, block_records):
+            n = len(part) // RECORD
+            records = pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD), n, [None, pa.py_buffer(part)])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), records.cast(pa.binary())], names=["path", "idx", "record"])
 
-        import zstandard
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, idx long, record binary")
 
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_buffer().to_pybytes()
-                _, count = struct.unpack_from(HEADER, data)
-                reader, at = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data[struct.calcsize(HEADER) :])), 0
-                while at < count:
-                    want = min(block_records, count - at) * RECORD
-                    part = b""
-                    while len(part) < want and (more := reader.read(want - len(part))):
-                        part += more
-                    if len(part) < want:
-                        raise ValueError(f"{name} ends after {at + len(part) // RECORD} of {count} records")
-                    n = want // RECORD
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(at, at + n), pa.int64()), pa.array([part[i : i + RECORD] for i in range(0, want, RECORD)], pa.binary())], names=["path", "idx", "record"])
-                    at += n
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, idx long, record binary")
+def _lists(columns: list[np.ndarray], kind: pa.DataType, text: Sequence[str] = ()) -> pa.Array:
+    """For each row the list of its used columns, as numbers or as <name>=<number>."""
+    table = np.stack(columns, axis=1)
+    used = table != UNUSED
+    values = table[used]
+    if text:
+        names = np.broadcast_to(np.array(text), table.shape)[used]
+        flat = pa.array([f"{n}={v}" for n, v in zip(names.tolist(), values.tolist(), strict=True)], kind)
+    else:
+        flat = pa.array(values.astype(np.int64), kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)), flat)
+
+
+def packed_operations(spark: SparkSession, path: str, block_records: int = 65_536) -> DataFrame:
+    """circuit (the path), idx, name, qubits, classical_bits, parameters of packed operation files, a block at a time."""
+
+    def run(batches):
+        for name, at, part in _blocks(batches, block_records):
+            x = np.frombuffer(part, dtype=FIELDS)
+            if (x["kind"] >= len(KINDS)).any():
+                bad = int(np.flatnonzero(x["kind"] >= len(KINDS))[0])
+                raise ValueError(f"{name}: record {at + bad} has the unknown kind {x['kind'][bad]}")
+            names = pa.DictionaryArray.from_arrays(pa.array(x["kind"].astype(np.int32)), pa.array(KINDS)).cast(pa.string())
+            qubits = _lists([x["control2"], x["control1"], x["target"]], pa.int64())
+            parameters = _lists([x["register"], x["condition"]], pa.string(), ("r_target", "c_condition"))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(at, at + len(x))), names, qubits, _lists([x["bit"]], pa.int64()), parameters], names=["circuit", "idx", "name", "qubits", "classical_bits", "parameters"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "circuit string, idx long, name string, qubits array<long>, classical_bits array<long>, parameters array<string>")
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """The operators bound to the test tables, each with the SQL that says the same.
 
-Binding: orders are versions of their customer's circuit; lineitem gives an order's metrics; edges join consecutive
-finished orders (next) and open orders to the finished one before them (branched_from); events are observations by
-user and operations of a stream; documents carry fingerprints and labels.
+Binding: orders are versions of one circuit; lineitem gives an order's metrics; edges join consecutive finished orders
+of a customer (historical_successor) and open orders to the finished one before them (branched_from); the events of a
+user and type are the evaluations of a submission, which the order of the user's number realises if they are clicks;
+events are also operations of a stream; documents carry fingerprints and labels.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import canonical, scalars, sketch
 from quillon.operators import asof, graph, history, latest, pareto, quality, records, resolve, sequences, stats, transitions
-from quillon.plans.plan import Store, execute
+from quillon.plans import questions
+from quillon.plans.plan import Plan, Store, execute
 from quillon.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +38,7 @@ def table(s: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def versions(s, d):
-    return table(s, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("circuit_id"), F.col("o_orderkey").cast("string").alias("external_key"), F.col("o_orderstatus").alias("record_status"), F.col("o_orderdate").alias("historical_time"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("circuit_id"), F.lit("orders").alias("logical_circuit_id"), F.col("o_orderkey").cast("string").alias("external_version_key"), F.col("o_orderstatus").alias("record_status"), F.col("o_orderdate").alias("historical_time"), F.concat("o_orderkey", F.lit("-click")).alias("realized_from_submission_id"))
 
 
 def metrics(s, d):
@@ -46,7 +48,7 @@ def metrics(s, d):
 
 def next_edges(s, d):
     done = table(s, d, "orders").where("o_orderstatus = 'F'")
-    return sequences.chain(done, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("src", "dst", F.lit("next").alias("relation"))
+    return sequences.chain(done, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("src", "dst", F.lit("historical_successor").alias("relation"))
 
 
 def branch_edges(s, d):
@@ -81,10 +83,15 @@ def operations(s, d):
 
 
 def store(s, d):
-    sub = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    sub = sub.select(F.concat_ws("-", "user_id", "event_type").alias("submission_id"), F.col("user_id").cast("string").alias("contributor"), F.col("event_type").alias("lifecycle_status"), F.when(F.col("n") > 13, F.col("user_id")).alias("version_id"))
-    ev = table(s, d, "events").select(F.concat_ws("-", "user_id", "event_type").alias("submission_id"), F.when(F.col("value") > 50, "scored").otherwise("open").alias("platform_status"), F.col("value").alias("score"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("fetched_at"), F.col("event_id").alias("snapshot_id"))
-    return Store(versions(s, d), metrics(s, d), edges(s, d).select("src", "dst", "relation"), sub, ev)
+    e = table(s, d, "events")
+    name, at = F.concat_ws("-", "user_id", "event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    sub = e.select(name.alias("submission_id"), F.concat(F.lit("hub:"), name).alias("external_submission_key"), F.col("event_type").alias("status")).distinct()
+    ev = e.select(name.alias("submission_id"), F.when(F.col("value") > 50, "scored").otherwise("open").alias("platform_status"), F.col("value").alias("official_score"), at.alias("platform_created_at"), at.alias("fetched_at"), F.col("event_id").alias("snapshot_id"))
+    who = F.col("user_id").cast("string")
+    people = e.select(who.alias("contributor_identity_id"), F.concat(F.lit("user"), who).alias("current_handle"), F.concat(F.lit("acc:"), who).alias("source_identity_key")).distinct()
+    role = F.when(F.col("event_type") == "view", "COAUTHOR").otherwise("SUBMITTER")
+    given = e.select(name.alias("submission_id"), who.alias("contributor_identity_id"), role.alias("role"), at.alias("fetched_at"), F.col("event_id").alias("snapshot_id"))
+    return Store(versions(s, d), metrics(s, d), edges(s, d).select("src", "dst", "relation"), sub, ev, people, given)
 
 
 def planned(s, d, *steps) -> DataFrame:
@@ -94,9 +101,9 @@ def planned(s, d, *steps) -> DataFrame:
     return result.data
 
 
-V = "versions AS (SELECT o_orderkey AS version_id, o_custkey AS circuit_id, o_orderstatus AS record_status, o_orderdate AS historical_time FROM orders)"
+V = "versions AS (SELECT o_orderkey AS version_id, o_custkey AS circuit_id, 'orders' AS logical_circuit_id, o_orderstatus AS record_status, o_orderdate AS historical_time FROM orders)"
 M = "metrics AS (SELECT l_orderkey AS version_id, count(*) AS operation_count, count(DISTINCT l_partkey) AS qubit_count, CAST(sum(l_quantity) AS BIGINT) AS toffoli_count, count(DISTINCT l_partkey) * CAST(sum(l_quantity) AS BIGINT) AS score FROM lineitem GROUP BY 1)"
-NEXT = "nexts AS (SELECT src, dst, 'next' AS relation FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders WHERE o_orderstatus = 'F') x WHERE dst IS NOT NULL)"
+NEXT = "nexts AS (SELECT src, dst, 'historical_successor' AS relation FROM (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders WHERE o_orderstatus = 'F') x WHERE dst IS NOT NULL)"
 BRANCH = "branches AS (SELECT max_by(f.o_orderkey, (f.o_orderdate, f.o_orderkey)) AS src, o.o_orderkey AS dst, 'branched_from' AS relation FROM orders o JOIN orders f ON f.o_custkey = o.o_custkey AND f.o_orderstatus = 'F' AND f.o_orderdate <= o.o_orderdate WHERE o.o_orderstatus <> 'F' GROUP BY o.o_orderkey)"
 EDGES = f"{NEXT}, {BRANCH}, edges AS (SELECT * FROM nexts UNION ALL SELECT * FROM branches)"
 TRADE = "trade AS (SELECT s_nationkey AS src, c_nationkey AS dst, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' ELSE 'other' END AS relation, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)"
@@ -105,15 +112,28 @@ OPS = "ops AS (SELECT user_id AS circuit, row_number() OVER (PARTITION BY user_i
 SHINGLES = f"{OPS}, tokens AS (SELECT circuit, idx, name, '[\"' || name || '\",[' || q1 || ',' || q2 || '],[],[]]' AS t FROM ops), lagged AS (SELECT circuit, idx, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2 FROM tokens WINDOW w AS (PARTITION BY circuit ORDER BY idx)), hashes AS (SELECT circuit, substr(sha256('[' || t || ',' || t1 || ',' || t2 || ']'), 1, 16) AS hash FROM lagged WHERE t2 IS NOT NULL)"
 
 
-@query(f"WITH {TRANS} SELECT src, dst, relation, metric_before, metric_after, absolute_change, round(percentage_change, 4) AS percentage_change FROM trans WHERE percentage_change <= -10")
+SUCCESSORS = f"{TRANS}, steps AS (SELECT src AS parent_version_id, dst AS child_version_id, relation AS relation_type, metric_before, metric_after, absolute_change, percentage_change FROM trans WHERE relation = 'historical_successor')"
+
+
+@query(f"WITH {SUCCESSORS} SELECT parent_version_id, child_version_id, relation_type, metric_before, metric_after, absolute_change, round(percentage_change, 4) AS percentage_change FROM steps WHERE percentage_change <= -10")
 def transitions_top_decrease(s, d):
-    rows = planned(s, d, ("list_transitions", {"metric": "toffoli_count"}), ("filter", {"conditions": [{"metric": "percentage_change", "operator": "<=", "value": -10.0}]}), ("sort", {"by": "percentage_change", "tie_breaker": "src"}))
-    return rows.select("src", "dst", "relation", "metric_before", "metric_after", "absolute_change", F.round("percentage_change", 4).alias("percentage_change"))
+    rows = planned(s, d, ("list_transitions", {"metric": "toffoli_count"}), ("filter", {"conditions": [{"metric": "percentage_change", "operator": "<=", "value": -10.0}]}), ("sort", {"by": "percentage_change", "tie_breaker": "parent_version_id"}))
+    return rows.select("parent_version_id", "child_version_id", "relation_type", "metric_before", "metric_after", "absolute_change", F.round("percentage_change", 4).alias("percentage_change"))
+
 
+@query(f"WITH {EDGES} SELECT src AS parent_version_id, dst AS child_version_id, CAST(src AS VARCHAR) AS parent_external_key, strftime(b.o_orderdate, '%Y-%m-%d') AS child_day FROM branches JOIN orders b ON b.o_orderkey = dst")
+def list_transitions(s, d):
+    return planned(s, d, ("list_transitions", {"relation_type": "branched_from"})).select("parent_version_id", "child_version_id", "parent_external_key", F.date_format("child_historical_time", "yyyy-MM-dd").alias("child_day"))
 
-@query(f"WITH {V}, {M} SELECT v.version_id, circuit_id, record_status, strftime(historical_time, '%Y-%m-%d') AS day, operation_count, qubit_count, toffoli_count, score FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id WHERE record_status = 'F'")
+
+@query(f"WITH {V}, {M} SELECT v.version_id, logical_circuit_id, CAST(v.version_id AS VARCHAR) AS external_version_key, record_status, strftime(historical_time, '%Y-%m-%d') AS day, operation_count, qubit_count, toffoli_count, score FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id WHERE record_status = 'F'")
 def list_versions(s, d):
-    return planned(s, d, ("list_versions", {"record_status": "F"})).select("version_id", "circuit_id", "record_status", F.date_format("historical_time", "yyyy-MM-dd").alias("day"), "operation_count", "qubit_count", "toffoli_count", "score")
+    return planned(s, d, ("list_versions", {"record_status": "F"})).select("version_id", "logical_circuit_id", "external_version_key", "record_status", F.date_format("historical_time", "yyyy-MM-dd").alias("day"), "operation_count", "qubit_count", "toffoli_count", "score")
+
+
+@query(f"WITH {V}, {M} SELECT v.version_id, score FROM versions v JOIN metrics m ON m.version_id = v.version_id WHERE toffoli_count > 0 ORDER BY score, CAST(v.version_id AS VARCHAR) LIMIT 10")
+def lowest_versions(s, d):
+    return planned(s, d, ("list_versions", {}), ("filter", {"conditions": [{"metric": "toffoli_count", "operator": ">", "value": 0}]}), ("sort", {"by": "score"}), ("limit", {"k": 10})).select("version_id", "score")
 
 
 @query(f"WITH {V}, {M} SELECT v.version_id, qubit_count, toffoli_count FROM versions v JOIN metrics m ON m.version_id = v.version_id WHERE qubit_count < 4 AND toffoli_count >= 60")
@@ -121,56 +141,75 @@ def filter_versions(s, d):
     return planned(s, d, ("filter_versions", {"conditions": [{"metric": "qubit_count", "operator": "<", "value": 4}, {"metric": "toffoli_count", "operator": ">=", "value": 60}]})).select("version_id", "qubit_count", "toffoli_count")
 
 
-@query(f"WITH {V}, {M} SELECT count(*) FILTER (WHERE qubit_count IS NULL) AS missing FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id")
+@query(f"WITH {V}, {M} SELECT count(*) FILTER (WHERE qubit_count IS NULL) AS missing, count(*) AS total FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id")
 def filter_versions_missing(s, d):
-    return records.filter_versions(records.list_versions(versions(s, d), metrics(s, d)), [("qubit_count", "<", 4)])[1]
+    return execute({"operation": "filter_versions", "conditions": [{"metric": "qubit_count", "operator": "<", "value": 4}]}, store(s, d)).left_out
 
 
-@query(f"WITH {V}, {M}, {NEXT} SELECT e.src, e.dst, b.toffoli_count - a.toffoli_count AS toffoli_count_delta, b.qubit_count - a.qubit_count AS qubit_count_delta, round(CASE WHEN a.qubit_count <> 0 THEN (b.qubit_count - a.qubit_count) / CAST(a.qubit_count AS DOUBLE) * 100 END, 4) AS qubit_count_pct FROM nexts e LEFT JOIN metrics a ON a.version_id = e.src LEFT JOIN metrics b ON b.version_id = e.dst")
+@query(f"WITH {V}, {M}, {NEXT} SELECT e.src AS parent_version_id, e.dst AS child_version_id, b.toffoli_count - a.toffoli_count AS toffoli_count_delta, b.qubit_count - a.qubit_count AS qubit_count_delta, round(CASE WHEN a.qubit_count <> 0 THEN (b.qubit_count - a.qubit_count) / CAST(a.qubit_count AS DOUBLE) * 100 END, 4) AS qubit_count_pct FROM nexts e LEFT JOIN metrics a ON a.version_id = e.src LEFT JOIN metrics b ON b.version_id = e.dst")
 def compute_delta_two_metrics(s, d):
-    m = metrics(s, d)
-    rows = transitions.compute_delta(transitions.compute_delta(next_edges(s, d), m, "toffoli_count"), m, "qubit_count")
-    return rows.select("src", "dst", "toffoli_count_delta", "qubit_count_delta", F.round("qubit_count_pct_change", 4).alias("qubit_count_pct"))
+    rows = planned(s, d, ("list_transitions", {}), ("compute_delta", {"metric": "toffoli_count"}), ("compute_delta", {"metric": "qubit_count"}))
+    return rows.select("parent_version_id", "child_version_id", "toffoli_count_delta", "qubit_count_delta", F.round("qubit_count_pct_change", 4).alias("qubit_count_pct"))
 
 
-@query(f"WITH {V}, {M} SELECT strftime(historical_time, '%Y') AS key, round(avg(score), 4) AS value FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id GROUP BY 1")
+@query(f"WITH {V}, {M} SELECT strftime(historical_time, '%Y') AS \"group\", count(*) AS \"count\", round(avg(score), 4) AS mean FROM versions v LEFT JOIN metrics m ON m.version_id = v.version_id GROUP BY 1")
 def group_by_year(s, d):
-    return planned(s, d, ("list_versions", {}), ("group_by", {"key": "historical_time:year", "agg": "mean", "metric": "score"})).select("key", F.round("value", 4).alias("value"))
+    return planned(s, d, ("list_versions", {}), ("group_by", {"key": "historical_time:year", "agg": "mean", "metric": "score"})).select("group", "count", F.round("mean", 4).alias("mean"))
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS key, count(*) AS value FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS \"group\", count(*) AS \"count\" FROM orders GROUP BY 1")
 def group_by_month_count(s, d):
-    return records.group_by(versions(s, d), "historical_time:year_month", "count")
+    return planned(s, d, ("list_versions", {}), ("group_by", {"key": "historical_time:year_month"}))
 
 
-@query(f"WITH {M}, a AS (SELECT * FROM metrics WHERE version_id = 1), b AS (SELECT * FROM metrics WHERE version_id = 2), la AS (UNPIVOT a ON operation_count, qubit_count, toffoli_count, score INTO NAME name VALUE v), lb AS (UNPIVOT b ON operation_count, qubit_count, toffoli_count, score INTO NAME name VALUE v) SELECT coalesce(la.name, lb.name) AS name, CAST(la.v AS DOUBLE) AS value_a, CAST(lb.v AS DOUBLE) AS value_b, CAST(lb.v - la.v AS DOUBLE) AS delta FROM la FULL JOIN lb ON la.name = lb.name")
+@query(f"WITH {M}, a AS (SELECT * FROM metrics WHERE version_id = 1), b AS (SELECT * FROM metrics WHERE version_id = 2), la AS (UNPIVOT a ON operation_count, qubit_count, toffoli_count, score INTO NAME name VALUE v), lb AS (UNPIVOT b ON operation_count, qubit_count, toffoli_count, score INTO NAME name VALUE v) SELECT coalesce(la.name, lb.name) AS name, CAST(la.v AS DOUBLE) AS before, CAST(lb.v AS DOUBLE) AS after, CAST(lb.v - la.v AS DOUBLE) AS absolute_change FROM la FULL JOIN lb ON la.name = lb.name")
 def compare_versions(s, d):
-    return planned(s, d, ("compare_versions", {"a": "1", "b": "2"})).select("name", "value_a", "value_b", "delta")
+    return planned(s, d, ("compare_versions", {"version_a": "1", "version_b": "2"})).select("name", "before", "after", "absolute_change")
 
 
-@query(f"WITH {M} SELECT version_id, 'score' AS name, CAST(score AS DOUBLE) AS value FROM metrics WHERE version_id = 2")
+@query(f"WITH {M} SELECT version_id, CAST(version_id AS VARCHAR) AS external_version_key, 'score' AS metric, CAST(score AS DOUBLE) AS value FROM metrics WHERE version_id = 2")
 def get_metric(s, d):
-    return planned(s, d, ("get_metric", {"version": "2", "metric": "score"}))
+    return planned(s, d, ("get_metric", {"version": "2", "metric": "score"})).select("version_id", "external_version_key", "metric", "value")
 
 
-@query(f"WITH {TRANS} SELECT src, dst, absolute_change FROM trans ORDER BY absolute_change, CAST(src AS VARCHAR), CAST(dst AS VARCHAR) LIMIT 10")
+@query("SELECT '3-click' AS submission_uuid, 3 AS version_id, 'submission' AS entity_scope, 'evaluation.score' AS metric, max_by(value, (ts, event_id)) AS value FROM events WHERE user_id = 3 AND event_type = 'click'")
+def get_submission_metric(s, d):
+    return planned(s, d, ("get_metric", {"version": "3", "metric": "evaluation.score"})).select("submission_uuid", F.col("version_id").cast("int").alias("version_id"), "entity_scope", "metric", "value")
+
+
+@query(f"WITH {SUCCESSORS} SELECT parent_version_id, child_version_id, absolute_change FROM steps ORDER BY absolute_change, CAST(parent_version_id AS VARCHAR), CAST(child_version_id AS VARCHAR) LIMIT 10")
 def rank_transitions(s, d):
-    return planned(s, d, ("rank_transitions", {"metric": "toffoli_count"})).select("src", "dst", "absolute_change")
+    return planned(s, d, ("rank_transitions", {"metric": "toffoli_count"})).select("parent_version_id", "child_version_id", "absolute_change")
 
 
-@query(f"WITH {TRANS} SELECT src, dst, absolute_change FROM trans ORDER BY -absolute_change, CAST(src AS VARCHAR), CAST(dst AS VARCHAR) LIMIT 5")
+@query(f"WITH {TRANS} SELECT src AS parent_version_id, dst AS child_version_id, absolute_change FROM trans WHERE relation = 'branched_from' ORDER BY -absolute_change, CAST(src AS VARCHAR), CAST(dst AS VARCHAR) LIMIT 5")
 def top_k_changes(s, d):
-    return planned(s, d, ("top_k_changes", {"metric": "toffoli_count", "direction": "increase"})).select("src", "dst", "absolute_change")
+    return planned(s, d, ("top_k_changes", {"metric": "toffoli_count", "direction": "increase", "relation_type": "branched_from"})).select("parent_version_id", "child_version_id", "absolute_change")
+
+
+@query(ORACLE_SQL["rank_transitions"])
+def asked_question(s, d):
+    """A question, read, guarded and run."""
+    question = "What are the 10 largest toffoli decreases?"
+    return execute(questions.guard(question, questions.read(question).plan).plan, store(s, d)).data.select("parent_version_id", "child_version_id", "absolute_change")
 
 
-@query("SELECT user_id || '-' || event_type AS submission_id, CAST(user_id AS VARCHAR) AS contributor, CASE WHEN max_by(value, (ts, event_id)) > 50 THEN 'scored' ELSE 'open' END AS platform_status, max_by(value, (ts, event_id)) AS score FROM events GROUP BY user_id, event_type")
+@query("WITH last AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2) SELECT user_id || '-' || event_type AS submission_uuid, event_type AS lifecycle_status, o_orderkey AS version_id, true AS has_official_evaluation, CASE WHEN v > 50 THEN 'scored' ELSE 'open' END AS status, v AS score, CASE WHEN event_type <> 'view' THEN 'user' || user_id END AS submitter FROM last LEFT JOIN orders ON event_type = 'click' AND o_orderkey = user_id")
 def list_submissions(s, d):
-    return planned(s, d, ("list_submissions", {})).select("submission_id", "contributor", "platform_status", "score")
+    field = records.field
+    return planned(s, d, ("list_submissions", {})).select("submission_uuid", "lifecycle_status", "version_id", "has_official_evaluation", field("platform.status").alias("status"), field("evaluation.score").alias("score"), field("contributor.submitter").alias("submitter"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS contributor, count(*) AS submitted, count(CASE WHEN n > 13 THEN 1 END) AS with_version FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) x GROUP BY 1")
+@query("WITH s AS (SELECT DISTINCT user_id, event_type FROM events) SELECT CAST(user_id AS VARCHAR) AS contributor_identity_id, 'user' || user_id AS current_handle, count(*) FILTER (WHERE event_type <> 'view') AS submission_count, count(*) FILTER (WHERE event_type = 'view') AS coauthor_count, count(*) FILTER (WHERE event_type = 'click' AND user_id IN (SELECT o_orderkey FROM orders)) AS submissions_with_circuit_version FROM s GROUP BY user_id")
 def list_contributors(s, d):
-    return planned(s, d, ("list_contributors", {}))
+    return planned(s, d, ("list_contributors", {})).select("contributor_identity_id", "current_handle", "submission_count", "coauthor_count", "submissions_with_circuit_version")
+
+
+@query(f"WITH {EDGES} SELECT 'circuit_version' AS entity_type, '5' AS version_id, (SELECT count(*) FROM branches WHERE dst = 5) AS parents, (SELECT count(*) FROM branches WHERE src = 5) AS branches, max_by(value, (ts, event_id)) AS score FROM events WHERE user_id = 5 AND event_type = 'click'")
+def describe_entity(s, d):
+    document = lambda path: F.get_json_object("document", path)
+    count = lambda way: F.coalesce(document(f"$.relationships.branched_from.{way}.count").cast("long"), F.lit(0).cast("long"))
+    return planned(s, d, ("describe_entity", {"version": "5"})).select(document("$.entity_type").alias("entity_type"), document("$.identity.version_id").alias("version_id"), count("predecessors").alias("parents"), count("successors").alias("branches"), document("$.evaluation['evaluation.score']").cast("double").alias("score"))
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -209,12 +248,12 @@ WHO = "who AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1
 
 @query(f"WITH RECURSIVE {EDGES}, {WHO}, walk AS (SELECT a AS node, 0 AS hops FROM ends UNION SELECT e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.hops < 3) SELECT node, min(hops) AS hops FROM walk WHERE hops > 0 GROUP BY 1")
 def traverse_descendants(s, d):
-    return graph.traverse(edges(s, d), _start(s, d)[0], "out", None, 3)
+    return planned(s, d, ("traverse", {"version": str(_start(s, d)[0]), "direction": "descendants", "max_hops": 3})).select(F.col("version_id").alias("node"), "hops")
 
 
 @query(f"WITH RECURSIVE {EDGES}, {WHO}, walk AS (SELECT b AS node, 0 AS hops FROM ends UNION SELECT e.src, w.hops + 1 FROM walk w JOIN edges e ON e.dst = w.node) SELECT node, min(hops) AS hops FROM walk WHERE hops > 0 GROUP BY 1")
 def traverse_ancestors(s, d):
-    return graph.traverse(edges(s, d), _start(s, d)[1], "in")
+    return planned(s, d, ("traverse", {"version": str(_start(s, d)[1]), "direction": "ancestors"})).select(F.col("version_id").alias("node"), "hops")
 
 
 @query(f"WITH {TRADE}, one AS (SELECT DISTINCT src, dst FROM trade WHERE relation = 'urgent'), a AS (SELECT 1 AS node, 0 AS h UNION ALL SELECT src, 1 FROM one WHERE dst = 1 AND src <> 1), b AS (SELECT 2 AS node, 0 AS h UNION ALL SELECT src, 1 FROM one WHERE dst = 2 AND src <> 2), x AS (SELECT a.node, a.h AS hops_a, b.h AS hops_b, a.h + b.h AS hops FROM a JOIN b ON a.node = b.node) SELECT node, hops_a, hops_b, hops FROM x WHERE hops = (SELECT min(hops) FROM x)")
@@ -267,6 +306,46 @@ def pareto_2d(s, d):
     return pareto.front_2d(table(s, d, "part"), "p_size", "p_retailprice").select("p_partkey", "p_size", "p_retailprice")
 
 
+@query("WITH last AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS v, max(ts) AS last_ts FROM events GROUP BY 1, 2) SELECT user_id || '-' || event_type AS submission_uuid, v AS score FROM last WHERE v < 10 ORDER BY last_ts, submission_uuid LIMIT 3")
+def earliest_below_bound(s, d):
+    """The first submissions whose official score is below a bound."""
+    rows = planned(s, d, ("list_submissions", {}), ("filter", {"conditions": [{"metric": "evaluation.score", "operator": "<", "value": 10}]}), ("sort", {"by": "platform.created_at", "tie_breaker": "submission_uuid"}), ("limit", {"k": 3}))
+    return rows.select("submission_uuid", records.field("evaluation.score").alias("score"))
+
+
+@query(f"WITH {TRANS} SELECT src AS parent_version_id, dst AS child_version_id, absolute_change FROM trans JOIN orders ON o_orderkey = dst WHERE relation = 'branched_from' AND o_orderstatus = 'P' AND absolute_change < 0")
+def unfinished_cheaper(s, d):
+    """Children of one status that cost less than what they branched from."""
+    rows = planned(s, d, ("list_transitions", {"relation_type": "branched_from", "metric": "toffoli_count"}), ("filter", {"conditions": [{"metric": "absolute_change", "operator": "<", "value": 0}]}))
+    child = versions(s, d).where("record_status = 'P'").select(F.col("version_id").alias("child_version_id"))
+    return rows.join(child, "child_version_id", "left_semi").select("parent_version_id", "child_version_id", "absolute_change")
+
+
+POPULATIONS = {"finished": "record_status = 'F'", "finished by the cutoff": "record_status = 'F' AND historical_time <= TIMESTAMP '1995-06-30 00:00:00'", "by the cutoff": "historical_time <= TIMESTAMP '1995-06-30 00:00:00'", "all": "true"}
+
+
+@query(f"WITH {V}, {M}, x AS (SELECT m.version_id, qubit_count, -toffoli_count AS cost, record_status, historical_time FROM metrics m JOIN versions v ON v.version_id = m.version_id), p AS ({' UNION ALL '.join(f'SELECT {chr(39)}{n}{chr(39)} AS population, * FROM x WHERE {c}' for n, c in POPULATIONS.items())}), l AS (SELECT population, qubit_count, min(cost) AS cost FROM p GROUP BY 1, 2), f AS (SELECT *, min(cost) OVER (PARTITION BY population ORDER BY qubit_count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l) SELECT p.population, p.version_id FROM p JOIN f ON f.population = p.population AND f.qubit_count = p.qubit_count AND f.cost = p.cost WHERE before IS NULL OR p.cost < before")
+def population_fronts(s, d):
+    x = metrics(s, d).join(versions(s, d), "version_id").withColumn("cost", -F.col("toffoli_count"))
+    return pareto.population_fronts(x, "qubit_count", "cost", [(n, F.expr(c)) for n, c in POPULATIONS.items()]).select("population", "version_id")
+
+
+@query(f"WITH {RUN}, s AS (SELECT *, o_totalprice - previous AS delta FROM w WHERE previous IS NOT NULL) SELECT o_custkey, count(*) AS steps, min_by(o_orderkey, (delta, o_orderdate, o_orderkey)) AS fall_key, round(min(delta), 2) AS fall, min_by(o_orderkey, (-delta, o_orderdate, o_orderkey)) AS rise_key, round(max(delta), 2) AS rise FROM s GROUP BY 1")
+def extreme_steps(s, d):
+    found = sequences.extreme_steps(table(s, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "o_orderkey")
+    return found.select("o_custkey", "steps", "fall_key", F.round("fall", 2).alias("fall"), "rise_key", F.round("rise", 2).alias("rise"))
+
+
+@query("SELECT event_type, count(value) AS n, min(value) AS least, median(value) AS median, max(value) AS most FROM events GROUP BY 1")
+def value_spread(s, d):
+    return stats.spread(table(s, d, "events"), ["event_type"], "value")
+
+
+@query(f"WITH {SHINGLES}, n AS (SELECT circuit, hash, count(*) AS n FROM hashes GROUP BY 1, 2) SELECT circuit, CAST(sum(n) AS BIGINT) AS shingles, count(*) AS \"distinct\", round(count(*) FILTER (WHERE n = 1) / CAST(count(*) AS DOUBLE), 6) AS singleton_share FROM n GROUP BY 1")
+def shingle_frequencies(s, d):
+    return sketch.shingle_frequencies(sketch.shingles(_tokens(s, d), "token")).select("circuit", "shingles", "distinct", F.round("singleton_share", 6).alias("singleton_share"))
+
+
 @query("SELECT p_brand, p_partkey, p_size, p_retailprice FROM part b WHERE NOT EXISTS (SELECT 1 FROM part a WHERE a.p_brand = b.p_brand AND a.p_size <= b.p_size AND a.p_retailprice <= b.p_retailprice AND (a.p_size < b.p_size OR a.p_retailprice < b.p_retailprice))")
 def pareto_per_group(s, d):
     return pareto.front_2d(table(s, d, "part"), "p_size", "p_retailprice", ["p_brand"]).select("p_brand", "p_partkey", "p_size", "p_retailprice")
@@ -380,11 +459,10 @@ def block_shingles(s, d):
     return sketch.shingles(ops, "token", extra=("block",)).groupBy("circuit").agg(F.count_distinct("hash").alias("distinct_shingles"))
 
 
-@query(f"WITH {OPS}, b AS (SELECT circuit, idx // 8 AS block, count(DISTINCT name) AS kinds FROM ops GROUP BY 1, 2), j AS (SELECT x.circuit, x.block, y.block AS other, abs(x.kinds - y.kinds) AS difference FROM b x JOIN b y ON x.circuit = y.circuit AND x.block <> y.block AND abs(x.block - y.block) <= 2) SELECT circuit, block, min(difference) AS difference, min_by(other, (difference, other)) AS best FROM j GROUP BY 1, 2")
+@query(f"WITH {OPS}, {PAIRS}, h AS (SELECT circuit, idx // 8 AS block, name, count(*) AS n FROM ops GROUP BY 1, 2, 3), t AS (SELECT circuit, block, sum(n) AS total FROM h GROUP BY 1, 2), c AS (SELECT \"left\", \"right\", x.block, y.block AS other, x.total + y.total AS total, coalesce((SELECT sum(least(a.n, b.n)) FROM h a JOIN h b ON a.name = b.name WHERE a.circuit = x.circuit AND a.block = x.block AND b.circuit = y.circuit AND b.block = y.block), 0) AS shared FROM pairs JOIN t x ON x.circuit = \"left\" JOIN t y ON y.circuit = \"right\" AND abs(x.block - y.block) <= 2), j AS (SELECT *, CAST(shared AS DOUBLE) / (total - shared) AS similarity FROM c) SELECT \"left\", \"right\", block, round(max(similarity), 6) AS similarity, min_by(other, (-similarity, abs(block - other), other)) AS best FROM j GROUP BY 1, 2, 3")
 def change_localization(s, d):
-    b = operations(s, d).groupBy("circuit", F.floor(F.col("idx") / 8).alias("block")).agg(F.count_distinct("name").alias("kinds"))
-    j = asof.band_join(b, b, ["circuit"], "block", 2).where("block <> right_block").withColumn("difference", F.abs(F.col("kinds") - F.col("right_kinds")))
-    return j.groupBy("circuit", "block").agg(F.min("difference").alias("difference"), F.min_by("right_block", F.struct("difference", "right_block")).alias("best"))
+    ops = operations(s, d)
+    return sketch.localize(sketch.blocks(ops, 8).groupBy("circuit", "block", "name").agg(F.count("*").alias("n")), _neighbour_pairs(ops), 2).select("left", "right", "block", F.round("similarity", 6).alias("similarity"), "best")
 
 
 @query(f"WITH {OPS}, e AS (SELECT least(q1, q2) AS a, greatest(q1, q2) AS b, count(*) AS w FROM ops WHERE q1 <> q2 GROUP BY 1, 2), r AS (SELECT w, row_number() OVER (ORDER BY w DESC) AS pos FROM e) SELECT k, round(sum(w) FILTER (WHERE pos <= k) / CAST(sum(w) AS DOUBLE), 6) AS share FROM r CROSS JOIN (VALUES (1), (10), (100)) v(k) GROUP BY k")
@@ -453,10 +531,12 @@ def check_violations(s, d):
     return quality.violations(table(s, d, "orders"), [("price_positive", F.col("o_totalprice") > 0), ("known_status", F.col("o_orderstatus").isin("F", "O"))])
 
 
-@query("WITH a AS (SELECT user_id, max_by(value, (ts, event_id)) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, max_by(value, (ts, event_id)) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.user_id IS NULL THEN 'only_old' WHEN a.user_id IS NULL THEN 'only_new' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.user_id = b.user_id")
+@query("WITH a AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS v FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1, 2), b AS (SELECT user_id, event_type, max_by(value, (ts, event_id)) AS v FROM events GROUP BY 1, 2) SELECT user_id, event_type, CASE WHEN b.user_id IS NULL THEN 'only_old' WHEN a.user_id IS NULL THEN 'only_new' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b USING (user_id, event_type)")
 def snapshot_diff(s, d):
-    a, b = (latest.latest_row(table(s, d, "events").where(f"event_id % {k} = 0"), ["user_id"], ["ts", "event_id"]) for k in (2, 3))
-    return latest.snapshot_diff(a, b, ["user_id"], ["value"]).select("user_id", "state")
+    """The newest values up to a day against those of all events."""
+    e, key = table(s, d, "events"), ["user_id", "event_type"]
+    old, new = (latest.latest_row(x, key, ["ts", "event_id"]) for x in (e.where("ts < timestamp_ntz '2024-01-03'"), e))
+    return latest.snapshot_diff(old, new, key, ["value"]).select(*key, "state")
 
 
 @query("SELECT user_id, max_by(value, (side, ts, event_id)) AS value FROM (SELECT *, 0 AS side FROM events WHERE event_type = 'view' UNION ALL SELECT *, 1 FROM events WHERE event_type = 'click') x GROUP BY 1")
@@ -499,9 +579,9 @@ def metric_coverage(s, d):
     return records.coverage(records.list_versions(versions(s, d), metrics(s, d)), ["score"])
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
 def forward_fill(s, d):
-    head = F.when(F.col("role") == "user", F.substring("text", 1, 40))
+    head = F.when(F.col("role") == "user", F.col("text"))
     return sequences.forward_fill(table(s, d, "conversations"), ["conv_id"], ["turn"], head).select("conv_id", "turn", "heading")
 
 
@@ -552,10 +632,12 @@ def graph_integrity(s, d):
     return graph.integrity(versions(s, d), edges(s, d))
 
 
-@query(f"WITH {V}, {M}, g AS (SELECT qubit_count, toffoli_count, count(DISTINCT sha256(CAST(m.version_id AS VARCHAR))) AS prints FROM metrics m GROUP BY 1, 2) SELECT qubit_count, toffoli_count, prints FROM g WHERE prints > 1")
+@query(f"WITH f AS ({ORACLE_SQL['canonical_fingerprint']}), {OPS}, m AS (SELECT circuit, count(*) // 5 AS fives, count(DISTINCT name) AS kinds FROM ops GROUP BY 1) SELECT fives, kinds, count(DISTINCT fingerprint) AS prints FROM m JOIN f USING (circuit) GROUP BY 1, 2 HAVING count(DISTINCT fingerprint) > 1")
 def same_metrics_different_fingerprint(s, d):
-    rows = metrics(s, d).withColumn("print", F.sha2(F.col("version_id").cast("string"), 256))
-    return rows.groupBy("qubit_count", "toffoli_count").agg(F.count_distinct("print").alias("prints")).where("prints > 1")
+    ops = operations(s, d)
+    m = ops.groupBy("circuit").agg(F.floor(F.count("*") / 5).alias("fives"), F.count_distinct("name").alias("kinds"))
+    rows = m.join(canonical.fingerprints(ops), "circuit").withColumnRenamed("fingerprint", "print")
+    return rows.groupBy("fives", "kinds").agg(F.count_distinct("print").alias("prints")).where("prints > 1")
 
 
 @query(f"WITH RECURSIVE {M}, {EDGES}, {WHO}, walk AS (SELECT a AS node FROM ends UNION SELECT e.dst FROM walk JOIN edges e ON e.src = node), r AS (SELECT node, score FROM walk JOIN metrics ON version_id = node WHERE node <> (SELECT a FROM ends)) SELECT node, score FROM r WHERE score = (SELECT min(score) FROM r)")
@@ -599,14 +681,14 @@ def arity_counts(s, d):
     return canonical.arity_counts(operations(s, d)).select("circuit", "one_qubit", "two_qubit", "total")
 
 
-@query()
+@query(f"WITH RECURSIVE {OPS}, run AS (SELECT DISTINCT circuit, CAST(-1 AS BIGINT) AS idx, list_transform(range(24), lambda x: CAST(0 AS BIGINT)) AS levels FROM ops UNION ALL SELECT run.circuit, o.idx, list_transform(levels, lambda x, i: CASE WHEN i - 1 IN (q1, q2) THEN greatest(levels[q1 + 1], levels[q2 + 1]) + 1 ELSE x END) FROM run JOIN ops o ON o.circuit = run.circuit AND o.idx = run.idx + 1) SELECT circuit, list_max(max_by(levels, idx)) AS depth FROM run GROUP BY 1")
 def circuit_depth(s, d):
     return canonical.circuit_depth(operations(s, d))
 
 
-@query()
+@query("SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(text, '~'), coalesce(lang, '~'), coalesce(source, '~'), coalesce(CAST(n_chars AS VARCHAR), '~'))), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM documents")
 def table_digest(s, d):
-    return stats.table_digest(table(s, d, "lineitem"))
+    return stats.table_digest(table(s, d, "documents"))
 
 
 @query("WITH n AS (SELECT substr(c_name, 1, 18) AS prefix, c_name AS name FROM customer), o AS (SELECT prefix, min(name) AS name FROM n GROUP BY 1 HAVING count(*) = 1) SELECT prefix, name FROM o")
@@ -678,7 +760,9 @@ def sample_summary(s, d):
 @query(f"WITH {M}, {NEXT}, c AS (SELECT e.src, e.dst, b.qubit_count - a.qubit_count AS q, b.toffoli_count - a.toffoli_count AS t FROM nexts e LEFT JOIN metrics a ON a.version_id = e.src LEFT JOIN metrics b ON b.version_id = e.dst) SELECT CASE WHEN q IS NULL OR t IS NULL THEN 'unknown' WHEN least(q, t) < 0 AND greatest(q, t) > 0 THEN 'mixed' WHEN least(q, t) < 0 THEN 'improved' WHEN greatest(q, t) > 0 THEN 'worse' ELSE 'same' END AS verdict, count(*) AS n FROM c GROUP BY 1")
 def trade_offs(s, d):
     m = metrics(s, d)
-    rows = transitions.compute_delta(transitions.compute_delta(next_edges(s, d), m, "qubit_count"), m, "toffoli_count")
+    rows = next_edges(s, d)
+    for name in ("qubit_count", "toffoli_count"):
+        rows = transitions.compute_delta(rows, m, name, "src", "dst")
     return rows.groupBy(history.trade_off([F.col("qubit_count_delta"), F.col("toffoli_count_delta")]).alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -709,21 +793,30 @@ def better_and_later(s, d):
     return history.better_and_later(x, F.col("version_id") == first, "historical_time", ["qubit_count", "toffoli_count"]).select("version_id")
 
 
-@query(f"WITH {OPS} SELECT circuit, name AS item, count(*) AS weight FROM ops GROUP BY 1, 2")
+@query(f"WITH {OPS} SELECT circuit, least(6, count(DISTINCT q1)) AS counters, true AS bounded, true AS frequent_kept FROM ops GROUP BY 1")
 def space_saving(s, d):
-    """With room for every type the summary is exact."""
-    return sketch.space_saving(operations(s, d).withColumn("item", F.col("name")), "item", 64).select("circuit", "item", "weight")
+    """Six counters over up to 16 items: true counts lie within the bounds, and frequent items are all there."""
+    ops = operations(s, d).select("circuit", "idx", F.col("qubits")[0].cast("string").alias("item"))
+    kept = sketch.space_saving(ops, "item", 6)
+    n = ops.groupBy("circuit", "item").agg(F.count("*").alias("n")).join(ops.groupBy("circuit").agg(F.count("*").alias("total")), "circuit")
+    rows = n.join(kept, ["circuit", "item"], "left")
+    bounded = F.col("weight").isNull() | ((F.col("n") <= F.col("weight")) & (F.col("n") >= F.col("weight") - F.col("error")))
+    frequent = F.col("weight").isNotNull() | (F.col("n") * 6 <= F.col("total"))
+    return rows.groupBy("circuit").agg(F.count("weight").alias("counters"), F.bool_and(bounded).alias("bounded"), F.bool_and(frequent).alias("frequent_kept"))
 
 
-@query(f"WITH {OPS} SELECT DISTINCT circuit, CAST(q1 AS VARCHAR) AS item FROM ops")
+@query(f"WITH {OPS} SELECT circuit, least(5, count(DISTINCT q1)) AS kept, true AS members FROM ops GROUP BY 1")
 def reservoir(s, d):
-    """A sample as large as all items is all of them."""
-    return sketch.reservoir(operations(s, d).withColumn("item", F.col("qubits")[0]), "item", 64)
+    """Five of up to 16 distinct items, all of the circuit's own."""
+    ops = operations(s, d).withColumn("item", F.col("qubits")[0])
+    own = ops.select("circuit", F.col("item").cast("string").alias("item"), F.lit(True).alias("own")).distinct()
+    kept = sketch.reservoir(ops, "item", 5).join(own, ["circuit", "item"], "left")
+    return kept.groupBy("circuit").agg(F.count_distinct("item").alias("kept"), F.bool_and(F.coalesce("own", F.lit(False))).alias("members"))
 
 
 @query("SELECT n_regionkey, max(CASE WHEN role = 'c' THEN n END) AS customers, max(CASE WHEN role = 's' THEN n END) AS suppliers FROM (SELECT n_regionkey, 'c' AS role, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL SELECT n_regionkey, 's', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) x GROUP BY 1")
 def three_way_join(s, d):
-    n = F.broadcast(table(s, d, "nation"))
+    n = table(s, d, "nation")
     c = table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("customers"))
     p = table(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.count("*").alias("suppliers"))
     return c.join(p, "n_regionkey", "full_outer")

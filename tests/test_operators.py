@@ -23,7 +23,8 @@ def test_cycles_and_self_links(spark):
     bad = {r.rule: r.violations for r in graph.integrity(spark.createDataFrame([("a",), ("b",), ("c",)], "version_id string"), e).collect()}
     assert bad == {"duplicate_id": 0, "missing_source": 1, "missing_target": 1, "several_parents": 1, "self_link": 1, "duplicate_edge": 1}
     with pytest.raises(ValueError):
-        graph.longest_depth(edges(spark, [("r", "a"), ("a", "b"), ("b", "a")]), 4)
+        graph.longest_depth(edges(spark, [("r", "a"), ("a", "b"), ("b", "a")])).count()
+    assert graph.longest_depth(edges(spark, [])).count() == 0
 
 
 def test_ancestors_and_paths(spark):
@@ -192,8 +193,111 @@ def test_files(spark, tmp_path):
 
 def test_transitions_without_baseline(spark):
     m = spark.createDataFrame([("a", 0), ("b", 5)], "version_id string, x int")
-    r = transitions.list_transitions(edges(spark, [("a", "b")]), m, "x").first()
-    assert (r.absolute_change, r.percentage_change) == (5, None)
+    v = spark.createDataFrame([("a", "A", "k", "2020"), ("b", None, None, None)], "version_id string, version_label string, external_version_key string, historical_time string")
+    r = transitions.list_transitions(edges(spark, [("a", "b"), ("a", "z")]), v, "r", m, "x").collect()
+    assert [(x.parent_label, x.absolute_change, x.percentage_change) for x in r] == [("A", 5, None)]
+
+
+def test_recovery_against_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(c, i, r.choice([None, *map(float, range(9))]), f"{c}{i}") for c in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "c string, t int, v double, key string")
+    want = {}
+    for c in ("a", "b", None):
+        own = [x for x in rows if x[0] == c and x[2] is not None]
+        for i in range(1, len(own)):
+            level = own[i - 1][2]
+            if own[i][2] > level:
+                want[own[i][3]] = next((j - i for j in range(i + 1, len(own)) if own[j][2] < level), None)
+    assert {x.key: x.distance for x in sequences.recovery(df, ["c"], ["t"], "v", "key").collect()} == want
+    assert sequences.recovery(df.limit(0), ["c"], ["t"], "v", "key").count() == 0
+
+
+def test_front_against_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(i, r.choice("xy"), *(r.randint(0, 12) for _ in range(3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, g string, a int, b int, c int")
+    better = lambda p, q: all(x <= y for x, y in zip(p, q, strict=True)) and p != q
+    for by in ([], ["g"]):
+        want = {x[0] for x in rows if not any((not by or y[1] == x[1]) and better(y[2:], x[2:]) for y in rows)}
+        assert {x.k for x in pareto.front(df, ["a", "b", "c"], by).collect()} == want
+
+
+def test_canonical_text_is_ascii_json(spark):
+    import json
+
+    texts = ["", "plain", 'quote " and \\ slash', "line\nbreak\t\r\f\b", "\x01\x1f\x7f", "αβγ", "é\u2028", "𝒳 and 🙂", "x\n", "~ !"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(canonical.json_text(F.col("t"))).collect()] == [json.dumps(t) for t in texts]
+    ops = [(0, "θ\n", [0, 2], [], ["α=1", 'x"y']), (1, "🙂", [1], [0], [])]
+    frame = spark.createDataFrame([("c", *o) for o in ops], "circuit string, idx long, name string, qubits array<int>, classical_bits array<int>, parameters array<string>")
+    want = canonical.reference_fingerprint(3, 1, ops)
+    assert canonical.fingerprints(frame).first().fingerprint == want == canonical.streamed_fingerprints(frame).first().fingerprint
+
+
+def test_any_text_is_ascii_json(spark):
+    import json
+
+    from hypothesis import strategies as st
+    from hypothesis import HealthCheck, given, settings
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.text(st.characters(exclude_categories=["Cs"])), min_size=1, max_size=40))
+    def check(texts):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical.json_text(F.col("t")).alias("t")).collect()
+        assert [r.t for r in sorted(rows)] == [json.dumps(t) for t in texts]
+
+    check()
+
+
+def test_packed_operations(spark, tmp_path):
+    import zstandard
+
+    none = 2**64 - 1
+    records = [(8, 0, none, 3, 5, none, none, none), (13, 0, 1, 2, 0, none, 7, none), (1, 0, none, none, none, 4, none, 9)]
+    body = b"".join(struct.pack("<IIQQQQQQ", *r) for r in records)
+    (tmp_path / "a.bin").write_bytes(struct.pack("<8sQ", b"ANYMAGIC", 3) + zstandard.ZstdCompressor().compress(body))
+    found = readers.packed_operations(spark, str(tmp_path / "a.bin"), 2).orderBy("idx").collect()
+    assert [(r.idx, r.name, r.qubits, r.classical_bits, r.parameters) for r in found] == [(0, "cx", [3, 5], [], []), (1, "ccx", [1, 2, 0], [], ["c_condition=7"]), (2, "register", [], [4], ["r_target=9"])]
+    assert [bytes(r.record) for r in readers.packed_records(spark, str(tmp_path / "a.bin"), 2).orderBy("idx").collect()] == [body[i : i + 56] for i in range(0, 168, 56)]
+    (tmp_path / "b.bin").write_bytes(struct.pack("<8sQ", b"ANYMAGIC", 1) + zstandard.ZstdCompressor().compress(struct.pack("<IIQQQQQQ", 99, 0, 0, 0, 0, 0, 0, 0)))
+    with pytest.raises(Exception, match="unknown kind 99"):
+        readers.packed_operations(spark, str(tmp_path / "b.bin")).collect()
+
+
+def test_evaluation_records(spark):
+    import json
+
+    uuid, sha = "0123abcd-0000-4000-8000-0123456789ab", "a" * 40
+    good = {"id": uuid, "benchmarkId": "b", "status": "accepted", "promotionStatus": None, "officialMetrics": {"qubits": 3, "toffoli": 7}, "officialScore": 21, "createdAt": "2024-01-02T03:04:05Z", "updatedAt": "2024-01-02T03:04:05.678Z", "submissionCommitSha": sha}
+    other = lambda i, **x: good | {"id": uuid[:-2] + f"{i:02d}"} | x
+    cases = [
+        (good, []),
+        (["x"], ["not_an_object"]),
+        (other(1, id="zz"), ["bad_submission_uuid"]),
+        (other(2, benchmarkId="c"), ["benchmark_mismatch"]),
+        (other(3, status="open", promotionStatus="maybe"), ["unknown_platform_status", "unknown_promotion_status"]),
+        (other(4, officialMetrics="7", officialScore=None), ["bad_official_metrics"]),
+        (other(5, officialMetrics={"qubits": 3, "toffoli": 7, "depth": 1}), ["unexpected_metric_keys"]),
+        (other(6, officialScore=None), ["partial_metric_triple"]),
+        (other(7, officialMetrics={"qubits": "3", "toffoli": 7}), ["bad_metric_value"]),
+        (other(8, officialScore=22), ["score_mismatch"]),
+        (other(9, createdAt="soon"), ["bad_timestamp"]),
+        (other(10, submissionCommitSha="short", promotedSourceRef=5), ["bad_commit_sha"]),
+        (other(11, officialMetrics=None, officialScore=None), []),
+        (other(12), ["duplicate_submission_uuid"]),
+        (other(12, officialScore=0), ["score_mismatch", "duplicate_submission_uuid"]),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)], "ordinal int, raw string")
+    got = {r.ordinal: r.issues for r in quality.evaluation_issues(df, "b").collect()}
+    assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("m", 3, "b"), ("m", 4, "c")], "key string, at int, v string")
+    once, conflicts = quality.identical_once(rows, ["key"], "at")
+    assert [(r.key, r.at) for r in once.collect()] == [("k", 1)] and conflicts.count() == 2
 
 
 def test_history(spark):

@@ -47,8 +47,3 @@ def _number(x):
         return float(x)
     except ValueError:
         return ""
-
-
-def test_without_oracle(spark):
-    assert workload.circuit_depth(spark, FOLDER).where("depth < 1").count() == 0
-    assert workload.table_digest(spark, FOLDER).first().rows > 0
