@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import cut, small
+from quillon.llm.store import cut, fresh, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -64,16 +64,50 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rank.select("source", F.col("total").alias("source_size"), target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row, and the source."""
-    size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)
-    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("at")))
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
+def _key(seed: int) -> Column:
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)
+
+
+def _placed(docs: DataFrame, seed: int) -> DataFrame:
+    """source, key, doc_id, size of every row with the words of its source before it, the source's size and target, the
+    whole epochs of it and the words that are left for one more."""
+    rows = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), _size().alias("size"), _key(seed).alias("key"), F.monotonically_increasing_id().alias("at")))
     aim = small(cut(targets(rows.groupBy("source").agg(F.sum("size").alias("total"))).withColumnRenamed("source", "_source")))
     order = [F.col(c) for c in ("source", "key", "doc_id", "size", "at")]
     rows = before(ranged(rows, order, rows.count()), order[1:], ["source"], before=F.col("size"))
     rows = rows.join(aim, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - whole * F.col("source_size")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return rows.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
+
+
+def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row, and the source."""
+    taken = F.col("whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return _placed(docs, seed).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """docs with size, source_size, target and taken (new names if docs has them): its texts pass no shuffle.
+
+    Of each source only the row is sought in which the last epoch ends: keys before it are taken, keys behind it not.
+    Rows that have that row's key, doc_id and size share its words evenly, to less than one word each."""
+    rows = cut(_placed(docs, seed).select("source", "key", "doc_id", "size", "before", "source_size", "target", "whole", "rest"))
+    place = F.struct("key", "doc_id", "size")
+    ends = rows.where("before < rest and rest <= before + size").groupBy("source").agg(F.min_by(place, F.col("before")).alias("end"))
+    ends = small(cut(ends.withColumnRenamed("source", "_source")))
+    tied = rows.join(ends, F.col("source").eqNullSafe(F.col("_source")) & place.eqNullSafe(F.col("end"))).groupBy("source").agg(F.min("end").alias("end"), F.min("before").alias("before"), F.min("rest").alias("rest"), F.min("size").alias("size"), F.count("*").alias("n"))
+    share = F.floor(F.least(F.col("n") * F.col("size"), F.col("rest") - F.col("before")) / F.col("n")).cast("long")
+    tied = small(cut(tied.select(F.col("source").alias("_tied"), "end", share.alias("share"))))
+    facts = rows.groupBy(F.col("source").alias("_source")).agg(*(F.min(c).alias(c) for c in ("source_size", "target", "whole")))
+    facts = facts.join(tied, F.col("_source").eqNullSafe(F.col("_tied")), "left").drop("_tied")
+    facts = small(cut(facts.select(F.struct("*").alias("facts"), F.col("_source").alias("_key"))))
+    own = F.struct(F.struct(*docs.columns).alias("row"), _size().alias("size"), F.struct(_key(seed).alias("key"), "doc_id", _size().alias("size")).alias("place"))
+    out = docs.select(own.alias("own")).join(facts, F.col("own.row.source").cast("string").eqNullSafe(F.col("_key")), "left")
+    part = F.when(F.col("own.place") < F.col("facts.end"), F.col("own.size")).when(F.col("own.place") == F.col("facts.end"), F.col("facts.share")).otherwise(0)
+    taken = F.col("facts.whole") * F.col("own.size") + F.coalesce(part, F.lit(0))
+    new = {"size": F.col("own.size"), "source_size": F.col("facts.source_size"), "target": F.col("facts.target"), "taken": taken.cast("long")}
+    return out.select("own.row.*", *(x.alias(fresh(docs, name)) for name, x in new.items()))

@@ -38,6 +38,20 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixed_documents_keep_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 8)
+    rows = [(i, "w " * (i % 11) if i % 13 else None, ["a", "b", None, "c"][i % 4 if i % 3 else 0]) for i in range(150)] + [(None, "x y z", "d") for _ in range(40)]
+    docs = spark.createDataFrame([(*r, 5, "t") for r in rows], DOCS + ", size int, taken string")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "size_", "source_size", "target", "taken_"]
+    want = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(docs).collect() if r.doc_id is not None}
+    rows = got.collect()
+    assert {r.doc_id: (r["size_"], r.source_size, r.target, r["taken_"]) for r in rows if r.doc_id is not None} == want and len(rows) == docs.count()
+    tied = [r for r in rows if r.doc_id is None]
+    assert len({r["taken_"] for r in tied}) == 1 and 0 <= int(tied[0].target) - sum(r["taken_"] for r in tied) < len(tied)
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     keys = cut(keys)

@@ -30,5 +30,24 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == sorted(map(tuple, mixed))
 
 
+def test_edges(spark, tmp_path):
+    """Nulls, empty tables, repeated rows, a long text and clashing names pass every stage."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, size int, taken string, repeated int, other int, key string, score double"
+    long = " ".join(f"word{i % 5000}" for i in range(30_000))
+    texts = [(1, "a fine text of some words stands here"), (1, "a fine text of some words stands here"), (1, None), (2, ""), (3, None), (None, "words without a number"), (4, long), (5, "start " + long), (6, "x")]
+    docs = spark.createDataFrame([(i, t, None, None if i == 6 else "s", None, 1, "t", 2, 3, "k", 0.1) for i, t in texts], columns)
+    labels, benchmark = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, rows in (("full", docs), ("empty", docs.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        benchmark.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        assert got.columns == [*docs.columns, "size_", "source_size", "target", "taken_"]
+        found = sorted(((r.doc_id, len((r.text or "").split())) for r in got.collect()), key=str)
+        # document 4 holds 5 but for a word: one of both stays
+        assert found == ([] if name == "empty" else sorted([(1, 8), (2, 0), (3, 0), (4, 30_000), (6, 1), (None, 4)], key=str)) or found == sorted([(1, 0), (2, 0), (3, 0), (4, 30_000), (6, 1), (None, 4)], key=str)
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and ORACLE_SQL.keys() <= QUERIES.keys()
