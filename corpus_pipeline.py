@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents through five stages, each over all that the stage before kept."""
+"""The corpus pipeline: documents through five stages, each over all that the stage before kept.
+
+All stages but the last return the columns of documents, whatever these are; the last one adds how much of each document
+the mix takes. A null text has no words: the classifier judges it as an empty text, and it is no near duplicate, no
+repeat and no leak of anything; an empty text likewise. Texts are never cut to a prefix, however long. Near duplicates
+with the smallest doc_id stay, of rows that share a doc_id the one of the smallest hash; a null doc_id is never a
+duplicate. Rows without source are a source of their own. Empty tables give an empty result: without labels every
+document scores 0.5 and stays, without benchmark nothing leaks. Reruns give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +37,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken words of every document."""
-    return mixing.mix(docs)
+    """Documents with their size, source_size, target and taken words."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
