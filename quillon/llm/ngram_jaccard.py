@@ -128,7 +128,12 @@ def _infos(batches, counter_bits: int):
         _, lone = np.unique(marks, return_index=True)
         lone = lone[known[lone]]
         own = value[ranges(first[lone], sizes[lone])]
-        np.add.at(total, (own >> np.uint64(64 - counter_bits)).astype(np.int64), 1)
+        at = (own >> np.uint64(64 - counter_bits)).astype(np.int64)
+        if len(total) <= 8 * len(at):
+            total += np.bincount(at, minlength=len(total)).astype(np.int32)
+        else:
+            kinds, n_each = np.unique(at, return_counts=True)
+            total[kinds] += n_each.astype(np.int32)
     chunks = total.reshape(-1, COUNTER_CHUNK)
     some = np.flatnonzero(chunks.any(axis=1))
     k = len(some)

@@ -182,12 +182,17 @@ def numbers(column: pa.Array, null: int = 0) -> np.ndarray:
     return (column.fill_null(null) if column.null_count else column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
+    return np.frombuffer(_zstd()[1].decompress(x), dtype=kind)
 
 
 def pack_ids(x: np.ndarray) -> bytes:
