@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from quillon.llm.store import bounded_batches
 from quillon.llm.textkern import seeded, slices
 
-DIMENSIONS = 256
+DIMENSIONS = 512
 #: 0 is the gap, 1 to 26 are a to z, the rest stand for other letters.
-SYMBOLS = 48
-SLICE = 1 << 20
+SYMBOLS = 128
+#: Text bytes of one call, and trigrams that are bundled at once.
+SLICE, BUNDLE = 1 << 20, 2048
 
 
 @functools.cache
@@ -40,11 +41,29 @@ def symbol_table() -> np.ndarray:
 
 
 @functools.cache
-def trigram_vectors() -> np.ndarray:
-    """SYMBOLS**3 x DIMENSIONS signs."""
-    letters = (1 - 2 * (np.unpackbits(seeded(32, SYMBOLS * DIMENSIONS // 64).view(np.uint8)).reshape(SYMBOLS, DIMENSIONS).astype(np.int8))).astype(np.float32)
-    one, two = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (one[:, None, None] * two[None, :, None] * letters[None, None]).reshape(-1, DIMENSIONS)
+def letter_vectors() -> np.ndarray:
+    """For each place in a trigram and symbol its signs: the symbol's random vector, rotated by the place."""
+    letters = 1 - 2 * (np.unpackbits(seeded(32, SYMBOLS * DIMENSIONS // 64).view(np.uint8)).reshape(SYMBOLS, DIMENSIONS).astype(np.int8))
+    return np.stack([np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters])
+
+
+def trigram_vectors(kinds: np.ndarray) -> np.ndarray:
+    """The bound signs of each trigram."""
+    one, two, three = letter_vectors()
+    out = np.take(one, kinds // SYMBOLS**2, axis=0)
+    out *= np.take(two, kinds // SYMBOLS % SYMBOLS, axis=0)
+    out *= np.take(three, kinds % SYMBOLS, axis=0)
+    return out
+
+
+def bundled(kinds: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of n times each trigram's vector, exact: sums of whole numbers below 2**53."""
+    total = np.zeros(DIMENSIONS)
+    for a in range(0, len(kinds), BUNDLE):
+        part = n[a : a + BUNDLE]
+        wide = np.float32 if part.sum() < 1 << 24 else np.float64
+        total += part.astype(wide) @ trigram_vectors(kinds[a : a + BUNDLE]).astype(wide)
+    return total
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -60,13 +79,7 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def text_vector(tri: np.ndarray) -> np.ndarray:
-    counts = np.bincount(tri, minlength=SYMBOLS**3) if len(tri) > 2000 else None
-    if counts is None:
-        kinds, n = np.unique(tri, return_counts=True)
-    else:
-        kinds = np.flatnonzero(counts)
-        n = counts[kinds]
-    return n.astype(np.float32) @ trigram_vectors()[kinds]
+    return bundled(*np.unique(tri, return_counts=True))
 
 
 def _profiles(batches):
@@ -81,9 +94,7 @@ def _profiles(batches):
                 total[lang] += np.bincount(tri, minlength=SYMBOLS**3)
     for lang, counts in total.items():
         kinds = np.flatnonzero(counts)
-        vector = np.zeros(DIMENSIONS)
-        for a in range(0, len(kinds), 8192):
-            vector += counts[kinds[a : a + 8192]].astype(np.float64) @ trigram_vectors()[kinds[a : a + 8192]]
+        vector = bundled(kinds, counts[kinds])
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "place", "value"])
 
 
@@ -107,7 +118,7 @@ def _predict(model):
                 tri = trigrams(text.as_py()) if text.is_valid else ()
                 if len(tri) and langs:
                     v = text_vector(tri)
-                    cosine = vectors @ v / max(float(np.linalg.norm(v)), 1e-9)
+                    cosine = (vectors * v).sum(axis=1) / max(float(np.linalg.norm(v)), 1e-9)  # equal rows give equal sums
                     best = int(cosine.argmax())
                     names.append(langs[best]), scores.append(float(min(1.0, max(0.0, cosine[best]))))
                 else:

@@ -90,5 +90,27 @@ def test_language_edges(spark, frame):
 
 def test_vectors_are_bundles():
     t = language_id.trigrams("abca")
-    assert np.array_equal(language_id.text_vector(t), language_id.trigram_vectors()[t].sum(axis=0))
+    one, two, three = language_id.letter_vectors()
+    numbers = [[0, 1, 2], [1, 2, 3], [2, 3, 1], [3, 1, 0]]  # gap, a, b, c, a, gap
+    assert np.array_equal(language_id.text_vector(t), sum(one[a] * two[b] * three[c] for a, b, c in numbers))
     assert len(language_id.trigrams("")) == 0 and len(language_id.trigrams("--")) == 0
+
+
+def test_predictions_against_brute_force(spark):
+    """Cosines of dense vectors, written out; ties go to the smaller name."""
+    texts = [(1, "the cat sat on the mat", "en"), (2, "der hund lag auf der matte", "de"), (3, "собака лежит на коврике", "ru"), (4, "кошка сидит на окне", "ru"), (5, "η γάτα κοιμάται", "el"), (6, "the dog lay on the rug", "en"), (7, "same words", "aa"), (8, "same words", "zz"), (9, None, "en"), (10, "nameless", None)]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, lang string, score int")
+    asked = docs.unionByName(spark.createDataFrame([(20, "матте коврик", None, 0), (21, "same words", None, 0), (22, "the dogs", None, 0), (23, "γάτα", None, 0), (24, "12 34", None, 0)], docs.schema))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(asked).collect()}
+    vector = lambda t: sum(language_id.trigram_vectors(np.array([x]))[0].astype(np.float64) for x in language_id.trigrams(t))
+    profile = {}
+    for _, t, lang in texts:
+        if t and lang:
+            profile[lang] = profile.get(lang, 0) + vector(t)
+    for r in asked.collect():
+        if r.text and len(language_id.trigrams(r.text)):
+            v = vector(r.text)
+            cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in profile.items()}
+            best = min(cosine, key=lambda k: (-round(cosine[k], 9), k))
+            assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - min(1, max(0, cosine[best]))) < 1e-6
+    assert got[7][0] == got[8][0] == got[21][0] == "aa" and got[20][0] == "ru" and got[23][0] == "el" and got[24] == ("und", 0.0)

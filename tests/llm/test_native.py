@@ -1,3 +1,5 @@
+import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -122,3 +124,63 @@ def test_threads(spark):
     assert [(r.turn, r.reply_to) for r in got if r.conv_id == 2] == [(0, None), (1, None)]
     assert len(got) == len(rows) and sum(r.conv_id is None for r in got) == 1
     assert chat_threads.reply_ordered(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def brute_threads(rows):
+    """Reply order of each message, written out: conv_id, turn, own text, reply_to, thread, quotes."""
+    normal = lambda t: " ".join(t.lower().split())
+    mark = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
+    level = lambda line: (m := mark.match(line)) and m[1].count(">") or 0
+    first, split = {}, []
+    for conv, turn, _, text in rows:
+        lines = re.split("\r?\n", text or "")
+        quoted = any(level(x) for x in lines)
+        own = "\n".join(x for x in lines if not level(x)).strip(" ") if quoted else text or ""
+        split.append((conv, turn, own, lines))
+        for t in {normal(own), *map(normal, own.split("\n"))} - {""}:
+            first[conv, t] = min(first.get((conv, t), turn), turn)
+    reply = {}
+    for conv, turn, _, lines in split:
+        runs, last = [], 0
+        for x in lines:
+            now = level(x)
+            if now and now == last:
+                runs[-1][1].append(mark.sub("", x, count=1))
+            elif now:
+                runs.append((now, [mark.sub("", x, count=1)]))
+            last = now
+        found = []
+        for depth, body in runs:
+            for t in {normal("\n".join(body)), *map(normal, body)} - {""}:
+                if first.get((conv, t), turn) < turn:
+                    found.append((depth, first[conv, t], t))
+        if found:
+            least = min(d for d, _, _ in found)
+            reply[conv, turn] = max(o for d, o, _ in found if d == least), len({t for _, _, t in found})
+    out = []
+    for conv, turn, own, _ in split:
+        root = turn
+        while (conv, root) in reply:
+            root = reply[conv, root][0]
+        out.append((conv, root, turn, own, *reply.get((conv, turn), (None, 0))))
+    return sorted(out, key=lambda x: x[:3])
+
+
+def test_threads_against_brute_force(spark):
+    r = random.Random(11)
+    said, rows = {}, []
+    for conv in range(12):
+        for turn in range(r.choice((1, 4, 15, 40))):
+            lines = [" ".join(r.choice(("yes", "No", "maybe", "so", "it", "IS")) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 3))]
+            for _ in range(r.randint(0, 3)):
+                old = r.choice(said.get(conv, ["never said"])).split("\n")
+                depth = r.choice((">", "> ", ">>", "> > "))
+                lines[:0] = [depth + (x.upper() if r.random() < 0.2 else x) for x in (old if r.random() < 0.5 else old[:1])]
+            text = "\n".join(lines)
+            said.setdefault(conv, []).append(text)
+            rows.append((conv, turn, "user", text if r.random() < 0.95 else r.choice((None, ""))))
+    rows.append((99, 0, "user", "long " * 60_000))
+    rows.append((99, 1, "user", "> " + "long " * 60_000 + "\nhere"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(g.conv_id, g.thread, g.turn, g.text, g.reply_to, g.quotes) for g in chat_threads.reply_ordered(df).collect()]
+    assert got == brute_threads(rows) and sum(g[4] is not None for g in got) > 40

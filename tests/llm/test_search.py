@@ -238,6 +238,61 @@ def test_licences_inside_longer_matches(frame):
     assert got[3].labels == "cc-by-sa" and got[4].labels == "agpl,gpl" and got[5].labels == ""
 
 
+def brute_scan(text):
+    """Places of the base phrases and the best chain of every template, straight from the definitions."""
+    s = license_scan
+    x = license_scan.words_of(text or "")
+    places = [(i, label) for phrase, label in s.PHRASES for i in range(len(x)) if x[i : i + len(phrase.split())] == phrase.split()]
+    known = [license_scan.words_of(t) for _, t in s.TEMPLATES] + [p.split() for p, _ in s.PHRASES]
+    inside = lambda run, t: next((j for j in range(len(t) - len(run) + 1) if t[j : j + len(run)] == run), None)
+    longest = []  # for each end the longest run that stands in a template or phrase
+    for end in range(1, len(x) + 1):
+        n = 0
+        while n < end and any(inside(x[end - n - 1 : end], t) is not None for t in known):
+            n += 1
+        longest.append(n)
+    matches = [(end - n, n) for end, n in enumerate(longest, 1) if n >= s.LEAST and (end == len(x) or longest[end] <= n)]
+    best, chains = {}, []
+    for m, (at, n) in enumerate(matches):
+        fresh = []
+        for t, words in enumerate(known[: len(s.TEMPLATES)]):
+            if inside(x[at : at + n], words) is not None:
+                runs = [(at, n)]
+            else:  # its own longest runs within the match
+                ends = [max((k for k in range(e - at + 1) if inside(x[e - k : e], words) is not None), default=0) for e in range(at, at + n + 1)]
+                runs = [(at + i - k, k) for i, k in enumerate(ends) if k >= s.LEAST and (i == n or ends[i + 1] <= k)]
+            for start, k in runs:
+                offsets = [j + k for j in range(len(words) - k + 1) if words[j : j + k] == x[start : start + k]]
+                fresh.append((t, start, k, offsets))
+        best_of = {}
+        for t, start, k, offsets in fresh:
+            had = max((c for u, text_end, template_end, c, match in chains if u == t and match < m and text_end <= start and start - text_end <= s.GAP and any(0 <= o - k - template_end <= s.GAP for o in offsets)), default=0)
+            best[t] = max(best.get(t, 0), min(1.0, (had + k) / len(known[t])))
+            best_of[t, start, k] = [(t, start + k, o, had + k, m) for o in offsets[:1]]
+        chains += [c for own in best_of.values() for c in own]
+    base = {label for _, label in places}
+    starts = [i for i, _ in places]
+    more = {s.TEMPLATES[t][0] for t, share in best.items() if share >= s.COVERED}
+    return len(x), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more))
+
+
+def test_scan_against_brute_force(frame):
+    r = random.Random(12)
+    filler = ["the", "software", "is", "license", "general", "public", "cc", "by", "all", "rights", "reserved", "word", "é", "4"]
+    rows = [(0, None), (1, ""), (2, "cc by cc BY all rights reserved")]
+    for i in range(3, 90):
+        own = r.choice(license_scan.TEMPLATES)[1].split()
+        a = r.randrange(len(own))
+        cut = own[a : a + r.randint(2, len(own))] if i % 3 else list(own)
+        if i % 4 == 0 and len(cut) > 6:  # a hole in the middle
+            del cut[len(cut) // 2 : len(cut) // 2 + r.randint(1, 3)]
+        rows.append((i, " ".join([r.choice(filler) for _ in range(r.randint(0, 9))] + cut + [r.choice(filler) for _ in range(r.randint(0, 9))])))
+    got = {g.doc_id: (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels, g.labels) for g in license_scan.scan(frame(rows)).collect()}
+    for i, t in rows:
+        want = brute_scan(t)
+        assert got[i][:5] == want[:5] and got[i][5] == want[5], (i, t, got[i], want)
+
+
 def test_automaton_statistics():
     r = random.Random(8)
     texts = [[r.randrange(4) for _ in range(r.randint(2, 15))] for _ in range(12)]
