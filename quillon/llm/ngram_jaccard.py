@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut, discard, fresh, hash_parts, input_bytes, small
+from quillon.llm.store import STEP_BITS, bounded_batches, cut, discard, fresh, input_bytes, range_bits, small
 from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, ranges, slices, unpack, unpack_ids
 
 SHINGLE = 5
@@ -199,18 +199,51 @@ def _entries(bits: int, levels):
             token, doc = own[at], doc[at]
             place = np.maximum(at - starts[doc] - base[doc] + 1, 1)
             rows = []
-            part = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), dtype=np.int64)
             # a hot token's entries go to 1 + salt of their set, beyond the ranges of the others
             salt = 1 + (marks[lone][doc].view(np.uint64) % np.uint64(HOT_SALTS)).astype(np.int64)
-            part += np.where(level[at] >= HOT_LEVEL, salt << bits, 0)
-            order = np.lexsort((doc, part))
-            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                x = order[a:b]
-                heads = np.flatnonzero(np.diff(doc[x], prepend=-1))
-                who = lone[doc[x][heads]]
-                rows.append((int(part[x[0]]), pack_ids(ids[who]), pack(sizes[who].astype(np.int32)), marks[who].tobytes(), pack(want[doc[x][heads]].astype(np.uint8)), pack(np.diff(heads, append=len(x)).astype(np.uint32)), token[x].tobytes(), pack(place[x].astype(np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names=["part", "docs", "sizes", "signatures", "levels", "counts", "tokens", "places"])
+            who = lone[doc]
+            yield _packed(_range(token, bits) + np.where(level[at] >= HOT_LEVEL, salt << bits, 0), ids[who], sizes[who].astype(np.int32), marks[who], want[doc].astype(np.uint8), token, place.astype(np.uint8))
+
+    return run
+
+
+def _range(token: np.ndarray, bits: int) -> np.ndarray:
+    return (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), dtype=np.int64)
+
+
+def _packed(part, doc, size, mark, want, token, place) -> pa.RecordBatch:
+    """A row for each range of tokens."""
+    order = np.lexsort((mark, doc, part))
+    part, doc, size, mark, want, token, place = (x[order] for x in (part, doc, size, mark, want, token, place))
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        own = slice(a, b)
+        heads = a + np.flatnonzero(np.concatenate([[True], (doc[own][1:] != doc[own][:-1]) | (mark[own][1:] != mark[own][:-1])]))
+        rows.append((int(part[a]), pack_ids(doc[heads]), pack(size[heads]), mark[heads].tobytes(), pack(want[heads]), pack(np.diff(heads, append=b).astype(np.uint32)), token[own].tobytes(), pack(place[own])))
+    columns = list(zip(*rows, strict=True)) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)], names=["part", "docs", "sizes", "signatures", "levels", "counts", "tokens", "places"])
+
+
+def _unpacked(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """part, document, size, signature, level, token and place of each entry of packed rows."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+    for row in rows.to_pylist():
+        counts = unpack(row["counts"], np.uint32)
+        own = (np.full(int(counts.sum()), row["part"], dtype=np.int64), np.repeat(unpack_ids(row["docs"]), counts), np.repeat(unpack(row["sizes"], np.int32), counts), np.repeat(np.frombuffer(row["signatures"], dtype=np.int64), counts), np.repeat(unpack(row["levels"], np.uint8), counts), np.frombuffer(row["tokens"], dtype=np.uint64), unpack(row["places"], np.uint8))
+        for to, x in zip(cols, own, strict=True):
+            to.append(x)
+    return tuple(np.concatenate(x) for x in cols)
+
+
+def _finer(coarse: int, bits: int):
+    """Entries of ranges told apart by `coarse` bits, dealt by `bits` bits."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                part, doc, size, mark, want, token, place = _unpacked(batch)
+                yield _packed((part >> coarse << bits) + _range(token, bits), doc, size, mark, want, token, place)
 
     return run
 
@@ -222,13 +255,8 @@ def _candidates(bits: int):
 def _meet(group: pa.Table, hot: bool) -> pa.Table:
     """Pairs of one range of tokens with their shared prefix tokens (kind 0), members of large buckets (kind 1) and
     the hubs that they were paired with (kind 2); of hot tokens the members only (kind 3)."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-    for batch in group.to_batches():
-        for row in batch.to_pylist():
-            counts = unpack(row["counts"], np.uint32)
-            for to, x in zip(cols, (np.frombuffer(row["tokens"], dtype=np.uint64), np.repeat(unpack_ids(row["docs"]), counts), np.repeat(unpack(row["sizes"], np.int32), counts), np.repeat(np.frombuffer(row["signatures"], dtype=np.int64), counts), np.repeat(unpack(row["levels"], np.uint8), counts), unpack(row["places"], np.uint8)), strict=True):
-                to.append(x)
-    token, doc, size, mark, want, place = (np.concatenate(x) for x in cols)
+    parts = [_unpacked(batch)[1:] for batch in group.to_batches() if batch.num_rows]
+    doc, size, mark, want, token, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     # one entry for each class of equal sets: its smallest document
     order = np.lexsort((doc, size, mark, token))
     token, doc, size, mark, want, place = (x[order] for x in (token, doc, size, mark, want, place))
@@ -490,8 +518,12 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     info = cut(source.mapInArrow(_info(counter_bits), INFO))
     known = source.where("doc_id is not null and text is not null")
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(info, counter_bits))
-    bits = hash_parts(docs, RANGE_BYTES).bit_length() - 1
-    found = cut(known.mapInArrow(_entries(bits, levels), ENTRIES).groupBy("part").applyInArrow(_candidates(bits), CANDIDATES))
+    bits = range_bits(docs, RANGE_BYTES)
+    coarse = min(bits, STEP_BITS)
+    entries = known.mapInArrow(_entries(coarse, levels), ENTRIES)
+    if coarse < bits:
+        entries = entries.repartition("part").sortWithinPartitions("part").mapInArrow(_finer(coarse, bits), ENTRIES)
+    found = cut(entries.groupBy("part").applyInArrow(_candidates(bits), CANDIDATES))
     shared = found.where("kind = 0").select("a", "b", F.col("matches").cast("long").alias("matches"), "want")
     star = found.where("kind = 2").select(F.col("a").alias("hub"), F.col("b").alias("node"))
     members = found.where("kind in (1, 3)").select("token", F.col("a").alias("node"), "size", F.col("matches").alias("place"), "want")

@@ -17,6 +17,9 @@ BROADCAST_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 #: Setting that has Spark delete a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bits of the most hash ranges, and of those that one step tells apart: rows of a slice are packed for each range, and
+#: with more ranges these rows would be tiny. A second step splits such a range.
+MOST_BITS, STEP_BITS = 24, 16
 #: Temporary folders of local sessions, by application.
 LOCAL: dict[str, str] = {}
 
@@ -96,10 +99,11 @@ def input_bytes(df: DataFrame) -> int:
     return n if n < 1 << 60 else 0
 
 
-def hash_parts(df: DataFrame, bytes_each: int) -> int:
-    """A power of two: hash ranges so that each stands for about bytes_each of the input, and no fewer than shuffle partitions."""
+def range_bits(df: DataFrame, bytes_each: int) -> int:
+    """Bits of a hash that tell ranges apart, so that each stands for about bytes_each of the input, and there are no fewer
+    than shuffle partitions; at MOST_BITS a range of 16 MB stands for 280 TB of input."""
     n = max(input_bytes(df) // bytes_each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return min(1 << 16, 1 << (int(n) - 1).bit_length())
+    return min(MOST_BITS, (int(n) - 1).bit_length())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut, fresh, hash_parts, small
+from quillon.llm.store import STEP_BITS, bounded_batches, cut, fresh, range_bits, small
 from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
 
 WINDOW, BLOCK = 50, 25
@@ -73,20 +73,66 @@ def _anchors(bits: int):
             if not len(at):
                 continue
             keys = _keys(g[at], bits)
+            # of more ranges than one step tells apart the hashes carry the rest of their number
+            rest, kind_of = 32 + bits - min(bits, STEP_BITS), np.uint32 if bits <= STEP_BITS else np.uint64
             doc_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # packed ids ascend
             sorted_ids = np.sort(ids, kind="stable")
             rows = []
             for kind, chosen in ((0, _outermost(keys, doc_rank[doc], np.flatnonzero((at - words.first[doc]) % BLOCK == 0))), (1, slice(None))):
                 k, d = keys[chosen], doc_rank[doc[chosen]]
-                for part, own in _by_part(k >> 32, d):
+                for part, own in _by_part(k >> rest, d):
                     who, counts = _docs(d[own])
-                    row = (pack_ids(sorted_ids[who]), pack(counts), (k[own] & 0xFFFFFFFF).astype(np.uint32).tobytes())
+                    row = (pack_ids(sorted_ids[who]), pack(counts), (k[own] & ((1 << rest) - 1)).astype(kind_of).tobytes())
                     rows += [(part, salt, kind, *row) for salt in (range(SALTS) if kind == 0 else [(n + part) % SALTS])]
             yield _batch(rows, ("part", "salt", "kind", "docs", "counts", "hashes"), 3)
 
     return run
 
 
+def _finer(bits: int):
+    """Anchors of ranges told apart by STEP_BITS, dealt by `bits` bits."""
+    extra = bits - STEP_BITS
+
+    def run(batches):
+        for batch in batches:
+            groups: dict[tuple, list] = {}
+            for r in batch.to_pylist():
+                groups.setdefault((r["part"], r["salt"], r["kind"]), []).append(r)
+            rows = []
+            for (coarse, salt, kind), own in groups.items():
+                h = np.concatenate([np.frombuffer(r["hashes"], dtype=np.uint64) for r in own]).astype(np.int64)
+                doc = np.concatenate([np.repeat(unpack_ids(r["docs"]), unpack(r["counts"], np.uint32)) for r in own])
+                for part, at in _by_part((coarse << extra) + (h >> 32), doc):
+                    who, counts = _docs(doc[at])
+                    rows.append((part, salt, kind, pack_ids(who), pack(counts), (h[at] & 0xFFFFFFFF).astype(np.uint32).tobytes()))
+            if rows:
+                yield _batch(rows, ("part", "salt", "kind", "docs", "counts", "hashes"), 3)
+
+    return run
+
+
+def _finer_prints(coarse: int, bits: int):
+    """Fingerprints of ranges told apart by `coarse` bits, dealt by `bits` bits; rows without a range stay."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["part"] < 0:
+                    rows.append(tuple(r.values()))
+                    continue
+                doc, text, at = _expand(r)
+                low, high = np.frombuffer(r["low"], dtype=np.uint64), np.frombuffer(r["high"], dtype=np.uint64)
+                for part, own in _parts(low, np.arange(len(low)), bits):
+                    own = own[np.lexsort((at[own], text[own], doc[own]))]
+                    heads = _heads(doc[own], text[own])
+                    rows.append((part, pack(doc[own[heads]]), pack(text[own[heads]]), pack(np.diff(heads, append=len(own)).astype(np.uint32)), pack(at[own]), low[own].tobytes(), high[own].tobytes()))
+            if rows:
+                yield _batch(rows, ("part", "docs", "texts", "counts", "at", "low", "high"), 1)
+
+    return run
+
+
 def _outermost(keys: np.ndarray, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Of the places `own`: for each key one of its first and one of its last document."""
     own = own[np.lexsort((rank[own], keys[own]))]
@@ -287,15 +333,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text) and spans (packed stretches of repeated words) of documents with any."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    bits = hash_parts(docs, RANGE_BYTES).bit_length() - 1
+    bits = range_bits(docs, RANGE_BYTES)
     anchors = source.mapInArrow(_anchors(bits), ANCHORS)
+    if bits > STEP_BITS:
+        anchors = anchors.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_finer(bits), ANCHORS)
     hits = anchors.repartition("part", "salt").sortWithinPartitions("part", "salt", "kind").mapInArrow(_matches, HITS)
     hits = cut(hits.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     near = source.join(small(hits.select(F.col("doc_id").alias("hit_id")), 4_000_000), F.col("doc_id") == F.col("hit_id"), "left_semi")
     near = near.join(hits, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text", "anchors")
-    prints = near.mapInArrow(_prints(bits, max(bits - 1, 0)), PRINTS)
-    prints = cut(prints)
-    found = prints.where("part >= 0").groupBy("part").applyInArrow(_with(_found_repeats, bits), REPEATS)
+    fine = max(bits - 1, 0)
+    coarse = min(fine, STEP_BITS)
+    prints = cut(near.mapInArrow(_prints(bits, coarse), PRINTS))
+    told = prints.where("part >= 0")
+    if coarse < fine:
+        told = told.repartition("part").sortWithinPartitions("part").mapInArrow(_finer_prints(coarse, fine), PRINTS)
+    found = told.groupBy("part").applyInArrow(_with(_found_repeats, bits), REPEATS)
     known = prints.where("part < 0").mapInArrow(_known_repeats(bits), REPEATS)
     return cut(found.unionByName(known).groupBy("bucket").applyInArrow(_gather, GATHERED))
 

@@ -64,6 +64,14 @@ def test_against_brute_force(frame, monkeypatch, star, hot, piece, cell, broadca
     assert sorted((tuple(r) for r in m.linked_documents(frame(rows)).collect()), key=str) == brute(rows)
 
 
+def test_ranges_in_two_steps(frame, monkeypatch):
+    monkeypatch.setattr(m, "STEP_BITS", 2)
+    monkeypatch.setattr(m, "range_bits", lambda *_: 5)
+    monkeypatch.setattr(m, "HOT_LEVEL", 4)
+    rows = corpus()
+    assert sorted((tuple(r) for r in m.linked_documents(frame(rows)).collect()), key=str) == brute(rows)
+
+
 def test_a_token_in_all_documents(frame, monkeypatch):
     monkeypatch.setattr(m, "STAR", 2)
     monkeypatch.setattr(m, "HOT_LEVEL", 2)

@@ -47,6 +47,13 @@ def test_against_brute_force(frame):
     assert got == brute(rows)
 
 
+def test_ranges_in_two_steps(frame, monkeypatch):
+    monkeypatch.setattr(m, "STEP_BITS", 1)
+    monkeypatch.setattr(m, "range_bits", lambda *_: 5)
+    rows = corpus()
+    assert sorted((tuple(r) for r in m.digest(frame(rows)).collect()), key=str) == brute(rows)
+
+
 def sent(rows):
     """The rows that leave for the index and the probes, in the order of a task."""
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
