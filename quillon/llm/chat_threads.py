@@ -8,10 +8,12 @@ of what it replies to. Messages come out without quotes, threads in order of the
 turn order, so that every reply stands behind what it answers.
 
 A conversation is never gathered: hashes are pre-aggregated to one original each, threads are found by pointer
-jumping over checkpointed tables, and the order is a range sort over all conversations.
+jumping over checkpointed tables, and the order is a range sort over all conversations. The joins have one row a key on
+one side, which is broadcast if it is small; else adaptive execution splits the keys that many messages share.
 
 Edge cases: a null text is an empty message; a null conv_id or turn links with nothing and keeps its row; rows that
-share conv_id and turn keep their rows and share their links; an empty table gives an empty result.
+share conv_id and turn keep their rows and share their links; an empty table gives an empty result; other columns,
+whatever their names, do not matter; messages are read whole, however long.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import cut
+from quillon.llm.store import cut, small
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
@@ -67,8 +69,9 @@ def links(rows: DataFrame) -> DataFrame:
         return wanted.select("conv_id", "turn", F.col("turn").alias("reply_to"), F.lit(0).cast("long").alias("quotes")).where("false")
     hashes = F.array_distinct(F.concat(F.array(_hash(_normal(F.col("own")))), F.transform(F.split("own", "\n"), lambda x: _hash(_normal(x)))))
     originals = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(hashes).alias("hash")).where("hash is not null")
-    originals = originals.groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
-    found = wanted.join(originals, ["conv_id", "hash"]).where("original < turn")
+    # one row for each passage that is quoted: a passage that many messages quote is broadcast, or its messages are split
+    originals = originals.join(wanted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.min("turn").alias("original"))
+    found = wanted.join(small(cut(originals)), ["conv_id", "hash"]).where("original < turn")
     return found.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct(-F.col("level"), "original")).alias("reply_to"), F.count_distinct("hash").alias("quotes"))
 
 
@@ -77,7 +80,7 @@ def threads(found: DataFrame) -> DataFrame:
     state = cut(found.withColumn("thread", F.col("reply_to")))
     while True:
         up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"))
-        fresh = cut(state.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", "reply_to", "quotes", F.coalesce("further", "thread").alias("thread"), F.col("further").isNotNull().alias("moved")))
+        fresh = cut(state.join(small(up), ["conv_id", "thread"], "left").select("conv_id", "turn", "reply_to", "quotes", F.coalesce("further", "thread").alias("thread"), F.col("further").isNotNull().alias("moved")))
         state = fresh.drop("moved")
         if not fresh.where("moved").limit(1).count():
             return state

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.store import bounded_batches, cut, small
+from quillon.llm.store import bounded_batches, cut, discard, small
 from quillon.llm.textkern import mix, seeded
 
 TABLES, TARGET, WIDTH = 3, 0.62, 1.2
@@ -316,4 +316,5 @@ def neighbours(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     if model.hashes and short.limit(1).count():
         more = ranked(_found(index, short, shared, dimension, top, WIDE_TARGET))
         out = out.join(full, "query_id", "left_semi").unionByName(more)
+    discard(index, short)
     return out

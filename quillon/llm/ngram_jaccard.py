@@ -545,17 +545,19 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         star = cut(star.join(split.select("node").distinct(), "node", "left_semi"))
         popular = star.groupBy("hub").agg(F.count("*").alias("members"))
         hubs = cut(star.join(popular, "hub").groupBy("node").agg(F.max_by("hub", F.struct("members", -F.col("hub"))).alias("hub")))
-        cross = cut(_cross_pairs(split.join(hubs, "node", "left"), shared))
+        cross_found = cut(_cross_pairs(split.join(hubs, "node", "left"), shared))
         # the members of hubs with more than one component
         own = hubs.join(split.select("node", "component", "size").distinct(), "node")
         sizes = own.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("tokens"), F.min("component").alias("least"), F.max("component").alias("most"))
         sizes = small(cut(sizes.where("least < most").select("hub", ((F.col("members") <= CELL_MEMBERS) & (F.col("tokens") <= CELL_TOKENS)).alias("few"))))
         own = cut(own.join(sizes, "hub").select("hub", "node", "component", "few"))
-        cross = cut(cross.union(around_hubs(own.where("not few"), known)).distinct())
+        cross = cut(cross_found.union(around_hubs(own.where("not few"), known)).distinct())
         more = verified(cut(cross.join(pairs, ["a", "b"], "left_anti")), known, info).union(in_cells(own.where("few"), known))
         more = cut(more)
         if more.limit(1).count():
             near = components(links.union(more))
+        discard(star, hubs, cross_found, cross, own, more)
+    discard(found, pairs, links, split)
     rows = info.where("kind = 0").select("doc_id", "n", "signature")
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("n", "signature").agg(F.min("doc_id").alias("head"))

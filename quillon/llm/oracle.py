@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, ngram_jaccard, substring_dedup, url_cascade
+from quillon.llm import license_scan, mixing, ngram_jaccard, substring_dedup, url_cascade
 
 WORDS = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 SUBSTRING_DEDUP = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
@@ -35,7 +36,14 @@ t AS (SELECT source, total, least(cap, coalesce((SELECT arg_min(level, (cap / we
 p AS (SELECT d.doc_id, d.size, total, target, d.source, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, total AS source_size, target, CAST(CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END * size + greatest(0, least(size, floor(target) - CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END * total - before)) AS BIGINT) AS taken, source FROM p"""
 
+LICENSE_BASE = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_cascade.UPPER}', '{url_cascade.LOWER}'), '{ALNUM}') AS ws FROM documents),
+places AS (SELECT doc_id, i, label FROM w, unnest(range(1, len(ws) + 1)) AS t(i), (VALUES {', '.join(f"([{', '.join(repr(x) for x in p.split())}], '{label}')" for p, label in license_scan.PHRASES)}) AS p(phrase, label) WHERE ws[i:i + len(phrase) - 1] = phrase),
+found AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN found ON found.doc_id = w.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "license_base_places": LICENSE_BASE,
     "op4_substring_dedup": SUBSTRING_DEDUP,
     "op7_mixing": MIXING,
     "op9_url_cascade": url_cascade.oracle_sql(),

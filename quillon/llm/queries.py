@@ -52,6 +52,11 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.linked_documents(table(spark, sf_dir, "documents"))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can say."""
+    return op5_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_cnn": op2_quality_cnn,
@@ -63,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_url_cascade": op9_url_cascade,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "license_base_places": license_base_places,
 }

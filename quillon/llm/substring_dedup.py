@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.store import STEP_BITS, bounded_batches, cut, fresh, range_bits, small
+from quillon.llm.store import STEP_BITS, bounded_batches, cut, discard, fresh, range_bits, small
 from quillon.llm.textkern import NON_SPACE, Words, give_back, mix, numbers, pack, pack_ids, sha256_hex, slices, unpack, unpack_ids
 
 WINDOW, BLOCK = 50, 25
@@ -349,7 +349,9 @@ def repeats(docs: DataFrame) -> DataFrame:
         told = told.repartition("part").sortWithinPartitions("part").mapInArrow(_finer_prints(coarse, fine), PRINTS)
     found = told.groupBy("part").applyInArrow(_with(_found_repeats, bits), REPEATS)
     known = prints.where("part < 0").mapInArrow(_known_repeats(bits), REPEATS)
-    return cut(found.unionByName(known).groupBy("bucket").applyInArrow(_gather, GATHERED))
+    out = cut(found.unionByName(known).groupBy("bucket").applyInArrow(_gather, GATHERED))
+    discard(hits, prints)
+    return out
 
 
 def with_repeats(docs: DataFrame) -> tuple[DataFrame, str]:
