@@ -26,8 +26,8 @@ from quillon.llm.textkern import seeded, slices
 DIMENSIONS = 512
 #: 0 is the gap, 1 to 26 are a to z, the rest stand for other letters.
 SYMBOLS = 128
-#: Text bytes of one call, and trigrams that are bundled at once.
-SLICE, BUNDLE = 1 << 20, 2048
+#: Text bytes of one call, trigrams that are bundled at once, and trigrams that wait for it in training.
+SLICE, BUNDLE, WAITING = 1 << 20, 2048, 1 << 21
 
 
 @functools.cache
@@ -83,18 +83,27 @@ def text_vector(tri: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches):
+    """Bundles of the task's texts by language; trigrams wait until there are WAITING of all languages together."""
     total: dict[str, np.ndarray] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+
+    def bundle() -> None:
+        for lang, lots in waiting.items():
+            total[lang] = total.get(lang, 0) + bundled(*np.unique(np.concatenate(lots), return_counts=True))
+        waiting.clear()
+
+    held = 0
     for batch in batches:
         for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
             tri = trigrams(text.as_py())
             if len(tri):
-                lang = lang.as_py()
-                if lang not in total:
-                    total[lang] = np.zeros(SYMBOLS**3, dtype=np.int64)
-                total[lang] += np.bincount(tri, minlength=SYMBOLS**3)
-    for lang, counts in total.items():
-        kinds = np.flatnonzero(counts)
-        vector = bundled(kinds, counts[kinds])
+                waiting.setdefault(lang.as_py(), []).append(tri)
+                held += len(tri)
+                if held >= WAITING:
+                    bundle()
+                    held = 0
+    bundle()
+    for lang, vector in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "place", "value"])
 
 
