@@ -42,7 +42,10 @@ def versions(s, d):
 
 
 def metrics(s, d):
-    rows = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("version_id")).agg(F.count("*").alias("operation_count"), F.count_distinct("l_partkey").alias("qubit_count"), F.sum("l_quantity").cast("long").alias("toffoli_count"))
+    # an order has a few lines: one exchange by order, then both groupings are local
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), "l_partkey", "l_quantity").repartition("version_id")
+    parts = lines.groupBy("version_id", "l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    rows = parts.groupBy("version_id").agg(F.sum("n").alias("operation_count"), F.count("l_partkey").alias("qubit_count"), F.sum("quantity").cast("long").alias("toffoli_count"))
     return rows.withColumn("score", F.col("qubit_count") * F.col("toffoli_count"))
 
 
