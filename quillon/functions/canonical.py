@@ -100,6 +100,22 @@ def identifier(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
 
 
+def blake2b64(text: Column) -> Column:
+    """BLAKE2b of 8 bytes, as 16 hex digits: the JVM has none. Null for null."""
+    @F.pandas_udf("string")
+    def digest(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=8).hexdigest())
+
+    return digest(text)
+
+
+def summary(ops: DataFrame) -> DataFrame:
+    """circuit, fingerprint, qubit_count, classical_bit_count, operation_count: what an analysis records."""
+    counts = ops.groupBy("circuit").agg(F.count("*").alias("operation_count"))
+    bits = bit_counts(ops).select("circuit", F.col("q").alias("qubit_count"), F.col("c").alias("classical_bit_count"))
+    return fingerprints(ops).join(bits, "circuit").join(counts, "circuit")
+
+
 def circuit_depth(ops: DataFrame) -> DataFrame:
     """circuit, depth: the longest chain of operations that share qubits or bits. A step follows its operands' levels in
     index order, which is sequential in a circuit; sorted rows are streamed and only the levels are kept."""

@@ -23,6 +23,21 @@ def reduction_percent(source: Column, target: Column) -> Column:
     return F.when(s != 0, ((s - t).cast("decimal(38,6)") * 100 / s).cast("double"))
 
 
+def thousands(value: Column) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(value.cast("double"), 0)
+
+
+def arrow(change: Column) -> Column:
+    """An arrow down, up or sideways; null for an unknown change."""
+    return F.when(change < 0, "\u2193").when(change > 0, "\u2191").when(change == 0, "\u2192")
+
+
+def preview(text: Column, length: int) -> Column:
+    """A text's first characters, with an ellipsis if there are more."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("\u2026"))).otherwise(text)
+
+
 def direction(change: Column) -> Column:
     return F.when(change > 0, "up").when(change < 0, "down").when(change == 0, "flat")
 

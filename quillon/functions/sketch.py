@@ -32,15 +32,17 @@ def interactions(ops: DataFrame, key: str = "circuit") -> DataFrame:
     return ops.select(key, F.explode(pairs_of(F.col("qubits"))).alias("p")).groupBy(key, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("weight"))
 
 
-def shingles(ops: DataFrame, token: str, key: str = "circuit", width: int = WIDTH, extra: tuple[str, ...] = ()) -> DataFrame:
+def shingles(ops: DataFrame, token: str, key: str = "circuit", width: int = WIDTH, extra: tuple[str, ...] = (), hashed=lambda text: F.substring(F.sha2(text, 256), 1, 16)) -> DataFrame:
     """key, hash of each run of `width` tokens in idx order; 16 hex digits order like unsigned numbers.
 
+    hashed is the JVM's sha256 unless sketches of another hash (canonical.blake2b64) are to be compared with.
+
     `extra` columns bound the runs too (sample windows or blocks): a run never crosses them.
     """
     w = W.partitionBy(key, *extra).orderBy("idx")
     tokens = [F.col(token), *(F.lead(token, i).over(w) for i in range(1, width))]
     rows = ops.select(key, *extra, F.when(tokens[-1].isNotNull(), F.concat(F.lit("["), F.concat_ws(",", *tokens), F.lit("]"))).alias("text"))
-    return rows.where("text is not null").select(key, *extra, F.substring(F.sha2("text", 256), 1, 16).alias("hash"))
+    return rows.where("text is not null").select(key, *extra, hashed(F.col("text")).alias("hash"))
 
 
 def bottom_k(hashes: DataFrame, key: str = "circuit", size: int = SIZE) -> DataFrame:

@@ -111,6 +111,33 @@ def path_slice(edges: DataFrame, a, b, relations: Sequence[str] | None = None) -
     return down.join(up, "node")
 
 
+def paths(edges: DataFrame, a, b, max_hops: int, relations: Sequence[str] | None = None) -> DataFrame:
+    """path (array of nodes), hops of every simple way from a to b of at most max_hops edges.
+
+    Only nodes on some way are followed, so that dead ends cost nothing; ways of a dense graph are as many as they are.
+    """
+    kind = edges.schema["src"].dataType
+    on = cut(path_slice(edges, a, b, relations).select("node"))
+    links = directed(edges, "out", relations).select("here", "there").distinct()
+    links = cut(links.join(on.withColumnRenamed("node", "there"), "there", "left_semi").join(on.withColumnRenamed("node", "here"), "here", "left_semi"))
+    ways = edges.sparkSession.range(1).select(F.array(F.lit(a).cast(kind)).alias("path"), F.lit(a).cast(kind).alias("here"))
+    found = ways.where(F.lit(a == b))
+    for _ in range(max_hops):
+        ways = cut(ways.where(F.col("here") != F.lit(b)).join(links, "here").where(~F.array_contains("path", F.col("there"))).select(F.array_append("path", F.col("there")).alias("path"), F.col("there").alias("here")))
+        if not ways.limit(1).count():
+            break
+        found = found.unionByName(ways.where(F.col("here") == F.lit(b)))
+    return found.select("path", (F.size("path") - 1).alias("hops"))
+
+
+def differing_siblings(edges: DataFrame, parameter: str) -> DataFrame:
+    """src, children, pairs of children that were made with different parameters: counted by groups, no pairs are made.
+    Edges have src, dst and the parameter."""
+    kids = edges.groupBy("src", "dst").agg(F.min(parameter).alias("_p")).groupBy("src", "_p").agg(F.count("*").alias("_n"))
+    both = kids.groupBy("src").agg(F.sum("_n").alias("children"), F.sum(F.col("_n") * F.col("_n")).alias("_same"))
+    return both.select("src", "children", ((F.col("children") * F.col("children") - F.col("_same")) / 2).cast("long").alias("pairs")).where("pairs > 0")
+
+
 def siblings(edges: DataFrame) -> DataFrame:
     """Pairs of different children of one parent: counted per parent, not listed."""
     kids = edges.groupBy("src").agg(F.count_distinct("dst").alias("children"))

@@ -38,6 +38,24 @@ def first_of(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFrame:
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", value))), lambda x: x[value]).alias("first"))
 
 
+def differ_only_in(df: DataFrame, metrics: Sequence[str], aspect: str, key: str) -> DataFrame:
+    """Groups of rows with equal metrics and several values of one aspect: metrics, members, values, first member."""
+    groups = df.groupBy(*metrics).agg(F.count("*").alias("members"), F.count_distinct(aspect).alias("values"), F.min(key).alias("first_member"))
+    return groups.where("values > 1")
+
+
+def by_parameter(rows: DataFrame, parameter: str, change: str) -> DataFrame:
+    """For each parameter value of transitions (a branch, a tool, its version): how many, how many fell and the mean change."""
+    return rows.groupBy(parameter).agg(F.count("*").alias("n"), F.count_if(F.col(change) < 0).alias("fell"), F.avg(change).alias("mean_change"))
+
+
+def overview(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """before's rows with after's fields of the same key beside them and the changes; null where after lacks the key."""
+    later = after.select(F.col(key).alias("_key"), *(F.col(f).alias(f"{f}_after") for f in fields))
+    rows = before.join(later, F.col(key) == F.col("_key"), "left").drop("_key")
+    return rows.withColumnsRenamed({f: f"{f}_before" for f in fields}).withColumns({f"{f}_change": F.col(f"{f}_after") - F.col(f"{f}_before") for f in fields})
+
+
 def merge_roles(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     """Union of tables (key, role): one row for each key with its distinct roles in order."""
     both = reduce(lambda a, b: a.unionByName(b), parts)

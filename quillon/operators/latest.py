@@ -33,6 +33,14 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new, list(key), "left_anti").unionByName(new)
 
 
+def status_conflicts(old: DataFrame, new: DataFrame, key: Sequence[str], allowed: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows of new (key, status) whose change from old's status is none of the allowed ones; staying is allowed."""
+    had = old.select(*key, F.col("status").alias("_had"))
+    step = F.struct(F.col("_had").alias("a"), F.col("status").alias("b"))
+    fine = reduce(lambda p, q: p | q, (step == F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in allowed), F.col("_had").eqNullSafe(F.col("status")))
+    return new.join(had, list(key)).where(~fine).drop("_had")
+
+
 def write_once_conflicts(old: DataFrame, new: DataFrame, key: Sequence[str], field: str) -> DataFrame:
     """Rows of new that would change a value already set."""
     had = old.select(*key, F.col(field).alias("_had")).where("_had is not null")

@@ -20,26 +20,37 @@ def resolve(df: DataFrame, reference: str, columns: Sequence[str]) -> DataFrame:
     return tiered(df, [F.col(c).cast("string") == reference for c in columns])
 
 
-def search(df: DataFrame, text: str, key: str, label: str, limit: int) -> DataFrame:
-    """Ranked search: exact key, key fragment, exact label (any case), label fragment (3 characters or more), with
-    the flag `truncated` on every row when more than limit rows match."""
-    low, t = text.lower(), F.lower(F.col(label))
-    long = F.lit(len(text) >= 3)
-    tier = F.when(F.col(key).cast("string") == text, 1).when(t == low, 2).when(long & F.startswith(t, F.lit(low)), 3).when(long & F.contains(t, F.lit(low)), 4)
+def search(df: DataFrame, text: str, key: str, external: str, label: str, limit: int) -> DataFrame:
+    """Ranked search: exact id, exact external key, exact label, part of the external key (3 characters or more), all but
+    the id in any case; ties by external key, label and id; with the flag `truncated` on every row when more than limit
+    rows match."""
+    low = text.lower()
+    same = lambda c: F.lower(F.col(c)) == low
+    part = F.lit(len(text) >= 3) & F.contains(F.lower(F.col(external)), F.lit(low))
+    tier = F.when(F.col(key).cast("string") == text, 1).when(same(external), 2).when(same(label), 3).when(part, 4)
     hits = df.withColumn("tier", tier).where("tier is not null")
     flag = hits.agg((F.count("*") > limit).alias("truncated"))
-    return hits.orderBy("tier", label, key).limit(limit).crossJoin(F.broadcast(flag))
+    return hits.orderBy("tier", F.coalesce(external, label, F.col(key).cast("string")), key).limit(limit).crossJoin(F.broadcast(flag))
 
 
-def namespaces(references: DataFrame, spaces: dict[str, DataFrame], prefix: int = 4) -> DataFrame:
+def namespaces(references: DataFrame, spaces: dict[str, DataFrame], prefix: int = 4, hexadecimal: Sequence[str] | None = None, cue: str | None = None) -> DataFrame:
     """Resolves references (ref) against several namespaces (name, entity): exact names first, then name prefixes of
-    at least `prefix` characters. RESOLVED if all hits are one entity, AMBIGUOUS if several, else UNKNOWN."""
+    at least `prefix` characters. RESOLVED if all hits are one entity, AMBIGUOUS if several, else UNKNOWN.
+
+    With `hexadecimal` only these namespaces take prefixes, of hex digits with a letter among them; digits alone count as
+    a prefix where the references' column `cue` says that an identifier is meant.
+    """
     hits = None
+    if hexadecimal is not None:
+        letter = F.col("ref").rlike("[a-f]") if cue is None else F.col("ref").rlike("[a-f]") | F.coalesce(F.col(cue), F.lit(False))
+        may = references.where(F.col("ref").rlike("^[0-9a-f-]+$") & letter)
+    else:
+        may = references
     for name, df in spaces.items():
         known = df.select(F.col("name").cast("string").alias("name"), F.col("entity").cast("string").alias("entity"))
         exact = references.join(known, F.col("ref") == F.col("name")).select("ref", "entity", F.lit(1).alias("tier"), F.lit(name).alias("space"))
         short = known.withColumn("_head", F.substring("name", 1, prefix))
-        begins = references.where(F.length("ref") >= prefix).withColumn("_head", F.substring("ref", 1, prefix)).join(short, "_head").where(F.startswith("name", F.col("ref")) & (F.col("name") != F.col("ref")))
+        begins = (may if hexadecimal is None or name in hexadecimal else may.limit(0)).where(F.length("ref") >= prefix).withColumn("_head", F.substring("ref", 1, prefix)).join(short, "_head").where(F.startswith("name", F.col("ref")) & (F.col("name") != F.col("ref")))
         both = exact.unionByName(begins.select("ref", "entity", F.lit(2).alias("tier"), F.lit(name).alias("space")))
         hits = both if hits is None else hits.unionByName(both)
     first = hits.groupBy("ref").agg(F.min("tier").alias("tier"))

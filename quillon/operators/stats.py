@@ -46,16 +46,31 @@ def mass(df: DataFrame, weight: str, tops: Sequence[int] = (1, 10, 100)) -> Data
     return out
 
 
+def percent_mass(df: DataFrame, weight: str, parts: Sequence[int] = (100, 10)) -> DataFrame:
+    """part, share: what the heaviest 1/part of the rows (one at least) hold of all weight. Weights are counted first, so
+    that the sort is over distinct weights."""
+    kinds = df.groupBy(F.col(weight).alias("_w")).agg(F.count("*").alias("_n"))
+    w = W.orderBy(F.desc("_w")).rowsBetween(W.unboundedPreceding, -1)
+    rows = kinds.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    facts = kinds.agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") * F.col("_w")).alias("total"))
+    tops = facts.select("total", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.greatest(F.lit(1), F.floor(F.col("rows") / p)).alias("top")) for p in parts))).alias("t")).select("total", "t.*")
+    taken = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("top") - F.col("_before"))) * F.col("_w")
+    return rows.crossJoin(F.broadcast(tops)).groupBy("part").agg((F.sum(taken) / F.max("total")).alias("share"))
+
+
 def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """by, n, least, median, most of the recorded values."""
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("most"))
 
 
 def discovery_curve(df: DataFrame, item: str, order: str, budgets: Sequence[int]) -> DataFrame:
-    """How many distinct items have appeared in the first `budget` places: first places, then one conditional count."""
-    first = df.groupBy(item).agg(F.min(order).alias("_first"))
-    counts = first.agg(*(F.count_if(F.col("_first") < b).alias(f"b{b}") for b in budgets))
-    return counts.select(F.explode(F.array(*(F.struct(F.lit(b).alias("budget"), F.col(f"b{b}").alias("distinct_items")) for b in budgets))).alias("r")).select("r.*")
+    """How many distinct items have appeared in the first `budget` places, and the share of all rows that have these
+    items: first places and weights of items, then conditional sums."""
+    first = df.groupBy(item).agg(F.min(order).alias("_first"), F.count("*").alias("_weight"))
+    sums = [x for b in budgets for x in (F.count_if(F.col("_first") < b).alias(f"n{b}"), F.sum(F.when(F.col("_first") < b, F.col("_weight")).otherwise(0)).alias(f"w{b}"))]
+    counts = first.agg(*sums, F.sum("_weight").alias("_all"))
+    rows = (F.struct(F.lit(b).alias("budget"), F.col(f"n{b}").alias("distinct_items"), F.try_divide(F.col(f"w{b}").cast("double"), F.col("_all")).alias("weight_share")) for b in budgets)
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def funnel(df: DataFrame, stages: Sequence[tuple[str, str]]) -> DataFrame:

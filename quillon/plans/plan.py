@@ -623,6 +623,24 @@ def validate(plan: Plan, metrics: list[str] | None = None, relations: list[str]
     return sorted(problems, key=lambda p: order.index(p[0]))
 
 
+def _bound(params: dict, store: Store) -> dict:
+    """The parameters with every {"bind": plan, "field": name} replaced by that field of the plan's first row."""
+    out = {}
+    for name, value in params.items():
+        if isinstance(value, dict) and "bind" in value:
+            found = execute(value["bind"], store)
+            if found.data is None:
+                raise Stop(found.status, f"{name}: {found.message}", found.missing_fields, found.available_fields)
+            if value.get("field") not in found.data.columns:
+                raise PlanError(f"{name}: the bound plan has no {value.get('field')!r}")
+            first = found.data.select(records.field(value["field"])).limit(1).collect()
+            if not first:
+                raise Stop("MISSING_DATA", f"{name}: the bound plan has no row")
+            value = first[0][0] if isinstance(first[0][0], (bool, int, float)) and name not in ("version", "version_a", "version_b") else str(first[0][0])
+        out[name] = value
+    return out
+
+
 def execute(plan: Plan | str | dict, store: Store) -> Result:
     """Runs a plan; the data stays lazy, but for resolving names, scopes and the facts of single entities."""
     try:
@@ -633,7 +651,7 @@ def execute(plan: Plan | str | dict, store: Store) -> Result:
             store = store.scoped(plan.circuit)
         rows = None
         for s in plan.steps:
-            rows = OPERATORS[s.operator].run(store, rows, s.params)
+            rows = OPERATORS[s.operator].run(store, rows, _bound(s.params, store))
             if isinstance(rows, Result):
                 return rows
         return Result("ANSWERABLE", rows)

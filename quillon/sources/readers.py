@@ -84,6 +84,20 @@ def api_body(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.withColumn("record", F.from_json("raw", schema)).select("snapshot_id", "ordinal", "raw", "record.*")
 
 
+def sidecar_mismatches(spark: SparkSession, path: str) -> DataFrame:
+    """path of files whose sha256 is not the first word of the file of their name and .sha256; a missing one is none."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("text"))
+    sides = files.where(F.endswith("path", F.lit(".sha256"))).select(F.regexp_replace("path", r"\.sha256$", "").alias("path"), F.lower(F.regexp_extract("text", r"^\s*([0-9A-Fa-f]{64})", 1)).alias("wanted"))
+    return files.join(sides, "path").where("sha256 <> wanted").select("path")
+
+
+def trailers(log: DataFrame, key: str, message: str) -> DataFrame:
+    """key, name, value of the trailer lines (Name: value) in the last paragraph of commit messages."""
+    last = F.element_at(F.split(F.trim(F.regexp_replace(message, "\r", "")), r"\n\s*\n"), -1)
+    lines = log.select(key, F.explode(F.split(last, "\n")).alias("line")).where(F.col("line").rlike(r"^[A-Za-z0-9-]+:\s"))
+    return lines.select(key, F.regexp_extract("line", r"^([A-Za-z0-9-]+):", 1).alias("name"), F.trim(F.regexp_extract("line", r"^[A-Za-z0-9-]+:\s*(.*)$", 1)).alias("value"))
+
+
 def pinned_files(spark: SparkSession, path: str, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (name, sha256, content) that match the expected hashes, and the expected ones without a match."""
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "content")

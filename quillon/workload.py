@@ -225,9 +225,9 @@ def latest_set(s, d):
     return latest.latest_set(table(s, d, "orders"), ["o_custkey"], ["o_orderdate"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part 12' THEN 2 WHEN starts_with(lower(p_name), 'part 12') THEN 3 ELSE 4 END AS tier, (SELECT count(*) > 20 FROM part WHERE contains(lower(p_name), 'part 12')) AS truncated FROM part WHERE contains(lower(p_name), 'part 12') ORDER BY tier, p_name, p_partkey LIMIT 20")
+@query("WITH t AS (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS VARCHAR) = '12' THEN 1 WHEN lower(p_name) = '12' THEN 2 WHEN lower(p_brand) = '12' THEN 3 END AS tier FROM part), u AS (SELECT p_partkey, p_name, CASE WHEN CAST(p_partkey AS VARCHAR) = 'part 12' THEN 1 WHEN lower(p_name) = 'part 12' THEN 2 WHEN lower(p_brand) = 'part 12' THEN 3 WHEN contains(lower(p_name), 'part 12') THEN 4 END AS tier FROM part) SELECT p_partkey, tier, (SELECT count(*) > 20 FROM u WHERE tier IS NOT NULL) AS truncated FROM u WHERE tier IS NOT NULL ORDER BY tier, p_name, p_partkey LIMIT 20")
 def search_tiers(s, d):
-    return resolve.search(table(s, d, "part"), "part 12", "p_partkey", "p_name", 20).select("p_partkey", "p_name", "tier", "truncated")
+    return resolve.search(table(s, d, "part"), "part 12", "p_partkey", "p_name", "p_brand", 20).select("p_partkey", "tier", "truncated")
 
 
 @query("""WITH refs AS (SELECT DISTINCT substr(c_name, 1, 17) AS ref FROM customer UNION SELECT n_name FROM nation), names AS (SELECT 'customer' AS space, c_name AS name, c_name AS entity FROM customer UNION ALL SELECT 'nation', n_name, n_name FROM nation), hits AS (SELECT ref, entity, space, CASE WHEN name = ref THEN 1 ELSE 2 END AS tier FROM refs JOIN names ON starts_with(name, ref) AND (name = ref OR length(ref) >= 4)), best AS (SELECT ref, min(tier) AS tier FROM hits GROUP BY 1)
@@ -349,6 +349,47 @@ def shingle_frequencies(s, d):
     return sketch.shingle_frequencies(sketch.shingles(_tokens(s, d), "token")).select("circuit", "shingles", "distinct", F.round("singleton_share", 6).alias("singleton_share"))
 
 
+@query(f"WITH {OPS}, e AS (SELECT count(*) AS w FROM ops WHERE q1 <> q2 GROUP BY least(q1, q2), greatest(q1, q2)), r AS (SELECT w, row_number() OVER (ORDER BY w DESC) AS pos, count(*) OVER () AS n FROM e) SELECT part, round(sum(w) FILTER (WHERE pos <= greatest(1, n // part)) / CAST(sum(w) AS DOUBLE), 6) AS share FROM r CROSS JOIN (VALUES (100), (10)) v(part) GROUP BY part")
+def percent_mass(s, d):
+    e = sketch.interactions(operations(s, d).withColumn("circuit", F.lit(0)))
+    return stats.percent_mass(e, "weight").select("part", F.round("share", 6).alias("share"))
+
+
+@query("WITH x AS (SELECT p_size, CAST(floor(p_retailprice / 100) AS BIGINT) AS price, p_brand, p_partkey FROM part) SELECT p_size, price, count(*) AS members, count(DISTINCT p_brand) AS \"values\", min(p_partkey) AS first_member FROM x GROUP BY 1, 2 HAVING count(DISTINCT p_brand) > 1")
+def differ_only_in_brand(s, d):
+    return history.differ_only_in(table(s, d, "part").withColumn("price", F.floor(F.col("p_retailprice") / 100)), ["p_size", "price"], "p_brand", "p_partkey")
+
+
+@query(f"WITH {TRANS} SELECT relation, count(*) AS n, count(*) FILTER (WHERE absolute_change < 0) AS fell, round(avg(absolute_change), 6) AS mean_change FROM trans GROUP BY 1")
+def compare_branches(s, d):
+    rows = edges(s, d)
+    for name in ("toffoli_count",):
+        rows = transitions.compute_delta(rows, metrics(s, d), name, "src", "dst").where("toffoli_count_delta is not null")
+    return history.by_parameter(rows, "relation", "toffoli_count_delta").withColumn("mean_change", F.round("mean_change", 6))
+
+
+@query(f"WITH {EDGES}, k AS (SELECT src, relation, count(DISTINCT dst) AS n FROM edges GROUP BY 1, 2) SELECT src, CAST(sum(n) AS BIGINT) AS children, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS pairs FROM k GROUP BY 1 HAVING sum(n) * sum(n) > sum(n * n)")
+def differing_siblings(s, d):
+    return graph.differing_siblings(edges(s, d), "relation")
+
+
+@query(f"WITH {SUCCESSORS}, worst AS (SELECT child_version_id AS v FROM steps ORDER BY -absolute_change, CAST(parent_version_id AS VARCHAR), CAST(child_version_id AS VARCHAR) LIMIT 1) SELECT dst AS version_id FROM nexts WHERE src = (SELECT v FROM worst)")
+def after_largest_rise(s, d):
+    """A dependent plan: what follows the child of the largest rise."""
+    worst = {"bind": {"operation": "rank_transitions", "metric": "toffoli_count", "order": "largest_increase", "limit": 1}, "field": "child_version_id"}
+    return planned(s, d, ("traverse", {"version": worst, "relation_type": "historical_successor"})).select("version_id")
+
+
+@query(f"WITH {TRADE}, e AS (SELECT DISTINCT src, dst FROM trade WHERE relation = 'urgent'), one AS (SELECT src || '>' || dst AS path FROM e WHERE src = 1 AND dst = 2), two AS (SELECT a.src || '>' || a.dst || '>' || b.dst AS path FROM e a JOIN e b ON b.src = a.dst WHERE a.src = 1 AND b.dst = 2 AND a.dst NOT IN (1, 2)) SELECT path FROM one UNION ALL SELECT path FROM two")
+def ways_between(s, d):
+    return graph.paths(trade_edges(s, d), 1, 2, 2, ["urgent"]).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query("WITH a AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30 00:00:00') SELECT o_orderkey, o_totalprice FROM a WHERE o_totalprice = (SELECT min(o_totalprice) FROM a)")
+def best_at_cutoff(s, d):
+    return records.best_with_ties(table(s, d, "orders").where("o_orderdate <= timestamp_ntz '1996-06-30 00:00:00'"), "o_totalprice").select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT p_brand, p_partkey, p_size, p_retailprice FROM part b WHERE NOT EXISTS (SELECT 1 FROM part a WHERE a.p_brand = b.p_brand AND a.p_size <= b.p_size AND a.p_retailprice <= b.p_retailprice AND (a.p_size < b.p_size OR a.p_retailprice < b.p_retailprice))")
 def pareto_per_group(s, d):
     return pareto.front_2d(table(s, d, "part"), "p_size", "p_retailprice", ["p_brand"]).select("p_brand", "p_partkey", "p_size", "p_retailprice")
@@ -484,9 +525,9 @@ def edge_sample(s, d):
     return sketch.hash_sample(sketch.interactions(operations(s, d)), ["a", "b"], 25)
 
 
-@query("WITH f AS (SELECT l_partkey, min(l_orderkey) AS first FROM lineitem GROUP BY 1) SELECT budget, count(*) FILTER (WHERE first < budget) AS distinct_items FROM f CROSS JOIN (VALUES (100), (1000), (10000)) v(budget) GROUP BY 1")
+@query("WITH f AS (SELECT l_partkey, min(l_orderkey) AS first, count(*) AS w FROM lineitem GROUP BY 1) SELECT budget, count(*) FILTER (WHERE first < budget) AS distinct_items, round(sum(w) FILTER (WHERE first < budget) / CAST(sum(w) AS DOUBLE), 6) AS weight_share FROM f CROSS JOIN (VALUES (100), (1000), (10000)) v(budget) GROUP BY 1")
 def discovery_curve(s, d):
-    return stats.discovery_curve(table(s, d, "lineitem"), "l_partkey", "l_orderkey", [100, 1000, 10000])
+    return stats.discovery_curve(table(s, d, "lineitem"), "l_partkey", "l_orderkey", [100, 1000, 10000]).withColumn("weight_share", F.round("weight_share", 6))
 
 
 def _labels(s, d):

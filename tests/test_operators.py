@@ -74,8 +74,10 @@ def test_resolution(spark):
     df = spark.createDataFrame([("abc1", "e1"), ("abc2", "e2"), ("zzz9", "e3")], "name string, entity string")
     found = {r.ref: (r.status, r.entity) for r in resolve.namespaces(spark.createDataFrame([("abc1",), ("zzz9",), ("abc",), ("none1",)], "ref string"), {"n": df}, 3).collect()}
     assert found == {"abc1": ("RESOLVED", "e1"), "zzz9": ("RESOLVED", "e3"), "abc": ("AMBIGUOUS", None), "none1": ("UNKNOWN", None)}
-    hits = resolve.search(df, "abc", "entity", "name", 1).collect()
-    assert len(hits) == 1 and hits[0].truncated and hits[0].tier == 3
+    v = spark.createDataFrame([("v1", "repo:abc1", "First"), ("v2", "repo:ABC2", None), ("abc", "x", None), ("v4", "abc", "l"), ("v5", None, "ABC"), ("v6", "no", "no")], "id string, key string, label string")
+    look = lambda text, n: [(r.id, r.tier, r.truncated) for r in resolve.search(v, text, "id", "key", "label", n).collect()]
+    assert look("abc", 9) == [("abc", 1, False), ("v4", 2, False), ("v5", 3, False), ("v2", 4, False), ("v1", 4, False)]
+    assert look("abc", 2) == [("abc", 1, True), ("v4", 2, True)] and look("ab", 9) == [] and look("first", 9) == [("v1", 3, False)]
 
 
 def test_stats(spark):
@@ -343,3 +345,57 @@ def test_parameters_and_catalogs(spark, tmp_path):
     runs = readers.optimization_runs(spark, str(tmp_path / "runs"))
     assert {r.rule: r.violations for r in readers.optimization_problems(runs).collect()} == {"duplicate_run": 1, "last_step_is_final": 1, "duplicate_order": 0}
     assert readers.optimization_steps(runs).count() == 3
+
+
+def test_prefixes_with_cues(spark):
+    refs = spark.createDataFrame([("ab12", None), ("1234", None), ("1234", True), ("x-9", None), ("gold", None)], "ref string, cue boolean")
+    spaces = {"commit": spark.createDataFrame([("ab12cd", "v1"), ("123456", "v2")], "name string, entity string"), "label": spark.createDataFrame([("golden", "v3"), ("x-9", "v4")], "name string, entity string")}
+    found = lambda r, **k: {(x.ref, x.status, x.entity) for x in resolve.namespaces(r, spaces, **k).collect()}
+    plain = refs.where("cue is null")
+    assert found(plain, hexadecimal=["commit"]) == {("ab12", "RESOLVED", "v1"), ("1234", "UNKNOWN", None), ("x-9", "RESOLVED", "v4"), ("gold", "UNKNOWN", None)}
+    assert ("1234", "RESOLVED", "v2") in found(refs.where("ref = '1234' and cue"), hexadecimal=["commit"], cue="cue")
+
+
+def test_ways_and_statuses(spark):
+    e = edges(spark, [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("b", "c"), ("d", "a"), ("a", "z")])
+    assert {tuple(r.path) for r in graph.paths(e, "a", "d", 3).collect()} == {("a", "b", "d"), ("a", "c", "d"), ("a", "b", "c", "d")}
+    assert {tuple(r.path) for r in graph.paths(e, "a", "d", 2).collect()} == {("a", "b", "d"), ("a", "c", "d")}
+    old = spark.createDataFrame([(1, "open"), (2, "done")], "k int, status string")
+    new = spark.createDataFrame([(1, "done"), (2, "open"), (3, "open")], "k int, status string")
+    assert [r.k for r in latest.status_conflicts(old, new, ["k"], [("open", "done")]).collect()] == [2]
+
+
+def test_stores_of_contents(spark, tmp_path):
+    files = spark.createDataFrame([(b"one",), (b"two",), (b"one",)], "content binary")
+    path = str(tmp_path / "store")
+    assert writers.put_contents(files, path).count() == 2 and writers.put_contents(files, path).count() == 0
+    assert spark.read.parquet(path).count() == 2 and writers.damaged_contents(spark, path).count() == 0
+    store = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    writers.write_batch(spark.createDataFrame([(1, "a"), (3, "c")], "k int, v string"), str(tmp_path / "new"), ["k"], store=store)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "new")).collect()] == [(3, "c")]
+    with pytest.raises(writers.Rejected):
+        writers.write_batch(spark.createDataFrame([(1, "z")], "k int, v string"), str(tmp_path / "bad"), ["k"], store=store)
+    writers.version_records(spark.createDataFrame([("c", "v1", None), ("d", "v2", "L")], "logical_circuit_id string, version_id string, version_label string"), str(tmp_path / "records"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "records" / "*" / "*.txt")).collect()) == ['{"logical_circuit_id":"c","version_id":"v1"}', '{"logical_circuit_id":"d","version_id":"v2","version_label":"L"}']
+
+
+def test_more_sources_and_scalars(spark, tmp_path):
+    (tmp_path / "bom.json").write_bytes(b"\xef\xbb\xbf" + b'{"versions":[{"label":"V1"}],"transformation_edges":[{"edge_id":"e","from":"V1","to":"V2","relation":"r"}]}')
+    assert readers.manifest(spark, str(tmp_path / "bom.json"))[0].first().label == "V1"
+    (tmp_path / "side").mkdir()
+    for name, text in (("a", "x"), ("b", "y"), ("c", "z")):
+        (tmp_path / "side" / name).write_text(text)
+        if name != "c":
+            (tmp_path / "side" / f"{name}.sha256").write_text(hashlib.sha256(b"x").hexdigest().upper() + f"  {name}")
+    assert [r.path.rsplit("/", 1)[1] for r in readers.sidecar_mismatches(spark, str(tmp_path / "side")).collect()] == ["b"]
+    log = spark.createDataFrame([("1", "Title\n\nBody: no\nmore\n\nCo-authored-by: A <a@b>\nReviewed-by: B\n"), ("2", None)], "sha string, message string")
+    assert {tuple(r) for r in readers.trailers(log, "sha", "message").collect()} == {("1", "Co-authored-by", "A <a@b>"), ("1", "Reviewed-by", "B")}
+    texts = ["", "abc", "θ"]
+    hashes = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select(canonical.blake2b64(F.col("t"))).collect()
+    assert [r[0] for r in hashes] == [*(hashlib.blake2b(t.encode(), digest_size=8).hexdigest() for t in texts), None]
+    x = spark.createDataFrame([(1234567, -2), (12, 0), (None, None)], "a long, b int").select(scalars.thousands(F.col("a")), scalars.arrow(F.col("b")), scalars.preview(F.lit("abcdef"), 3))
+    assert [tuple(r) for r in x.collect()] == [("1,234,567", "\u2193", "abc\u2026"), ("12", "\u2192", "abc\u2026"), (None, None, "abc\u2026")]
+    ops = spark.createDataFrame([("c", 0, "h", [2], [0], [])], "circuit string, idx long, name string, qubits array<int>, classical_bits array<int>, parameters array<string>")
+    assert canonical.summary(ops).select("qubit_count", "classical_bit_count", "operation_count").first() == (3, 1, 1)
+    before, after = (spark.createDataFrame(r, "k int, x int") for r in ([(1, 5), (2, 6)], [(1, 3)]))
+    assert {tuple(r) for r in history.overview(before, after, "k", ["x"]).collect()} == {(1, 5, 3, -2), (2, 6, None, None)}

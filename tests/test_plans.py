@@ -217,6 +217,13 @@ def test_shapes_of_plans(store):
     assert plans.canonical(Plan.parse({"operation": "compare_versions", "version_a": "L1", "version_b": "moss"}), store).steps[0].params == {"version_a": "oak", "version_b": "moss"}
 
 
+def test_bound_parameters(store):
+    worst = {"bind": {"operation": "rank_transitions", "metric": "toffoli_count", "order": "largest_increase", "limit": 1}, "field": "child_version_id"}
+    assert [r.version_id for r in rows(store, ("traverse", {"version": worst, "relation_type": "historical_successor"}))] == ["fig"]
+    assert status(store, ("traverse", {"version": worst | {"field": "colour"}})) == "INVALID_PLAN"
+    assert status(store, ("traverse", {"version": {"bind": {"operation": "list_versions", "record_status": "lost"}, "field": "version_id"}})) == "MISSING_DATA"
+
+
 def test_questions(store):
     plan = questions.read("largest toffoli decrease").plan
     assert execute(plan, store).data.first().absolute_change == -128
