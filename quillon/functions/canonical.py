@@ -63,22 +63,24 @@ def streamed_fingerprints(ops: DataFrame) -> DataFrame:
     rows = rows.repartition("circuit").sortWithinPartitions("circuit", "idx")
 
     def run(batches):
-        circuit, state, first = None, None, True
-        done: list[tuple] = []
+        circuit, state, begun = None, None, False
         for batch in batches:
-            for c, text, q, b in zip(*(batch.column(x).to_pylist() for x in ("circuit", "text", "q", "c")), strict=True):
-                if state is None or c != circuit:
-                    if state is not None:
+            done: list[tuple] = []
+            owners, texts = batch.column("circuit").to_pylist(), batch.column("text").to_pylist()
+            heads = [i for i in range(len(owners)) if not i or owners[i] != owners[i - 1]]
+            for a, b in zip(heads, [*heads[1:], len(owners)], strict=True):  # a stretch of one circuit
+                if not begun or owners[a] != circuit:
+                    if begun:
                         state.update(b"]]")
                         done.append((circuit, PREFIX + state.hexdigest()))
-                    circuit, first = c, True
-                    state = hashlib.sha256(f'["{SCHEMA}",{q},{b},['.encode())
-                state.update((text if first else f",{text}").encode())
-                first = False
+                    circuit, begun = owners[a], True
+                    state = hashlib.sha256(f'["{SCHEMA}",{batch.column("q")[a].as_py()},{batch.column("c")[a].as_py()},['.encode())
+                else:
+                    state.update(b",")
+                state.update(",".join(texts[a:b]).encode())
             if done:
-                yield pa.RecordBatch.from_pydict({"circuit": [x for x, _ in done], "fingerprint": [y for _, y in done]})
-                done = []
-        if state is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], batch.schema.field("circuit").type), pa.array([y for _, y in done])], names=["circuit", "fingerprint"])
+        if begun:
             state.update(b"]]")
             yield pa.RecordBatch.from_pydict({"circuit": [circuit], "fingerprint": [PREFIX + state.hexdigest()]})
 

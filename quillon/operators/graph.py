@@ -24,17 +24,19 @@ def single_hop(edges: DataFrame, node, direction: str = "out", relations: Sequen
 
 
 def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", relations: Sequence[str] | None = None, max_hops: int | None = None) -> DataFrame:
-    """node and hops: breadth-first distance from any of the starts (node), themselves at 0.
+    """node and hops: breadth-first distance from any of the starts (node), themselves at 0. If the starts have a column
+    origin, the distances are those from each origin's starts, found in one walk.
 
     Each hop joins the frontier with the edges and drops nodes already visited; every step is a written table.
     """
+    key = ["origin", "node"] if "origin" in starts.columns else ["node"]
     links = cut(directed(edges, direction, relations).select("here", "there").distinct().repartition("here"))
-    frontier = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
+    frontier = cut(starts.select(*key).distinct().withColumn("hops", F.lit(0)))
     seen, hop = frontier, 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        reached = links.join(frontier, links["here"] == frontier["node"]).select(F.col("there").alias("node")).distinct()
-        frontier = cut(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        reached = links.join(frontier, links["here"] == frontier["node"]).select(*key[:-1], F.col("there").alias("node")).distinct()
+        frontier = cut(reached.join(seen, key, "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
         seen = cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
@@ -51,8 +53,9 @@ def traverse(edges: DataFrame, start, direction: str = "out", relations: Sequenc
 def common_ancestors(edges: DataFrame, a, b, relations: Sequence[str] | None = None) -> DataFrame:
     """Nodes from which both are reached with the least summed distance; ties stay. A node is its own ancestor."""
     kind = edges.schema["src"].dataType
-    up = [distances(edges, edges.sparkSession.range(1).select(F.lit(x).cast(kind).alias("node")), "in", relations).withColumnRenamed("hops", f"hops_{n}") for n, x in (("a", a), ("b", b))]
-    both = cut(up[0].join(up[1], "node").withColumn("hops", F.col("hops_a") + F.col("hops_b")))
+    starts = edges.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(name).alias("origin"), F.lit(x).cast(kind).alias("node")) for name, x in (("a", a), ("b", b))))).alias("s")).select("s.*")
+    up = distances(edges, starts, "in", relations).groupBy("node").agg(*(F.min(F.when(F.col("origin") == name, F.col("hops"))).alias(f"hops_{name}") for name in "ab"))
+    both = cut(up.where("hops_a is not null and hops_b is not null").withColumn("hops", F.col("hops_a") + F.col("hops_b")))
     return both.join(F.broadcast(both.agg(F.min("hops").alias("_least"))), F.col("hops") == F.col("_least")).drop("_least")
 
 
