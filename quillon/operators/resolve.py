@@ -20,6 +20,12 @@ def resolve(df: DataFrame, reference: str, columns: Sequence[str]) -> DataFrame:
     return tiered(df, [F.col(c).cast("string") == reference for c in columns])
 
 
+def first(df: DataFrame, reference: str, columns: Sequence[str]) -> DataFrame:
+    """At most one row, of those that resolve() finds the one with the smallest first column: one pass without a join."""
+    tier = F.coalesce(*(F.when(F.col(c).cast("string") == reference, F.lit(i + 1)) for i, c in enumerate(columns)))
+    return df.withColumn("_tier", tier).where("_tier is not null").orderBy("_tier", columns[0]).limit(1).drop("_tier")
+
+
 def search(df: DataFrame, text: str, key: str, external: str, label: str, limit: int) -> DataFrame:
     """Ranked search: exact id, exact external key, exact label, part of the external key (3 characters or more), all but
     the id in any case; ties by external key, label and id; with the flag `truncated` on every row when more than limit

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillon.operators import graph, history, latest, records, resolve, transitions
 from quillon.operators.records import VERSION_FIELDS, PlanError
+from quillon.session import cut
 
 # Statuses of an answer.
 STATUSES = ("ANSWERABLE", "PARTIALLY_ANSWERABLE", "MISSING_DATA", "UNSUPPORTED_OPERATION", "AMBIGUOUS", "UNKNOWN_ENTITY", "INVALID_PLAN")
@@ -181,7 +182,7 @@ class Store:
 
     def find_version(self, reference) -> dict | None:
         """The version by id, then external key, then label (this only of the plan's circuit, if it names one)."""
-        found = resolve.resolve(self.versions, str(reference), ["version_id", "external_version_key", "version_label"]).limit(1).collect()
+        found = resolve.first(self.versions, str(reference), ["version_id", "external_version_key", "version_label"]).collect()
         return found[0].asDict() if found else None
 
     def version(self, reference) -> dict:
@@ -303,12 +304,13 @@ def _rank(store: Store, _, p: dict):
     relation = p.get("relation_type", transitions.SUCCESSOR)
     every = transitions.list_transitions(store.need("edges"), store.versions, relation)
     rows = transitions.list_transitions(store.edges, store.versions, relation, store.metrics, _recorded(store, p["metric"]))
-    if not rows.limit(1).count():
+    ranked = cut(transitions.rank_transitions(rows, order, limit))  # computed once: whether there is any, and the answer
+    if limit and not ranked.limit(1).count():
         raise Stop("MISSING_DATA", f"no transition has {p['metric']} on both ends", [p["metric"]])
     have = store.metrics.where(records.field(p["metric"]).isNotNull()).select(F.col("version_id").alias("_have"))
     ends = every.join(have, F.col("parent_version_id") == F.col("_have"), "left_semi").join(have, F.col("child_version_id") == F.col("_have"), "left_semi")
     left_out = every.agg(F.count("*").alias("total")).join(ends.agg(F.count("*").alias("with_metric"))).select((F.col("total") - F.col("with_metric")).alias("missing"), "total")
-    return Result("ANSWERABLE", transitions.rank_transitions(rows, order, limit), left_out=left_out)
+    return Result("ANSWERABLE", transitions.rank_transitions(ranked, order, limit), left_out=left_out)
 
 
 def _top_k(store: Store, rows, p: dict):
@@ -642,7 +644,7 @@ def _bound(params: dict, store: Store) -> dict:
 
 
 def execute(plan: Plan | str | dict, store: Store) -> Result:
-    """Runs a plan; the data stays lazy, but for resolving names, scopes and the facts of single entities."""
+    """Runs a plan; the data stays lazy, but for names, scopes, facts of single entities and rankings, which are computed once."""
     try:
         plan = plan if isinstance(plan, Plan) else Plan.parse(plan)
         if problems := validate(plan):
