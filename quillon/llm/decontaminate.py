@@ -300,8 +300,8 @@ def _indexes(docs: DataFrame, items: DataFrame) -> list:
     items = cut(items.join(home, "key"))
     terms = terms.where("term is not null")
     terms = cut(terms.join(home, "key").select("length", "shard", "term").distinct().join(terms.groupBy("term").agg(F.count("*").alias("n")), "term"))
-    lists: list[list[Index]] = []
-    room = 0
+    context = docs.sparkSession.sparkContext
+    lists, waiting, room = [], [], SHARD_BYTES  # the driver holds one list's indexes at a time
     for r in sorted(classes, key=lambda r: r["length"]):
         for k in range(shards[r["length"]]):
             here = (F.col("length") == r["length"]) & (F.col("shard") == k)
@@ -309,12 +309,12 @@ def _indexes(docs: DataFrame, items: DataFrame) -> list:
             counts = dict(zip(held.column("term").to_numpy().view(np.uint64).tolist(), held.column("n").to_numpy().tolist(), strict=True))
             index = Index([(x["key"], x["text"]) for x in items.where(here).select("key", "text").orderBy("key").collect()], Statistics(n, words, counts))
             size = r["bytes"] / shards[r["length"]]
-            if not lists or room < size:
-                lists.append([])
-                room = SHARD_BYTES
-            lists[-1].append(index)
+            if waiting and room < size:
+                lists.append(context.broadcast(waiting))
+                waiting, room = [], SHARD_BYTES
+            waiting.append(index)
             room -= size
-    return [docs.sparkSession.sparkContext.broadcast(x) for x in lists]
+    return [*lists, context.broadcast(waiting)]
 
 
 def _texts(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:

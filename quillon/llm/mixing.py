@@ -21,13 +21,13 @@ from quillon.llm.store import cut, fresh, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
-#: Documents for each range of the sort, about.
-RANGE_ROWS = 1 << 14
+#: Documents for each range of the sort, about, and the most ranges (a range is sorted with spills).
+RANGE_ROWS, MOST_RANGES = 1 << 14, 1 << 15
 
 
 def ranged(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     """df in order over about as many ranges as `rows` rows need, as a written table with a column `range`."""
-    parts = max(-(-rows // RANGE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(min(MOST_RANGES, -(-rows // RANGE_ROWS)), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return cut(df.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
 
 
