@@ -47,8 +47,8 @@ def mass(df: DataFrame, weight: str, tops: Sequence[int] = (1, 10, 100)) -> Data
 
 
 def percent_mass(df: DataFrame, weight: str, parts: Sequence[int] = (100, 10)) -> DataFrame:
-    """part, share: what the heaviest 1/part of the rows (one at least) hold of all weight. Weights are counted first, so
-    that the sort is over distinct weights."""
+    """part, share: what the heaviest 1/part of the rows (one at least) hold of all weight. Weights are whole numbers and are
+    counted first: the one sorted task holds distinct weights, at most the square root of twice their sum."""
     kinds = df.groupBy(F.col(weight).alias("_w")).agg(F.count("*").alias("_n"))
     w = W.orderBy(F.desc("_w")).rowsBetween(W.unboundedPreceding, -1)
     rows = kinds.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
