@@ -19,21 +19,64 @@ METRICS = ("qubits", "toffoli")
 CODES = ("not_an_object", "bad_submission_uuid", "benchmark_mismatch", "unknown_platform_status", "unknown_promotion_status", "bad_official_metrics", "unexpected_metric_keys", "partial_metric_triple", "bad_metric_value", "score_mismatch", "bad_timestamp", "bad_commit_sha", "duplicate_submission_uuid")
 
 
+class JsonFields:
+    """Typed access to the fields of a column of JSON text by path: types are those of the text."""
+
+    def __init__(self, raw: str):
+        self.whole = F.try_parse_json(raw)
+        self.is_object = F.coalesce(F.startswith(F.schema_of_variant(self.whole), F.lit("OBJECT")), F.lit(False))
+
+    def part(self, path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(self.whole, path, kind)
+
+    def kind(self, path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(self.part(path)), F.lit("VOID"))
+
+    def here(self, path: str) -> Column:
+        return self.kind(path) != "VOID"
+
+    def text(self, path: str) -> Column:
+        return F.when(self.kind(path) == "STRING", self.part(path, "string"))
+
+    def matches(self, path: str, pattern: str) -> Column:
+        return F.coalesce(self.text(path).rlike(pattern), F.lit(False))
+
+
+def _records_issues(records: DataFrame, fields: JsonFields, rules: dict[str, Column]) -> DataFrame:
+    """Issues of JSON records: not_an_object, those of the rules, and duplicate_submission_uuid for every row of an id that
+    occurs twice."""
+    own = [(code, fields.is_object & bad) for code, bad in rules.items()]
+    rows = with_issues(records, [("not_an_object", ~fields.is_object), *own]).withColumn("_id", F.when(fields.is_object, fields.text("$.id")))
+    twice = rows.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    rows = rows.join(twice, "_id", "left")
+    return rows.withColumn("issues", F.when(F.col("_n").isNotNull(), F.array_append("issues", F.lit("duplicate_submission_uuid"))).otherwise(F.col("issues"))).drop("_id", "_n")
+
+
+# An account's handle, and what a contributor record can get wrong besides.
+HANDLE = "^[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?$"
+CONTRIBUTOR_CODES = ("missing_solver_account_id", "bad_solver_username", "bad_coauthors")
+
+
+def contributor_issues(records: DataFrame) -> DataFrame:
+    """records (raw: one JSON record each) with the codes of what is wrong with their contributor fields."""
+    x = JsonFields("raw")
+    names = x.kind("$.coauthors")
+    empty = F.coalesce(F.size(x.part("$.coauthors", "array<string>")) == 0, F.lit(False))
+    listed = (names == "VOID") | (names == "ARRAY<STRING>") | ((names == "ARRAY<VOID>") & empty)
+    wrong = (~F.coalesce(F.trim(x.text("$.solverAccountId")) != "", F.lit(False)), ~x.matches("$.solverUsername", HANDLE), ~listed)
+    return _records_issues(records, x, {"bad_submission_uuid": ~x.matches("$.id", UUID)} | dict(zip(CONTRIBUTOR_CODES, wrong, strict=True)))
+
+
 def evaluation_issues(records: DataFrame, benchmark: str | None = None) -> DataFrame:
     """records (raw: one JSON record each) with the codes of what is wrong with them; every occurrence of an id that
     occurs twice is wrong. Types are those of the JSON text: a number in quotes is no number."""
-    v = F.try_parse_json("raw")
-    part = lambda path: F.try_variant_get(v, path, "variant")
-    kind = lambda path: F.coalesce(F.schema_of_variant(part(path)), F.lit("VOID"))
-    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string"))
-    here = lambda path: kind(path) != "VOID"
+    x = JsonFields("raw")
+    part, kind, text, here, matches = x.part, x.kind, x.text, x.here, x.matches
     among = lambda path, values: F.coalesce(text(path).isin(*values), F.lit(False))
-    matches = lambda path, pattern: F.coalesce(text(path).rlike(pattern), F.lit(False))
     time_ok = lambda path: F.coalesce(F.try_to_timestamp(text(path)).isNotNull(), F.lit(False))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
     triple = [f"$.officialMetrics.{m}" for m in METRICS] + ["$.officialScore"]
     any_of, all_of = reduce(lambda a, b: a | b, map(here, triple)), reduce(lambda a, b: a & b, map(here, triple))
-    number = [F.try_variant_get(v, path, "decimal(38,0)") for path in triple]
+    number = [part(path, "decimal(38,0)") for path in triple]
     whole = reduce(lambda a, b: a & b, (kind(path).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") & (n >= 0) for path, n in zip(triple, number, strict=True)))
     metrics_object = F.startswith(kind("$.officialMetrics"), F.lit("OBJECT"))
     keys = F.json_object_keys(F.to_json(part("$.officialMetrics")))
@@ -50,10 +93,7 @@ def evaluation_issues(records: DataFrame, benchmark: str | None = None) -> DataF
         "bad_timestamp": ~time_ok("$.createdAt") | ~time_ok("$.updatedAt") | (here("$.promotionFinishedAt") & ~time_ok("$.promotionFinishedAt")),
         "bad_commit_sha": reduce(lambda a, b: a | b, (here(f"$.{c}") & ~matches(f"$.{c}", SHA) for c in ("submissionCommitSha", "promotedSourceRef"))),
     }
-    rows = with_issues(records, [("not_an_object", ~is_object), *((code, is_object & bad) for code, bad in rules.items())]).withColumn("_id", F.when(is_object, text("$.id")))
-    twice = rows.where("_id is not null").groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = rows.join(twice, "_id", "left")
-    return rows.withColumn("issues", F.when(F.col("_n").isNotNull(), F.array_append("issues", F.lit("duplicate_submission_uuid"))).otherwise(F.col("issues"))).drop("_id", "_n")
+    return _records_issues(records, x, rules)
 
 
 def identical_once(df: DataFrame, key: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:

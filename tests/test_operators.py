@@ -297,6 +297,11 @@ def test_evaluation_records(spark):
     df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(cases)], "ordinal int, raw string")
     got = {r.ordinal: r.issues for r in quality.evaluation_issues(df, "b").collect()}
     assert [got[i] for i in range(len(cases))] == [x for _, x in cases]
+    person = {"id": uuid, "solverAccountId": "7", "solverUsername": "a-b", "coauthors": ["x"]}
+    people = [(person, []), (person | {"id": "zz", "solverUsername": "-a"}, ["bad_submission_uuid", "bad_solver_username"]), (5, ["not_an_object"])]
+    people += [(person | {"id": uuid[:-2] + f"{i:02d}", "coauthors": c, "solverAccountId": a}, w) for i, (c, a, w) in enumerate([([], "7", []), (None, "7", []), ([None], "7", ["bad_coauthors"]), (["x", 1], " ", ["missing_solver_account_id", "bad_coauthors"]), ("x", 7, ["missing_solver_account_id", "bad_coauthors"])])]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(people)], "ordinal int, raw string")
+    assert [r.issues for r in quality.contributor_issues(df).orderBy("ordinal").collect()] == [w for _, w in people]
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "a"), ("m", 3, "b"), ("m", 4, "c")], "key string, at int, v string")
     once, conflicts = quality.identical_once(rows, ["key"], "at")
     assert [(r.key, r.at) for r in once.collect()] == [("k", 1)] and conflicts.count() == 2
