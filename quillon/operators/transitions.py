@@ -54,6 +54,15 @@ def rank_transitions(rows: DataFrame, order: str = "largest_decrease", limit: in
     return rows.orderBy(key, F.col("parent_version_id").cast("string"), F.col("child_version_id").cast("string")).limit(limit)
 
 
+def improvements(rows: DataFrame, better: dict[str, str]) -> DataFrame:
+    """rows of transitions (metric, absolute_change) with improved: whether the metric moved to its better side (lower or
+    higher); null for a metric whose better side is not given: it is never guessed."""
+    falls = F.col("absolute_change") < 0
+    rises = F.col("absolute_change") > 0
+    side = F.create_map(*(F.lit(x) for pair in better.items() for x in pair)) if better else F.create_map().cast("map<string,string>")
+    return rows.withColumn("improved", F.when(side[F.col("metric")] == "lower", falls).when(side[F.col("metric")] == "higher", rises))
+
+
 def compare_versions(long: DataFrame, a, b, names: Sequence[str] | None = None, version: str = "version_id") -> DataFrame:
     """Full outer comparison of two versions' metrics (version, name, value)."""
     if names is not None:

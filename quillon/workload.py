@@ -190,6 +190,17 @@ def top_k_changes(s, d):
     return planned(s, d, ("top_k_changes", {"metric": "toffoli_count", "direction": "increase", "relation_type": "branched_from"})).select("parent_version_id", "child_version_id", "absolute_change")
 
 
+@query(f"WITH {SUCCESSORS} SELECT parent_version_id, child_version_id, absolute_change < 0 AS improved FROM steps")
+def improvements(s, d):
+    rows = planned(s, d, ("list_transitions", {"metric": "toffoli_count"}))
+    return transitions.improvements(rows, {"toffoli_count": "lower"}).select("parent_version_id", "child_version_id", "improved")
+
+
+@query(f"WITH {M} SELECT 'score is the product' AS \"check\", count(*) FILTER (WHERE score <> qubit_count * toffoli_count) AS violations FROM metrics")
+def score_products(s, d):
+    return quality.violations(metrics(s, d), [("score is the product", ~quality.score_mismatch(F.col("score"), F.col("qubit_count"), F.col("toffoli_count")))])
+
+
 @query(ORACLE_SQL["rank_transitions"])
 def asked_question(s, d):
     """A question, read, guarded and run."""
