@@ -105,9 +105,10 @@ def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
     facts = rows.groupBy(F.col("source").alias("_source")).agg(*(F.min(c).alias(c) for c in ("source_size", "target", "whole")))
     facts = facts.join(tied, F.col("_source").eqNullSafe(F.col("_tied")), "left").drop("_tied")
     facts = small(cut(facts.select(F.struct("*").alias("facts"), F.col("_source").alias("_key"))))
-    own = F.struct(F.struct(*docs.columns).alias("row"), _size().alias("size"), F.struct(_key(seed).alias("key"), "doc_id", _size().alias("size")).alias("place"))
-    out = docs.select(own.alias("own")).join(facts, F.col("own.row.source").cast("string").eqNullSafe(F.col("_key")), "left")
-    part = F.when(F.col("own.place") < F.col("facts.end"), F.col("own.size")).when(F.col("own.place") == F.col("facts.end"), F.col("facts.share")).otherwise(0)
-    taken = F.col("facts.whole") * F.col("own.size") + F.coalesce(part, F.lit(0))
-    new = {"size": F.col("own.size"), "source_size": F.col("facts.source_size"), "target": F.col("facts.target"), "taken": taken.cast("long")}
-    return out.select("own.row.*", *(x.alias(fresh(docs, name)) for name, x in new.items()))
+    own = docs.select(F.struct(*docs.columns).alias("row"), _size().alias("own_size"), _key(seed).alias("own_key"))  # words are counted once
+    out = own.join(facts, F.col("row.source").cast("string").eqNullSafe(F.col("_key")), "left")
+    here = F.struct(F.col("own_key").alias("key"), F.col("row.doc_id").alias("doc_id"), F.col("own_size").alias("size"))
+    part = F.when(here < F.col("facts.end"), F.col("own_size")).when(here == F.col("facts.end"), F.col("facts.share")).otherwise(0)
+    taken = F.col("facts.whole") * F.col("own_size") + F.coalesce(part, F.lit(0))
+    new = {"size": F.col("own_size"), "source_size": F.col("facts.source_size"), "target": F.col("facts.target"), "taken": taken.cast("long")}
+    return out.select("row.*", *(x.alias(fresh(docs, name)) for name, x in new.items()))
