@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.operators import records
 from quillon.session import cut
 
 
 #: Parts whose own fronts are taken first.
 SALTS = 64
+#: Base of the digits of places in which dominators are counted, a power of two.
+FAN = 16
 
 
 def front_2d(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -60,8 +63,35 @@ def front(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> Data
 
 
 def dominated_by(df: DataFrame, key: str, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """For each row how many of its group dominate it and the smallest key of those."""
-    a, b = df.select(key, *metrics, *by).alias("a"), df.alias("b")
-    same = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), F.lit(True))
-    pairs = b.join(a, same & _dominates("a", "b", metrics), "left")
-    return pairs.groupBy(F.col(f"b.{key}").alias(key)).agg(F.count(F.col(f"a.{key}")).alias("dominators"), F.min(F.col(f"a.{key}")).alias("first_dominator"))
+    """For each row how many of its group dominate it and the smallest key of those. No pair of rows is compared.
+
+    Equal points become one, with their number of keys and the least of them. In the order by all metrics (and by each
+    further metric but the last, then by that place) what dominates a point comes before it. Two places differ first at
+    one digit to the base FAN: at every level of digits the points of a block meet in the order of the last metric, and
+    each sums what came before it with a smaller digit. n points of a group are n rows a level; with more than two
+    metrics the binary digits of each of those in between multiply that.
+    """
+    group, at = [f"_by{i}" for i in range(len(by))], [f"_m{i}" for i in range(len(metrics))]
+    rows = df.select(F.col(key).alias("_key"), *(F.col(c).alias(n) for c, n in zip([*by, *metrics], group + at, strict=True)))
+    known = reduce(lambda p, q: p & q, (F.col(c).isNotNull() for c in group + at))
+    points = rows.where(known).groupBy(*group, *at).agg(F.count("_key").alias("_n"), F.min("_key").alias("_least"))
+    between = range(1, len(at) - 1)
+    for i in (0, *between):
+        points = records.ranks(points, [*group, at[i], "_r0"] if i else group + at, points.columns).withColumnRenamed("rank", f"_r{i}")
+    # a group has the same stretch of places in all orders
+    ends = points.groupBy(*group).agg(F.min("_r0").alias("_from"), (F.max("_r0") - F.min("_r0")).alias("_last"))
+    points = (points.join(ends, group) if group else points.crossJoin(ends)).withColumns({f"_r{i}": F.col(f"_r{i}") - F.col("_from") for i in (0, *between)})
+    levels = lambda bits: F.explode(F.expr(f"filter(sequence(0, {62 // bits}), l -> shiftright(_last, {bits} * l) > 0)"))
+    cell, source, target = [*group], F.lit(True), F.lit(True)
+    for i in between:
+        points = points.withColumn(f"_l{i}", levels(1)).withColumn(f"_b{i}", F.expr(f"shiftright(_r{i}, _l{i} + 1)")).withColumn(f"_bit{i}", F.expr(f"shiftright(_r{i}, _l{i}) & 1"))
+        source, target = source & (F.col(f"_bit{i}") == 0), target & (F.col(f"_bit{i}") == 1)
+        points, cell = points.where(source | target), [*cell, f"_l{i}", f"_b{i}"]
+    bits = FAN.bit_length() - 1
+    points = points.withColumn("_l0", levels(bits)).withColumn("_b0", F.expr(f"shiftright(_r0, {bits} * (_l0 + 1))")).withColumn("_digit", F.expr(f"cast(shiftright(_r0, {bits} * _l0) & {FAN - 1} as int)"))
+    before = W.partitionBy(*cell, "_l0", "_b0").orderBy(at[-1], "_r0").rowsBetween(W.unboundedPreceding, -1)
+    least = lambda c, f: F.array(*(f(F.when(source & (F.col("_digit") < d), F.col(c))).over(before) for d in range(1, FAN)))
+    found = points.withColumns({"_ns": least("_n", F.sum), "_leasts": least("_least", F.min)}).where(target & (F.col("_digit") > 0))
+    found = found.select(*group, *at, F.col("_ns")[F.col("_digit") - 1].alias("_n"), F.col("_leasts")[F.col("_digit") - 1].alias("_least"))
+    found = found.groupBy(*group, *at).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    return rows.join(found, group + at, "left").groupBy(F.col("_key").alias(key)).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("dominators"), F.min("_least").alias("first_dominator"))

@@ -62,6 +62,22 @@ def test_pareto(spark):
     assert {r.k: r.dominators for r in pareto.dominated_by(df, "k", ["x", "y"]).collect()}[4] == 2
 
 
+def test_dominators_without_pairs(spark):
+    rows = [(f"k{i}", ("a", "b", None)[i % 7 % 3], i * 37 % 11, (i * 53 % 13 / 2, float("nan"), None, -0.0, float("inf"))[i % 17 % 5], i * 29 % 7) for i in range(400)] + [(None, "a", 0, 0.5, 0), ("k8", "a", 9, 9.0, 6)]
+    df = spark.createDataFrame(rows, "k string, g string, x int, y double, z int")
+    order = lambda v: (v != v, 0 if v != v else v)  # noqa: E731  (NaN is the greatest)
+    for metrics, by in ((1, True), (2, True), (2, False), (3, True), (3, False)):
+        names = ["x", "y", "z"][:metrics]
+        points = [(k, g, tuple(map(order, v[:metrics]))) for k, g, *v in rows if None not in v[:metrics] and not (by and g is None)]
+        want = {k: [0, None] for k, *_ in rows}
+        for k, g, v in points:
+            above = [j for j, h, u in points if j is not None and (h == g or not by) and u != v and all(a <= b for a, b in zip(u, v, strict=True))]
+            want[k] = [want[k][0] + len(above), min([c for c in (want[k][1], *above) if c is not None], default=None)]
+        found = pareto.dominated_by(df, "k", names, ["g"] if by else [])
+        assert {r.k: [r.dominators, r.first_dominator] for r in found.collect()} == want
+        assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "<" in line]
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("c", i, v) for i, v in enumerate([9, 8, 7, 10, 9, 9, 6])], "c string, i int, v int")
     run = sequences.longest_run(sequences.steps(df, ["c"], ["i"], "v"), ["c"], ["i"], F.col("delta") < 0).first()
