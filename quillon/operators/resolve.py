@@ -45,25 +45,34 @@ def namespaces(references: DataFrame, spaces: dict[str, DataFrame], prefix: int
 
     With `hexadecimal` only these namespaces take prefixes, of hex digits with a letter among them; digits alone count as
     a prefix where the references' column `cue` says that an identifier is meant.
+
+    Names are cut to the lengths of the references that share their first characters and meet these by equality; names
+    that begin alike become one row with their least and greatest entity first, so no reference meets its names one by one.
     """
-    hits = None
+    may = F.length("ref") >= prefix
     if hexadecimal is not None:
         letter = F.col("ref").rlike("[a-f]") if cue is None else F.col("ref").rlike("[a-f]") | F.coalesce(F.col(cue), F.lit(False))
-        may = references.where(F.col("ref").rlike("^[0-9a-f-]+$") & letter)
-    else:
-        may = references
+        may = may & F.col("ref").rlike("^[0-9a-f-]+$") & letter
+    refs = references.groupBy("ref").agg(F.max(F.coalesce(may, F.lit(False))).alias("_may"))
+    begun = refs.where("_may")
+    lengths = begun.groupBy(F.substring("ref", 1, prefix).alias("_head")).agg(F.collect_set(F.length("ref")).alias("_lengths"))
+    hits = None
     for name, df in spaces.items():
-        known = df.select(F.col("name").cast("string").alias("name"), F.col("entity").cast("string").alias("entity"))
-        exact = references.join(known, F.col("ref") == F.col("name")).select("ref", "entity", F.lit(1).alias("tier"), F.lit(name).alias("space"))
-        short = known.withColumn("_head", F.substring("name", 1, prefix))
-        begins = (may if hexadecimal is None or name in hexadecimal else may.limit(0)).where(F.length("ref") >= prefix).withColumn("_head", F.substring("ref", 1, prefix)).join(short, "_head").where(F.startswith("name", F.col("ref")) & (F.col("name") != F.col("ref")))
-        both = exact.unionByName(begins.select("ref", "entity", F.lit(2).alias("tier"), F.lit(name).alias("space")))
-        hits = both if hits is None else hits.unionByName(both)
-    first = hits.groupBy("ref").agg(F.min("tier").alias("tier"))
-    found = hits.join(first, ["ref", "tier"]).groupBy("ref", "tier").agg(F.count_distinct("entity").alias("entities"), F.min("entity").alias("entity"), F.array_join(F.array_sort(F.collect_set("space")), ",").alias("spaces"))
-    out = references.select("ref").distinct().join(found, "ref", "left")
-    status = F.when(F.col("entities") == 1, "RESOLVED").when(F.col("entities") > 1, "AMBIGUOUS").otherwise("UNKNOWN")
-    return out.select("ref", status.alias("status"), F.when(status == "RESOLVED", F.col("entity")).alias("entity"), F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("spaces", F.lit("")).alias("spaces"))
+        known = df.select(F.col("name").cast("string").alias("ref"), F.col("entity").cast("string").alias("entity"))
+        tiers = [(1, known, refs)]
+        if hexadecimal is None or name in hexadecimal:
+            heads = known.withColumn("_head", F.substring("ref", 1, prefix)).join(lengths, "_head")
+            short = heads.select("ref", "entity", F.explode("_lengths").alias("_length")).where(F.col("_length") < F.length("ref"))
+            tiers.append((2, short.select(F.expr("substring(ref, 1, _length)").alias("ref"), "entity"), begun))
+        for tier, rows, wanted in tiers:
+            ends = rows.groupBy("ref").agg(F.min("entity").alias("_least"), F.max("entity").alias("_most"))
+            rows = ends.join(wanted.select("ref"), "ref", "left_semi").select("*", F.lit(tier).alias("tier"), F.lit(name).alias("space"))
+            hits = rows if hits is None else hits.unionByName(rows)
+    found = hits.groupBy("ref", "tier").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"), F.array_join(F.array_sort(F.collect_set("space")), ",").alias("spaces"))
+    found = found.groupBy("ref").agg(F.min_by(F.struct("tier", "_least", "_most", "spaces"), "tier").alias("_first")).select("ref", "_first.*")
+    out = refs.select("ref").join(found, "ref", "left")
+    status = F.when(F.col("_least") == F.col("_most"), "RESOLVED").when(F.col("_least") < F.col("_most"), "AMBIGUOUS").otherwise("UNKNOWN")
+    return out.select("ref", status.alias("status"), F.when(status == "RESOLVED", F.col("_least")).alias("entity"), F.coalesce("tier", F.lit(0)).alias("tier"), F.coalesce("spaces", F.lit("")).alias("spaces"))
 
 
 def prefix_join(short: DataFrame, long: DataFrame, length: int) -> DataFrame:

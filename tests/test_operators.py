@@ -377,6 +377,22 @@ def test_prefixes_with_cues(spark):
     assert ("1234", "RESOLVED", "v2") in found(refs.where("ref = '1234' and cue"), hexadecimal=["commit"], cue="cue")
 
 
+def test_prefixes_without_pairs(spark):
+    names = {"n": [(f"name{i % 90}é{i}", f"e{i % 7}" if i % 3 else "e0") for i in range(300)] + [("name1", None), ("name2", "e1"), (None, "e2"), ("nam", "e3")], "m": [("name3é33", "e0"), ("name4", "e4"), ("nobody", None)]}
+    refs = sorted({v[:n] for rows in names.values() for v, _ in rows if v for n in (0, 3, 4, 6, 7, 20)} | {"name9999", "x"}) + [None, "name1"]
+    want = set()
+    for ref in {*refs}:
+        hits = [(1 if v == ref else 2, e, s) for s, rows in names.items() for v, e in rows if ref is not None and v and v.startswith(ref) and (v == ref or len(ref) >= 4)]
+        tier = min((t for t, *_ in hits), default=0)
+        entities = {e for t, e, _ in hits if t == tier and e}
+        status = "UNKNOWN" if not entities else "RESOLVED" if len(entities) == 1 else "AMBIGUOUS"
+        want.add((ref, status, min(entities) if len(entities) == 1 else None, tier, ",".join(sorted({s for t, _, s in hits if t == tier}))))
+    spaces = {s: spark.createDataFrame(rows, "name string, entity string") for s, rows in names.items()}
+    found = resolve.namespaces(spark.createDataFrame([(r,) for r in refs], "ref string"), spaces)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "StartsWith" in line]
+
+
 def test_ways_and_statuses(spark):
     e = edges(spark, [("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("b", "c"), ("d", "a"), ("a", "z")])
     assert {tuple(r.path) for r in graph.paths(e, "a", "d", 3).collect()} == {("a", "b", "d"), ("a", "c", "d"), ("a", "b", "c", "d")}
